@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side of a join may be broadcast; beyond it the join is a sort-merge join.
-BROADCAST_ROWS = 400_000
+#: Rows and bytes (as compressed Parquet) up to which a side may be broadcast; beyond them the join is a sort-merge join.
+BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,11 +40,12 @@ def drop(*tables: DataFrame) -> None:
             p.getFileSystem(hadoop).delete(p, True)
 
 
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df (a kept table: counting reads only footers) with a broadcast hint if it has at most that many rows."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
-def unnamed(df: DataFrame, *wanted: str) -> DataFrame:
-    """Only the wanted columns, so that further columns of the caller can't clash with ours."""
-    return df.select(*(F.col(f"`{c}`") for c in wanted))
+def sized(df: DataFrame) -> DataFrame:
+    """A kept table, with a broadcast hint if it is within the bounds (known from its files and their footers)."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._terrasift_path)
+    size = path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    if size > BROADCAST_BYTES or df.count() > BROADCAST_ROWS:
+        return df
+    out = F.broadcast(df)
+    out._terrasift_path = df._terrasift_path
+    return out
