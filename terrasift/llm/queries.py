@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrasift.llm import chat_format, decontaminate, jaccard_join, language_id, suffix_dedup
+from terrasift.llm import chat_format, decontaminate, embedding_dedup, html_extract, jaccard_join, language_id, line_dedup, packing, suffix_dedup, warc
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -72,3 +72,58 @@ SELECT conv_id, count(*) AS n_turns,
            + length(role || text) - length(replace(role || text, '>', ''))) AS BIGINT) AS formatted_chars
 FROM rows GROUP BY conv_id
 """
+
+
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), 3)
+    return out.select("doc_id", F.col("line_dedup.n_lines").alias("n_lines"), F.col("line_dedup.n_removed").alias("n_removed"), "text")
+
+
+ORACLE["op3_line_dedup"] = r"""
+WITH lines AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+windows AS (
+  SELECT doc_id, p, list_slice(l, p, p + 2) AS w
+  FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS p FROM lines)),
+ranked AS (
+  SELECT doc_id, p, row_number() OVER (PARTITION BY w ORDER BY doc_id, p) AS k FROM windows
+  WHERE trim(w[1], ' ') || trim(w[2], ' ') || trim(w[3], ' ') <> ''),
+gone AS (SELECT DISTINCT doc_id, unnest([p, p + 1, p + 2]) AS i FROM ranked WHERE k > 1),
+numbered AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM lines),
+kept AS (
+  SELECT n.doc_id, count(*) AS n_lines, count(g.i) AS n_removed, string_agg(l[n.i], chr(10) ORDER BY n.i) FILTER (g.i IS NULL) AS text
+  FROM numbered n LEFT JOIN gone g ON n.doc_id = g.doc_id AND n.i = g.i GROUP BY n.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text
+FROM documents d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+
+@query
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), buckets=8, budget=8192)
+
+
+@query
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.95)
+
+
+@query
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc.read_archives(manifest, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE["op4_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(CAST(coalesce(html, '') AS BLOB)) AS n FROM pages),
+g AS (SELECT html, max(page_id) AS last FROM p WHERE n >= 1000 GROUP BY html)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(p.html) AS payload_digest,
+       CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to
+FROM p LEFT JOIN g ON p.html = g.html AND n >= 1000
+"""
+
+
+@query
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", F.col("main.text").alias("text"), F.length("main.text").cast("long").alias("n_chars"))
