@@ -125,14 +125,15 @@ def _cells(text: bytes, pos: np.ndarray, jlo: np.ndarray, jhi: np.ndarray, lengt
     # The common bytes are those of the uncut cell: any window of it has them, so once means none of its windows repeats.
     core = stretch(p, pos[k] - low, pos[k] - high + length) ^ (cell.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
     whole = stretch(p, a, b + length) ^ ((j0 * 1024 + j1).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-    return k, a, b, core, whole
+    return k, pos, stretch(p, pos, pos + GRAM), a, b, core, whole
 
 
-def _listed(docs: DataFrame, items: DataFrame, fields: list[str]) -> DataFrame:
-    """docs (doc_id, rk, text) that have items, each with its items in arrays of equal order."""
-    by_doc = keep(items.groupBy("doc_id", "rk").agg(F.collect_set(F.struct(*fields)).alias("items")))
+def _listed(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """docs (doc_id, rk, text) that have items, with their anchors: pos, jlo and jhi packed into one number each."""
+    packed = (F.col("pos") * 1024 + F.col("jlo")) * 1024 + F.col("jhi")
+    by_doc = keep(items.groupBy("doc_id", "rk").agg(F.collect_set(packed).alias("items")))
     joined = docs.join(sized(by_doc).withColumnsRenamed({"doc_id": "_d", "rk": "_r"}), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("rk") == F.col("_r")))
-    return joined.select("doc_id", "rk", "text", *(F.col(f"items.{f}").alias(f) for f in fields))
+    return joined.select("doc_id", "rk", "text", "items")
 
 
 def repeated_spans(documents: DataFrame, length: int = 400, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -176,17 +177,17 @@ def repeated_spans(documents: DataFrame, length: int = 400, text: str = "text",
                 rows, cols, size = [], [], 0
                 for i in range(batch.num_rows):
                     body = batch.column(2)[i].as_py().encode()
-                    pos, jlo, jhi, g = (np.asarray(batch.column(x)[i].values, dtype=np.int64) for x in (3, 4, 5, 6))
-                    k, a, z, core, whole = _cells(body, pos, jlo, jhi, length, width)
+                    items = batch.column(3)[i].values.to_numpy(zero_copy_only=False)
+                    k, pos, gram, a, z, core, whole = _cells(body, items >> 20, items >> 10 & 1023, items & 1023, length, width)
                     rows.append(np.full(len(k), i))
-                    cols.append((pos[k], g[k], a, z, signed(core), signed(whole)))
+                    cols.append((pos[k], signed(gram)[k], a, z, signed(core), signed(whole)))
                     size += len(k)
                     if size > 50_000 or i == batch.num_rows - 1:
                         take = pa.array(np.concatenate(rows))
                         yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(np.concatenate(c)) for c in zip(*cols, strict=True))], names=names)
                         rows, cols, size = [], [], 0
 
-        cells = keep(_listed(docs, asked, ["pos", "jlo", "jhi", "g"]).mapInArrow(digits, f"doc_id {id_type}, rk bigint, pos bigint, g bigint, a bigint, b bigint, core bigint, whole bigint"))
+        cells = keep(_listed(docs, asked).mapInArrow(digits, f"doc_id {id_type}, rk bigint, pos bigint, g bigint, a bigint, b bigint, core bigint, whole bigint"))
         core = cells.groupBy("g", "core").agg(F.count("*").alias("c")).filter("c > 1").select("g", "core")
         if width == 1:
             spans.append(cells.join(core, ["g", "core"], "left_semi").select("doc_id", "rk", F.col("a").alias("lo"), (F.col("b") + length).alias("hi")))
@@ -227,25 +228,35 @@ def dedup(documents: DataFrame, length: int = 400, text: str = "text", key: str
     A null text counts as empty. Rows are never dropped; repeated rows come back as often as they were given.
     """
     docs, spans = _docs(documents, text, key), repeated_spans(documents, length, text, key)
-    by_doc = keep(spans.groupBy(F.col("doc_id").alias("_d"), F.col("rk").alias("_r")).agg(F.collect_set(F.struct("lo", "hi")).alias("spans")))
-    joined = docs.join(sized(by_doc), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("rk") == F.col("_r")), "left").select("doc_id", "text", F.col("spans.lo").alias("lo"), F.col("spans.hi").alias("hi"))
+    packed = spans.groupBy(F.col("doc_id").alias("_d"), F.col("rk").alias("_r")).agg(F.collect_set(F.col("lo") * 4096 + F.col("hi") - F.col("lo")).alias("spans"))
+
+    def runs(batches):
+        for b in batches:
+            merged = []
+            for own in b.column(2):
+                own = own.values.to_numpy(zero_copy_only=False)
+                merged.append(np.stack(merge(own >> 12, (own >> 12) + (own & 4095)), 1).ravel())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(merged, pa.list_(pa.int64()))], names=["_d", "_r", "runs"])
+
+    by_doc = keep(packed.mapInArrow(runs, f"_d {dict(docs.dtypes)['doc_id']}, _r bigint, runs array<bigint>"))
+    joined = docs.join(sized(by_doc), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("rk") == F.col("_r")), "left").select("doc_id", "text", "runs")
     span = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
 
     def cut(batches):
         for batch in batches:
             for x in range(0, batch.num_rows, 256):
                 b = batch.slice(x, 256)
-                kept, runs, sizes = [], [], []
+                kept, cuts, sizes = [], [], []
                 for i, body in enumerate(texts_of(b.column(1))):
-                    los, his = b.column(2)[i], b.column(3)[i]
-                    lo, hi = merge(np.array(los.values, np.int64), np.array(his.values, np.int64)) if los.is_valid else ((), ())
+                    own = b.column(2)[i].values.to_numpy(zero_copy_only=False) if b.column(2)[i].is_valid else np.zeros(0, np.int64)
+                    lo, hi = own[::2], own[1::2]
                     at, left = 0, []
                     for s, e in zip(lo, hi, strict=True):
                         left.append(body[at:s])
                         at = e
                     kept.append(b"".join(left) + body[at:])
-                    runs.append([{"lo": int(s), "hi": int(e)} for s, e in zip(lo, hi, strict=True)])
+                    cuts.append([{"lo": int(s), "hi": int(e)} for s, e in zip(lo, hi, strict=True)])
                     sizes.append(len(body))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary()), pa.array(runs, span), pa.array(sizes, pa.int64())], names=["doc_id", "kept_text", "spans", "n_bytes"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary()), pa.array(cuts, span), pa.array(sizes, pa.int64())], names=["doc_id", "kept_text", "spans", "n_bytes"])
 
     return joined.mapInArrow(cut, f"doc_id {dict(docs.dtypes)['doc_id']}, kept_text binary, spans array<struct<lo: bigint, hi: bigint>>, n_bytes bigint")
