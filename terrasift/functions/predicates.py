@@ -110,4 +110,8 @@ def color_rule(rule: str) -> Column:
             return F.abs(visit(n.args[0]))
         raise ValueError(f"not allowed in a colour rule: {ast.dump(n)[:60]}")
 
-    return visit(ast.parse(rule, mode="eval"))
+    try:
+        tree = ast.parse(rule, mode="eval")
+    except SyntaxError as e:
+        raise ValueError(f"not a colour rule: {rule}") from e
+    return visit(tree)
