@@ -115,7 +115,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op4_warc"] = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(CAST(coalesce(html, '') AS BLOB)) AS n FROM pages),
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
 g AS (SELECT html, max(page_id) AS last FROM p WHERE n >= 1000 GROUP BY html)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(p.html) AS payload_digest,
        CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to
