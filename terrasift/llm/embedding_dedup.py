@@ -31,8 +31,8 @@ class Forest:
 
     def __init__(self, sample: np.ndarray, rows: int, trees: int = TREES):
         self.sample, self.trees = sample, trees
-        self.depth = max(0, math.ceil(math.log2(max(1, rows) / LEAF)))
-        self.overlap = SPREAD ** (1 / self.depth) - 1 if self.depth else 0.0
+        self.depth = max(0, math.ceil(math.log2(max(1, rows) * SPREAD / LEAF))) if rows > LEAF else 0
+        self.overlap = min(0.3, SPREAD ** (1 / self.depth) - 1) if self.depth else 0.0
         self.made: dict = {}
 
     def __getstate__(self):
