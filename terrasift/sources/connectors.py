@@ -198,7 +198,8 @@ def like_literal(text: str) -> str:
 
 def locate(gazetteer: DataFrame, terms: list[str], name: str = "name") -> DataFrame:
     """Rows whose name holds any of the terms or their spellings, whatever the case; the feature is a list of 50."""
-    spellings = sorted({s.lower() for t in terms for s in (t, t.replace("ei", "ai"), t.replace("ai", "ei")) if s.strip()})
+    low = [t.lower() for t in terms]
+    spellings = sorted({s for t in low for s in (t, t.replace("ei", "ai"), t.replace("ai", "ei")) if s.strip()})
     if not spellings:
         return gazetteer.limit(0)
     hit = F.exists(F.array(*(F.lit(s) for s in spellings)), lambda s: F.contains(F.lower(F.col(name)), s))
