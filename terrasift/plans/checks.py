@@ -99,20 +99,17 @@ def missing_roles(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.collect_set("lang").alias("l")).select("source", F.array_except(roles, "l").alias("missing"))
 
 
-@query("SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) AS place FROM conversations WHERE conv_id < 20")
+@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations")
 def candidate_order(spark, sf_dir):
-    """Candidates in causal order (a bounded set of conversations numbers the places)."""
-    rows = table(spark, sf_dir, "conversations").filter("conv_id < 20").select("conv_id", "turn")
-    sizes = rows.groupBy("conv_id").agg(F.count("*").alias("n"))
-    before = sizes.select("conv_id", "n", F.lit(0).alias("g")).withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("g").orderBy("conv_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    return rows.withColumn("own", own).join(F.broadcast(before), "conv_id").select("conv_id", "turn", (F.col("before") + F.col("own")).alias("place"))
+    """The places of candidates in causal order."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("place"))
 
 
-@query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
+@query("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders")
 def latest_first(spark, sf_dir):
-    """The 50 latest (the feature is a list of 50)."""
-    return table(spark, sf_dir, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(50).select("o_orderkey", "o_orderdate")
+    """Listings, the latest first."""
+    k = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), "o_orderkey"))
+    return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", k.alias("place"))
 
 
 @query("""
@@ -140,11 +137,11 @@ def top_votes(spark, sf_dir):
     return n.withColumn("k", k).filter("k <= 2").select("source", "lang", "n")
 
 
-@query("SELECT p_partkey, p_name || '-' || p_size AS id FROM part ORDER BY length(p_name || '-' || p_size) DESC, p_name || '-' || p_size, p_partkey LIMIT 100")
+@query("SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY length(p_name || '-' || p_size) DESC, p_name || '-' || p_size, p_partkey) AS place FROM part")
 def longest_first(spark, sf_dir):
-    """Names by length, longest first (the feature is the first hundred)."""
-    n = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit("-"), "p_size").alias("id"))
-    return n.orderBy(F.desc(F.length("id")), "id", "p_partkey").limit(100)
+    """Places of names by length, longest first."""
+    name = F.concat("p_name", F.lit("-"), F.col("p_size").cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc(F.length(name)), name, "p_partkey")).alias("place"))
 
 
 @query("""

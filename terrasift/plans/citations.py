@@ -10,15 +10,15 @@ from terrasift.plans.registry import query, table
 
 
 def _segments(spark, sf_dir):
-    """Conversations as chains: the turn is the order, and each segment cites two documents."""
+    """Conversations as chains: the turn is the order, and each segment cites the documents of its conversation's and its turn's number."""
     conv = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("segment"), "conv_id", F.col("turn").alias("causal_order"))
-    cite = lambda k: F.struct(((F.col("segment") * k) % 150).alias("chunk_id"), F.lit("q").alias("quote"))
-    return conv.select("segment", "causal_order", F.array(cite(1), cite(7)).alias("evidence"))
+    cite = lambda c: F.struct(F.col(c).alias("chunk_id"), F.lit("q").alias("quote"))
+    return conv.select("segment", "causal_order", F.array(cite("conv_id"), cite("causal_order")).alias("evidence"))
 
 
 _CITED = """
-WITH s AS (SELECT conv_id * 100 + turn AS segment, turn AS causal_order FROM conversations),
-c AS (SELECT segment, causal_order, 0 AS i, segment % 150 AS chunk_id FROM s UNION ALL SELECT segment, causal_order, 1, segment * 7 % 150 FROM s)
+WITH s AS (SELECT conv_id * 100 + turn AS segment, conv_id, turn AS causal_order FROM conversations),
+c AS (SELECT segment, causal_order, 0 AS i, conv_id AS chunk_id FROM s UNION ALL SELECT segment, causal_order, 1, causal_order FROM s)
 """
 
 
@@ -28,9 +28,9 @@ def evidence_join(spark, sf_dir):
     return C.evidence_rows(_segments(spark, sf_dir), chunks).select("segment", "causal_order", "i", "chunk_id", "source")
 
 
-@query(_CITED + "SELECT segment, i, chunk_id, CASE WHEN d.doc_id IS NULL THEN 'missing' ELSE 'found' END AS state, source FROM c LEFT JOIN (SELECT * FROM documents WHERE doc_id < 120) d ON d.doc_id = chunk_id")
+@query(_CITED + "SELECT segment, i, chunk_id, CASE WHEN d.doc_id IS NULL THEN 'missing' ELSE 'found' END AS state, source FROM c LEFT JOIN (SELECT * FROM documents WHERE source <> 'src3') d ON d.doc_id = chunk_id")
 def evidence_enrich(spark, sf_dir):
-    chunks = table(spark, sf_dir, "documents").filter("doc_id < 120").select(F.col("doc_id").alias("chunk_id"), "source")
+    chunks = table(spark, sf_dir, "documents").filter("source <> 'src3'").select(F.col("doc_id").alias("chunk_id"), "source")
     return C.evidence_rows(_segments(spark, sf_dir), chunks, strict=False).select("segment", "i", "chunk_id", "state", "source")
 
 

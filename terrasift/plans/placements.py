@@ -63,11 +63,11 @@ def consolidation_accounting(spark, sf_dir):
 
 
 @query("""
-WITH l AS (SELECT o_custkey % 40 AS x0, o_orderkey % 9 AS y0, o_custkey % 13 AS x1, o_orderkey % 4 AS y1 FROM orders WHERE o_orderkey < 800), e AS (SELECT x0 AS x, y0 AS y FROM l UNION ALL SELECT x1, y1 FROM l), d AS (SELECT count(*) AS n FROM e GROUP BY x, y)
+WITH l AS (SELECT o_custkey % 40 AS x0, o_orderkey % 9 AS y0, o_custkey % 13 AS x1, o_orderkey % 4 AS y1 FROM orders), e AS (SELECT x0 AS x, y0 AS y FROM l UNION ALL SELECT x1, y1 FROM l), d AS (SELECT count(*) AS n FROM e GROUP BY x, y)
 SELECT count(*) FILTER (n = 1) AS dangling, count(*) FILTER (n > 2) AS junctions, (SELECT count(*) FROM l WHERE x0 = x1 AND y0 = y1) AS closed FROM d
 """)
 def stream_degrees(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter("o_orderkey < 800")
+    o = table(spark, sf_dir, "orders")
     return P.endpoint_degrees(o.select((F.col("o_custkey") % 40).alias("x0"), (F.col("o_orderkey") % 9).alias("y0"), (F.col("o_custkey") % 13).alias("x1"), (F.col("o_orderkey") % 4).alias("y1")))
 
 
@@ -80,7 +80,7 @@ def dem_coverage(spark, sf_dir):
     return P.covered_share(_cells(spark, sf_dir), zones, 1.0).withColumn("share", F.round("share", 9))
 
 
-@query(f"""WITH RECURSIVE {_PTS}, n AS (SELECT a.vec_id AS u, b.vec_id AS v FROM p a JOIN p b ON sqrt(greatest(a.x - b.x - b.w, b.x - a.x - a.w, 0) ** 2 + greatest(a.y - b.y - b.w, b.y - a.y - a.w, 0) ** 2) <= 2 WHERE a.vec_id < 200 AND b.vec_id < 200),
+@query(f"""WITH RECURSIVE {_PTS}, n AS (SELECT a.vec_id AS u, b.vec_id AS v FROM p a JOIN p b ON sqrt(greatest(a.x - b.x - 3, b.x - a.x - 3, 0) ** 2 + greatest(a.y - b.y - 3, b.y - a.y - 3, 0) ** 2) <= 2),
 t(u, v) AS (SELECT u, u FROM n UNION SELECT t.u, n.v FROM t JOIN n ON n.u = t.v), s AS (SELECT u AS box, min(v) AS site FROM t GROUP BY u)
 SELECT box, site FROM s WHERE site IN (SELECT site FROM s GROUP BY site HAVING count(DISTINCT box % 3) >= 2)""")
 def ref_sites(spark, sf_dir):
@@ -88,8 +88,8 @@ def ref_sites(spark, sf_dir):
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    p = _points(spark, sf_dir).filter("vec_id < 200")
-    boxes = p.select(F.col("vec_id").alias("box"), (F.col("vec_id") % 3).alias("model"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("w")).alias("x1"), (F.col("y") + F.col("w")).alias("y1"))
+    p = _points(spark, sf_dir)
+    boxes = p.select(F.col("vec_id").alias("box"), (F.col("vec_id") % 3).alias("model"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + 3).alias("x1"), (F.col("y") + 3).alias("y1"))
     return P.sites(boxes, 1.0, 2, lambda d: d.checkpoint())
 
 

@@ -76,11 +76,11 @@ def chainage_lookup(spark, sf_dir):
 
 def _cells(spark, sf_dir):
     """A raster of 60 columns from line items in order of their keys."""
-    k = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1 and l_orderkey < 14400").groupBy("l_orderkey").agg(F.min("l_quantity").alias("z"))
+    k = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").groupBy("l_orderkey").agg(F.min("l_quantity").alias("z"))
     return k.select(F.lit("dem").alias("raster"), F.floor((F.col("l_orderkey") / 4) / 60).alias("r"), F.floor((F.col("l_orderkey") / 4) % 60).alias("c"), "z").groupBy("raster", "r", "c").agg(F.min("z").alias("z"))
 
 
-_CELLS = "k AS (SELECT l_orderkey, min(l_quantity) AS z FROM lineitem WHERE l_linenumber = 1 AND l_orderkey < 14400 GROUP BY l_orderkey), cells AS (SELECT CAST(floor((l_orderkey / 4.0) / 60) AS BIGINT) AS r, CAST(floor((l_orderkey / 4.0) % 60) AS BIGINT) AS c, min(z) AS z FROM k GROUP BY ALL)"
+_CELLS = "k AS (SELECT l_orderkey, min(l_quantity) AS z FROM lineitem WHERE l_linenumber = 1 GROUP BY l_orderkey), cells AS (SELECT CAST(floor((l_orderkey / 4.0) / 60) AS BIGINT) AS r, CAST(floor((l_orderkey / 4.0) % 60) AS BIGINT) AS c, min(z) AS z FROM k GROUP BY ALL)"
 
 
 @query(f"WITH {_CELLS}, zones AS (SELECT i AS zone, i * 7.0 AS x0, i * 3.0 AS y0, i * 7.0 + 9 AS x1, i * 3.0 + 8 AS y1 FROM range(0, 12) t(i)) SELECT zone, count(*) AS n, min(z) AS min, max(z) AS max, round(avg(z), 9) AS mean FROM cells JOIN zones ON c + 0.5 BETWEEN x0 AND x1 AND r + 0.5 BETWEEN y0 AND y1 GROUP BY zone")

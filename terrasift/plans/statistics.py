@@ -158,14 +158,14 @@ def repeated_figures(spark, sf_dir):
 
 
 def _boxes(spark, sf_dir):
-    """Vectors as boxes: the label is the segment, the id tells the model, the first four numbers place the box."""
+    """Vectors as boxes: label and hundreds of the id are the segment, the id tells the model, the first four numbers place the box."""
     e = table(spark, sf_dir, "embeddings")
     at = lambda k: F.round(F.col("embedding")[k].cast("double") * 100)
-    return e.filter("vec_id < 120").select((F.col("vec_id") % 3).cast("string").alias("model"), F.col("label").alias("segment"), at(0).alias("x0"), at(1).alias("y0"), (at(0) + 10 + F.abs(at(2))).alias("x1"), (at(1) + 10 + F.abs(at(3))).alias("y1"))
+    return e.select((F.col("vec_id") % 3).cast("string").alias("model"), (F.floor(F.col("vec_id") / 100) * 100 + F.col("label")).alias("segment"), at(0).alias("x0"), at(1).alias("y0"), (at(0) + 10 + F.abs(at(2))).alias("x1"), (at(1) + 10 + F.abs(at(3))).alias("y1"))
 
 
-_BOX = """b AS (SELECT CAST(vec_id % 3 AS VARCHAR) AS model, label AS segment, round(CAST(embedding[1] AS DOUBLE) * 100) AS x0, round(CAST(embedding[2] AS DOUBLE) * 100) AS y0,
-  round(CAST(embedding[1] AS DOUBLE) * 100) + 10 + abs(round(CAST(embedding[3] AS DOUBLE) * 100)) AS x1, round(CAST(embedding[2] AS DOUBLE) * 100) + 10 + abs(round(CAST(embedding[4] AS DOUBLE) * 100)) AS y1 FROM embeddings WHERE vec_id < 120),
+_BOX = """b AS (SELECT CAST(vec_id % 3 AS VARCHAR) AS model, CAST(floor(vec_id / 100.0) AS BIGINT) * 100 + label AS segment, round(CAST(embedding[1] AS DOUBLE) * 100) AS x0, round(CAST(embedding[2] AS DOUBLE) * 100) AS y0,
+  round(CAST(embedding[1] AS DOUBLE) * 100) + 10 + abs(round(CAST(embedding[3] AS DOUBLE) * 100)) AS x1, round(CAST(embedding[2] AS DOUBLE) * 100) + 10 + abs(round(CAST(embedding[4] AS DOUBLE) * 100)) AS y1 FROM embeddings),
 ex AS (SELECT segment, v AS a, lead(v) OVER (PARTITION BY segment ORDER BY v) AS z FROM (SELECT segment, x0 AS v FROM b UNION SELECT segment, x1 FROM b)),
 ey AS (SELECT segment, v AS a, lead(v) OVER (PARTITION BY segment ORDER BY v) AS z FROM (SELECT segment, y0 AS v FROM b UNION SELECT segment, y1 FROM b)),
 c AS (SELECT b.segment, ex.a AS xa, ex.z AS xz, ey.a AS ya, ey.z AS yz, count(*) AS n, list(DISTINCT model) AS who FROM b JOIN ex ON ex.segment = b.segment AND ex.a >= x0 AND ex.z <= x1 JOIN ey ON ey.segment = b.segment AND ey.a >= y0 AND ey.z <= y1 GROUP BY ALL)"""

@@ -64,13 +64,12 @@ def similarity_fits(spark, sf_dir):
 
 
 @query("""
-WITH d AS (SELECT doc_id, text, split_part(text, ' ', 3) AS q FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')), h AS (SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t, lower(trim(regexp_replace(q, '\\s+', ' ', 'g'))) AS q FROM d)
+WITH d AS (SELECT doc_id, text, split_part(text, ' ', 3) AS q FROM documents), h AS (SELECT doc_id, replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 'ß', 'ss') AS t, replace(lower(trim(regexp_replace(q, '\\s+', ' ', 'g'))), 'ß', 'ss') AS q FROM d)
 SELECT doc_id, CASE WHEN q = '' OR instr(t, q) = 0 THEN 'unmatched' WHEN instr(substring(t, instr(t, q) + 1), q) > 0 THEN 'repeated' ELSE 'exact' END AS state FROM h
 """)
 def quote_states(spark, sf_dir):
     """Exact, repeated (overlapping hits count) or unmatched quotations."""
-    docs = table(spark, sf_dir, "documents").filter(~F.col("text").rlike("[^\\x00-\\x7F]"))
-    m = docs.select("doc_id", T.quote_match("text", F.split_part("text", F.lit(" "), F.lit(3))).alias("m"))
+    m = table(spark, sf_dir, "documents").select("doc_id", T.quote_match("text", F.split_part("text", F.lit(" "), F.lit(3))).alias("m"))
     return m.select("doc_id", "m.state")
 
 
@@ -82,11 +81,10 @@ def closest_passages(spark, sf_dir):
 
 
 @query("""
-SELECT doc_id, list_transform(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda x: x) AS tokens FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')
+SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS tokens FROM documents
 """)
 def token_offsets(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter(~F.col("text").rlike("[^\\x00-\\x7F]"))
-    return docs.select("doc_id", F.col("text"), T.page_tokens("text").alias("t")).select("doc_id", F.transform("t", lambda x: F.when(F.lower(F.substr("text", x.begin + 1, x.end - x.begin)) == x.token, x.token)).alias("tokens"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("text"), T.page_tokens("text").alias("t")).select("doc_id", F.transform("t", lambda x: F.when(F.lower(F.substr("text", x.begin + 1, x.end - x.begin)) == x.token, x.token)).alias("tokens"))
 
 
 @query("SELECT p_partkey, p_name AS restored FROM part")

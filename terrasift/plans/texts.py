@@ -17,10 +17,9 @@ def normalize_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(n, 256).alias("fingerprint"), F.length(n).cast("long").alias("n"))
 
 
-@query("SELECT doc_id, md5(translate(text, '\"«»“”„‟″‶❝❞〝〞〟＂', '')) AS plain FROM documents WHERE NOT regexp_matches(text, '[0-9]\"')")
+@query("SELECT doc_id, md5(replace(translate(regexp_replace(text, '([0-9])\"', '\\1′′', 'g'), '\"«»“”„‟″‶❝❞〝〞〟＂', ''), '′′', '″')) AS plain FROM documents")
 def model_text(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter(~F.col("text").rlike('[0-9]"'))
-    return docs.select("doc_id", F.md5(T.drop_quotes("text")).alias("plain"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.drop_quotes("text")).alias("plain"))
 
 
 @query("""
@@ -81,11 +80,13 @@ def token_matches(spark, sf_dir):
     return pairs.select("name", "token", T.token_match("name", "token").alias("kind")).filter("kind is not null").distinct()
 
 
-@query("SELECT doc_id, md5(regexp_replace(replace(text, '. ', '- '), '([a-zäöüß])-\\s+([a-zäöüß])', '\\1\\2', 'g')) AS joined FROM documents WHERE lang = 'en' AND NOT regexp_matches(replace(text, '. ', '- '), '[^\\x00-\\x7F]|[a-z]-\\s+[a-z]-\\s')")
+@query("""
+SELECT doc_id, md5(regexp_replace(regexp_replace(replace(text, '. ', '- '), '(\\p{Ll})-\\s+(\\p{Ll})', '\\1\\2', 'g'), '(\\p{Ll})-\\s+(\\p{Ll})', '\\1\\2', 'g')) AS joined FROM documents
+""")
 def dehyphenated(spark, sf_dir):
     """Divided words joined (texts made to have some)."""
-    docs = table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", F.replace("text", F.lit(". "), F.lit("- ")).alias("t"))
-    return docs.filter(~F.col("t").rlike("[^\\x00-\\x7F]|[a-z]-\\s+[a-z]-\\s")).select("doc_id", F.md5(T.dehyphenate("t")).alias("joined"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit(". "), F.lit("- ")).alias("t"))
+    return docs.select("doc_id", F.md5(T.dehyphenate("t")).alias("joined"))
 
 
 @query("""
