@@ -6,8 +6,9 @@ most frequent shingles of a document must therefore meet (``prefix``): only thes
 * Equal sets are one class from the start; copies are never compared or posted.
 * Shingles are ordered by a count sketch of fixed size over all documents, rare ones first, then by hash. The order only
   decides what is posted, never the result; a shingle that a fixed share of all documents has stands out at any scale.
-* Lists of posted shingles give groups of documents that may be linked. A long list is chained instead of paired, first
-  inside each task, so no list is gathered anywhere and no pairs are listed within a group.
+* Lists of posted shingles give groups of documents that may be linked. Short lists give pairs that pass bounds on size,
+  place in the prefix and parity; a long list is chained instead, first inside each task, so no list is gathered anywhere
+  and no pairs are listed within a large group. What chains hold together is parted again by sizes and parity.
 * Groups are searched in blocks of ``BLOCK`` documents, block against block where their sizes allow a link. In a pair of
   blocks each document's lists are split as DivideSkip does: the long ones set aside, the short ones merged with a heap
   (here: one counting pass), then the long ones probed by binary search for what is still short of T. Blocks pairs return
@@ -29,11 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrasift.llm.components import components
-from terrasift.llm.store import drop, keep, sized
+from terrasift.llm.store import join_roots, keep, sized, tables_by_key
 from terrasift.llm.textops import SPACED, mix, signed, texts_of, window_hashes, word_hashes
 
-#: Counters of the sketch (bytes when shared with the tasks), documents in a block, length from which a list is chained.
-SKETCH, BLOCK, LONG = 1 << 21, 256, 16
+#: Counters of the sketch (bytes when shared with the tasks), documents in a block of sets, length from which a list is
+#: chained, documents in a block of parity bits, bytes of parity that are used there.
+SKETCH, BLOCK, LONG, WIDE, FOLD = 1 << 21, 256, 64, 512, 512
 
 
 def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
@@ -53,6 +55,26 @@ def _sliced(batches, column: int, rows: int = 512):
             yield b, texts_of(b.column(column))
 
 
+def _counter(shingles: np.ndarray) -> np.ndarray:
+    return ((shingles >> np.uint64(11)) & np.uint64(SKETCH - 1)).astype(np.int64)
+
+
+def _parity(shingles: np.ndarray) -> bytes:
+    """Bits that tell whether an odd number of the shingles falls on them: two sets' bits differ in no more places than the
+    sets have members that aren't shared. As many bits as shingles, rounded up to a power of two, within limits."""
+    bits = min(max(512, 1 << (max(len(shingles), 1) - 1).bit_length()), 16_384)
+    odd = np.bincount(((shingles >> np.uint64(40)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """Parity bytes (of one or, in rows, of many) for the smaller number of bytes: halves laid over each other."""
+    while bits.shape[-1] > size:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
 def prefix_size(n: int, t: float) -> int:
     return n - math.ceil(t * n - 1e-9) + 1 if n else 0
 
@@ -127,10 +149,15 @@ def _sketch(docs: DataFrame, words: int) -> np.ndarray:
     part = SKETCH // 16
 
     def count(batches):
-        total = np.zeros(SKETCH, np.uint32)
+        total, waiting = np.zeros(SKETCH, np.uint32), []
         for _, texts in _sliced(batches, 1):
-            for s in shingle_sets(texts, words):
-                np.add.at(total, (s >> np.uint64(11)) & np.uint64(SKETCH - 1), 1)
+            waiting += [_counter(s) for s in shingle_sets(texts, words)]
+            size = sum(map(len, waiting))
+            if size > SKETCH:
+                total += np.bincount(np.concatenate(waiting), minlength=SKETCH).astype(np.uint32)
+                waiting = []
+        if waiting:
+            total += np.bincount(np.concatenate(waiting), minlength=SKETCH).astype(np.uint32)
         if total.any():
             lane = TaskContext.get().partitionId() % 64
             for k in range(16):
@@ -169,27 +196,28 @@ def link_components(documents: DataFrame, words: int = 5, percent: int = 80, tex
     def post(batches):
         kind = kinds.value
         for b, texts in _sliced(batches, 1):
-            n, f, g, posted = [], [], [], []
+            n, f, g, posted, parity = [], [], [], [], []
             for s in shingle_sets(texts, words):
                 m = mix(s)
                 n.append(len(s))
                 f.append(int(np.bitwise_xor.reduce(m)) if len(s) else 0)
                 g.append(int(np.add.reduce(mix(m))) if len(s) else 0)
-                k = kind[((s >> np.uint64(11)) & np.uint64(SKETCH - 1)).astype(np.int64)]
+                k = kind[_counter(s)]
                 p = prefix_size(len(s), t)
                 # Sets come sorted, so a stable sort by kind orders by (kind, hash).
                 posted.append(signed(s[np.argsort(k, kind="stable")[:p]].astype(np.uint64)))
+                parity.append(_parity(s))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(signed(np.array(f, np.uint64))), pa.array(signed(np.array(g, np.uint64))), pa.array(posted, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "f", "g", "posted"],
+                [b.column(0), pa.array(n, pa.int64()), pa.array(signed(np.array(f, np.uint64))), pa.array(signed(np.array(g, np.uint64))), pa.array(posted, pa.list_(pa.int64())), pa.array(parity, pa.binary())],
+                names=["doc_id", "n", "f", "g", "posted", "parity"],
             )
 
-    sets = keep(docs.mapInArrow(post, "doc_id bigint, n bigint, f bigint, g bigint, posted array<bigint>"))
+    sets = keep(docs.mapInArrow(post, "doc_id bigint, n bigint, f bigint, g bigint, posted array<bigint>, parity binary"))
     filled = sets.filter("n > 0")
     classes = keep(filled.groupBy("n", "f", "g").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("rep is not null"))
     copies = keep(filled.join(sized(keep(classes.filter("copies > 1").select("n", "f", "g", "rep"))), ["n", "f", "g"]).filter("doc_id is null or doc_id <> rep").select("doc_id", "n", "f", "g"))
     posted = filled.join(sized(copies), ["doc_id", "n", "f", "g"], "left_anti").filter("doc_id is not null")
-    groups = components(_candidates(posted, t))
+    groups = components(_candidates(posted, percent))
     members = keep(_member_sets(docs, groups, words))
     first = keep(_search(members.withColumn("rest", F.lit(False)), percent, True))
     linked = components(first)
@@ -286,17 +314,23 @@ def _search(members: DataFrame, percent: int, first: bool) -> DataFrame:
     return dealt.mapInArrow(search, "u bigint, v bigint")
 
 
-def _candidates(posted: DataFrame, t: float) -> DataFrame:
-    """Kept edges (u, v) whose components hold together all documents that may be linked."""
+def _candidates(posted: DataFrame, percent: int) -> DataFrame:
+    """Kept edges (u, v) whose components hold together all documents that may be linked.
+
+    posted: doc_id, n, posted (shingles in the common order), parity.
+    """
+    t = percent / 100
 
     def chain(batches):
         """Of long lists inside this task, only the first document goes on, with edges to the others."""
         for batch in batches:
             ids, ns = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            per = batch.column(2).value_lengths().to_numpy()
             tokens = batch.column(2).flatten().to_numpy()
-            own = np.repeat(np.arange(batch.num_rows), batch.column(2).value_lengths().to_numpy())
+            own = np.repeat(np.arange(batch.num_rows), per)
+            place = np.arange(len(tokens)) - np.repeat(np.cumsum(per) - per, per)
             order = np.argsort(tokens, kind="stable")
-            tokens, own = tokens[order], own[order]
+            tokens, own, place = tokens[order], own[order], place[order]
             start = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.zeros(0, np.int64)
             length = np.diff(np.concatenate((start, [len(tokens)])))
             stay = np.ones(len(tokens), bool)
@@ -308,59 +342,128 @@ def _candidates(posted: DataFrame, t: float) -> DataFrame:
             long_ = np.repeat(length >= LONG, length)
             a = np.array([x for x, ys in pairs.items() for _ in ys], np.int64)
             b = np.array([y for ys in pairs.values() for y in ys], np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate((tokens[stay], np.zeros(len(a), np.int64)))), pa.array(np.concatenate((ids[own[stay]], ids[a]))), pa.array(np.concatenate((ns[own[stay]], np.zeros(len(a), np.int64)))), pa.array(np.concatenate((long_[stay], np.zeros(len(a), bool)))), pa.array(np.concatenate((np.full(stay.sum(), -1), ids[b])))],
-                names=["token", "id", "n", "long", "other"],
-            )
-
-    lists = posted.select("doc_id", "n", "posted").mapInArrow(chain, "token bigint, id bigint, n bigint, long boolean, other bigint")
+            none = np.zeros(len(a), np.int64)
+            cols = [
+                np.concatenate((tokens[stay], none)),
+                np.concatenate((ids[own[stay]], ids[a])),
+                # Size and place share a number; negative: of a list that is long already.
+                np.concatenate(((ns[own[stay]] << 31 | place[stay]) * np.where(long_[stay], -1, 1), none)),
+                np.concatenate((np.full(stay.sum(), -1), ids[b])),
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["token", "id", "at", "other"])
+
+    lists = posted.select("doc_id", "n", "posted").mapInArrow(chain, "token bigint, id bigint, at bigint, other bigint")
 
     def pair(batches):
-        """Lists, in order of token: pairs of sizes that may link from short ones, a chain from long ones."""
+        """Lists, in order of token: pairs that may link from short ones, a chain from long ones."""
         rest = None
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            cols = [batch.column(i).to_numpy() for i in range(4)]
             if rest is not None:
                 cols = [np.concatenate((r, c)) for r, c in zip(rest, cols, strict=True)]
             cut = int(np.searchsorted(cols[0], cols[0][-1], "left")) if len(cols[0]) else 0
             rest = [c[cut:] for c in cols]
             if len(rest[0]) > 50_000:
                 # A very long list: what has come is chained, and its last document stands for it in what follows.
-                cut, rest = len(cols[0]), [c[-1:] for c in cols]
-                rest[3] = np.ones(1, bool)
+                cut, rest = len(cols[0]), [c[-1:].copy() for c in cols]
+                rest[2] = -np.abs(rest[2])
             if cut:
                 yield from emit([c[:cut] for c in cols])
         if rest is not None and len(rest[0]):
             yield from emit(rest)
 
     def emit(cols):
-        token, ids, ns, long_, other = cols
-        u, v = [ids[other >= 0]], [other[other >= 0]]
+        token, ids, at, other = cols
+        edges = [(ids[other >= 0], other[other >= 0], True)]
         ok = other < 0
-        token, ids, ns, long_ = token[ok], ids[ok], ns[ok], long_[ok]
+        token, ids, at = token[ok], ids[ok], at[ok]
         if len(token):
             start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
             length = np.diff(np.concatenate((start, [len(token)])))
+            several = np.repeat(length > 1, length)
+            token, ids, at = token[several], ids[several], at[several]
+            length = length[length > 1]
+        if len(token):
+            start = np.cumsum(length) - length
             run = np.repeat(np.arange(len(start)), length)
-            chained = (length >= LONG) | np.logical_or.reduceat(long_, start)
+            chained = (length >= LONG) | np.logical_or.reduceat(at < 0, start)
+            ns, place = np.abs(at) >> 31, np.abs(at) & (2**31 - 1)
+            # The smaller of two documents meets the other in a shorter prefix.
+            short = ns - np.ceil(2 * t / (1 + t) * ns - 1e-9).astype(np.int64) + 1
             k = np.flatnonzero(chained[run[1:]] & (run[1:] == run[:-1]))
-            u.append(ids[start[run[k]]])
-            v.append(ids[k + 1])
+            edges.append((ids[start[run[k]]], ids[k + 1], True))
             for d in range(1, LONG):
                 k = np.flatnonzero((run[d:] == run[:-d]) & ~chained[run[d:]]) if len(run) > d else np.zeros(0, np.int64)
                 if not len(k):
                     break
-                small, large = np.minimum(ns[k], ns[k + d]), np.maximum(ns[k], ns[k + d])
-                k = k[small >= t * large - 1e-9]
-                u.append(ids[k])
-                v.append(ids[k + d])
-        u, v = np.concatenate(u), np.concatenate(v)
-        if len(u):
-            both = np.unique(np.stack((np.minimum(u, v), np.maximum(u, v))), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["u", "v"])
+                a, b = np.where(ns[k] <= ns[k + d], k, k + d), np.where(ns[k] <= ns[k + d], k + d, k)
+                need = np.ceil(t / (1 + t) * (ns[a] + ns[b]) - 1e-9)
+                possible = np.minimum(ns[a] - place[a], ns[b] - place[b]) + np.minimum(place[a], place[b])
+                fits = (ns[a] >= t * ns[b] - 1e-9) & (place[a] < short[a]) & (possible >= need)
+                edges.append((ids[a[fits]], ids[b[fits]], False))
+        for chained in (True, False):
+            u, v = (np.concatenate([e[x] for e in edges if e[2] == chained] or [np.zeros(0, np.int64)]) for x in (0, 1))
+            if len(u):
+                both = np.unique(np.stack((np.minimum(u, v), np.maximum(u, v))), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(np.full(both.shape[1], chained))], names=["u", "v", "chained"])
 
     parts = int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Rows that are already edges go anywhere.
     spread = F.when(F.col("other") < 0, F.col("token")).otherwise(F.xxhash64("id", "other"))
-    sorted_ = lists.repartition(parts, spread).sortWithinPartitions("token", "id")
-    return keep(sorted_.mapInArrow(pair, "u bigint, v bigint").distinct())
+    dealt = lists.repartition(parts, spread).sortWithinPartitions("token", "id")
+    edges = keep(dealt.mapInArrow(pair, "u bigint, v bigint, chained boolean").groupBy("u", "v").agg(F.max("chained").alias("chained")))
+    bits = lambda c: posted.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"p_{c}"))
+    both = edges.filter("not chained").join(bits("u"), "u").join(bits("v"), "v").select("u", "v", "n_u", "p_u", "n_v", "p_v")
+
+    def near(batches):
+        for b in batches:
+            n = b.column(2).to_numpy() + b.column(4).to_numpy()
+            differ = np.zeros(len(n), np.int64)
+            for k, (p, q) in enumerate(zip(b.column(3).to_pylist(), b.column(5).to_pylist(), strict=True)):
+                size = min(len(p), len(q))
+                differ[k] = np.bitwise_count(_folded(np.frombuffer(p, np.uint8), size) ^ _folded(np.frombuffer(q, np.uint8), size)).sum()
+            ok = pa.array(differ <= n - 2 * np.ceil(t / (1 + t) * n - 1e-9))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["u", "v"])
+
+    chained = keep(_refine(edges.filter("chained").select("u", "v"), posted.select("doc_id", "n", "parity"), t))
+    return keep(chained.union(both.mapInArrow(near, "u bigint, v bigint")))
+
+
+def _refine(chained: DataFrame, bits: DataFrame, t: float) -> DataFrame:
+    """Edges (u, v) that hold together those documents of chained lists whose sizes and parity bits allow a link.
+
+    What the chains hold together may be large and mostly unalike. Its documents meet in pairs of blocks with nothing but
+    size and parity (a bit a shingle); a pair of blocks returns a spanning forest, at most one edge per document.
+    """
+    groups = components(chained)
+    m = bits.distinct().join(sized(groups).withColumnsRenamed({"id": "doc_id", "component": "group"}), "doc_id")
+    m = keep(m.select("doc_id", "n", "parity", "group"))
+    blocks = keep(m.groupBy("group").agg(F.ceil(F.count("*") / WIDE).cast("int").alias("blocks")))
+    m = m.join(sized(blocks), "group").withColumn("k", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("k2", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    m = m.select("group", F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b"), "doc_id", "n", "parity")
+    parts = int(bits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = m.repartition(parts, "group", "a", "b").sortWithinPartitions("group", "a", "b", "doc_id")
+
+    def near(batches):
+        for table in tables_by_key(batches, ["group", "a", "b"]):
+            ids, n = table.column("doc_id").to_numpy(), table.column("n").to_numpy()
+            raw = [np.frombuffer(x, np.uint8) for x in table.column("parity").to_pylist()]
+            sizes = np.minimum([len(x) for x in raw], FOLD)
+            root = np.arange(len(ids))
+            for size in np.unique(sizes):
+                # Documents of this many bytes against those of as many or more.
+                other = np.flatnonzero(sizes >= size)
+                signs = 1 - 2 * np.unpackbits(np.stack([_folded(raw[k], size) for k in other]), axis=1).astype(np.float32)
+                own = np.flatnonzero(sizes[other] == size)
+                for x in range(0, len(own), 512):
+                    part = own[x : x + 512]
+                    total = n[other[part], None] + n[None, other]
+                    ok = (8 * size - signs[part] @ signs.T) / 2 <= total - 2 * np.ceil(t / (1 + t) * total - 1e-9)
+                    ok &= (n[other[part], None] >= t * n[None, other] - 1e-9) & (n[None, other] >= t * n[other[part], None] - 1e-9)
+                    i, j = np.nonzero(ok)
+                    root = join_roots(root, other[part[i]], other[j])
+            some = np.flatnonzero(root != np.arange(len(ids)))
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[root[some]])], names=["u", "v"])
+
+    return dealt.mapInArrow(near, "u bigint, v bigint")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +51,35 @@ def sized(df: DataFrame) -> DataFrame:
     out = F.broadcast(df)
     out._terrasift_path = df._terrasift_path
     return out
+
+
+def tables_by_key(batches, keys: list[str]):
+    """Arrow tables, one per key, of batches that are sorted by the (integer) keys; only one key's rows are gathered."""
+    rest = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        rest = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
+        at = np.stack([rest.column(k).to_numpy() for k in keys])
+        cuts = np.flatnonzero((at[:, 1:] != at[:, :-1]).any(0)) + 1
+        for a, b in zip([0, *cuts[:-1]], cuts, strict=True) if len(cuts) else ():
+            yield rest.slice(a, b - a)
+        if len(cuts):
+            rest = rest.slice(cuts[-1])
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def join_roots(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """root with i and j joined: for each place the least one that it reaches."""
+    while len(i):
+        now = root.copy()
+        low = np.minimum(root[i], root[j])
+        np.minimum.at(now, i, low)
+        np.minimum.at(now, j, low)
+        np.minimum.at(now, root[i], low)
+        np.minimum.at(now, root[j], low)
+        now = now[now]
+        if (now == root).all():
+            return root
+        root = now
+    return root

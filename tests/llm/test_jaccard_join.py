@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from terrasift.llm import components as components_module
 from terrasift.llm import jaccard_join
 from terrasift.llm.components import components
 
@@ -63,7 +64,9 @@ def test_empty_and_repeated(spark):
     assert sorted((r.doc_id or 0, r.component_id) for r in jaccard_join.link_components(df).collect()) == [(0, 5), (5, 5), (5, 5), (7, 5)]
 
 
-def test_components_of_a_chain_and_a_star(spark):
+@pytest.mark.parametrize("small", [0, 500_000])
+def test_components_of_a_chain_and_a_star(spark, monkeypatch, small):
+    monkeypatch.setattr(components_module, "SMALL", small)
     edges = [(i, i + 1) for i in range(100, 140)] + [(500, k) for k in range(501, 560)] + [(3, 3)]
-    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "u long, v long").repartition(7)).collect()}
     assert got == {i: 100 for i in range(100, 141)} | {i: 500 for i in range(500, 560)}
