@@ -47,7 +47,7 @@ def test_pages_against_their_article_element(spark, sf):
     same = 0
     for r in rows:
         article = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
-        parts = [" ".join(unescape(re.sub(r"<[^>]*>", " " if False else "", p.replace("<br>", " "))).split()) for p in re.split(r"</?(?:p|h1)>", article)]
+        parts = [" ".join(unescape(re.sub(r"<[^>]*>", "", p.replace("<br>", " "))).split()) for p in re.split(r"</?(?:p|h1)>", article)]
         want = "\n".join(p for p in parts if p)
         same += got[r.page_id].text == want
         assert got[r.page_id].n_chars == len(got[r.page_id].text)
