@@ -155,19 +155,20 @@ def repeated_spans(documents: DataFrame, length: int = 400, text: str = "text",
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(c["pos"], pa.int64()), pa.array(c["jlo"], pa.int32()), pa.array(c["jhi"], pa.int32()), pa.array(signed(c["gram"])), pa.array(signed(c["reach"])), pa.array(np.array([len(texts[r + x]) for r in c["row"]], np.int64))], names=["doc_id", "rk", "pos", "jlo", "jhi", "g", "u", "n"])
 
     anchors = keep(docs.mapInArrow(first_digits, f"doc_id {dict(docs.dtypes)['doc_id']}, rk bigint, pos bigint, jlo int, jhi int, g bigint, u bigint, n bigint"))
-    several = anchors.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1").select("g")
+    # Repeated digits are written before they are joined back: a join of two tables can be split where a digit is frequent.
+    several = keep(anchors.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1").select("g"))
     held = keep(anchors.join(several, "g", "left_semi"))
     drop(anchors)
-    same = held.groupBy("g", "u").agg(F.count("*").alias("c")).filter("c > 1").select("g", "u", F.lit(True).alias("full"))
+    same = keep(held.groupBy("g", "u").agg(F.count("*").alias("c")).filter("c > 1").select("g", "u", F.lit(True).alias("full")))
     told = keep(held.join(same, ["g", "u"], "left"))
-    drop(held)
+    drop(held, several, same)
     spans = [told.filter("full").select("doc_id", "rk", F.greatest(F.col("pos") - (length - GRAM), F.lit(0)).alias("lo"), F.least(F.col("pos") + length, F.col("n")).alias("hi"))]
 
     id_type = dict(docs.dtypes)["doc_id"]
     # Beside the open ones, one member of each group that is settled counts on, as their windows may equal its windows.
     asked = told.filter("full is null").select("doc_id", "rk", "pos", "jlo", "jhi", "g")
-    settled = told.filter("full").groupBy("g", "u").agg(F.min(F.struct("doc_id", "rk", "pos")).alias("m"), F.min("jlo").alias("jlo"), F.max("jhi").alias("jhi"))
-    settled = settled.join(asked.select("g").distinct(), "g", "left_semi")
+    settled = keep(told.filter("full").groupBy("g", "u").agg(F.min(F.struct("doc_id", "rk", "pos")).alias("m"), F.min("jlo").alias("jlo"), F.max("jhi").alias("jhi")))
+    settled = settled.join(keep(asked.select("g").distinct()), "g", "left_semi")
     asked = asked.unionByName(settled.select("m.doc_id", "m.rk", "m.pos", "jlo", "jhi", "g"))
     for width in (CELL, 1):
 
@@ -188,19 +189,19 @@ def repeated_spans(documents: DataFrame, length: int = 400, text: str = "text",
                         rows, cols, size = [], [], 0
 
         cells = keep(_listed(docs, asked).mapInArrow(digits, f"doc_id {id_type}, rk bigint, pos bigint, g bigint, a bigint, b bigint, core bigint, whole bigint"))
-        core = cells.groupBy("g", "core").agg(F.count("*").alias("c")).filter("c > 1").select("g", "core")
+        core = keep(cells.groupBy("g", "core").agg(F.count("*").alias("c")).filter("c > 1").select("g", "core"))
         if width == 1:
             spans.append(cells.join(core, ["g", "core"], "left_semi").select("doc_id", "rk", F.col("a").alias("lo"), (F.col("b") + length).alias("hi")))
             break
         open_ = keep(cells.join(core, ["g", "core"], "left_semi"))
-        drop(cells)
-        whole = open_.groupBy("g", "whole").agg(F.count("*").alias("c")).filter("c > 1").select("g", "whole", F.lit(True).alias("full"))
+        drop(cells, core)
+        whole = keep(open_.groupBy("g", "whole").agg(F.count("*").alias("c")).filter("c > 1").select("g", "whole", F.lit(True).alias("full")))
         cells = keep(open_.join(whole, ["g", "whole"], "left"))
-        drop(open_)
+        drop(open_, whole)
         spans.append(cells.filter("full").select("doc_id", "rk", F.col("a").alias("lo"), (F.col("b") + length).alias("hi")))
         still = cells.filter("full is null")
-        settled = cells.filter("full").groupBy("g", "core", "whole").agg(F.min(F.struct("doc_id", "rk", "pos", "a", "b")).alias("m"))
-        settled = settled.join(still.select("g", "core").distinct(), ["g", "core"], "left_semi").select("m.*", "g")
+        settled = keep(cells.filter("full").groupBy("g", "core", "whole").agg(F.min(F.struct("doc_id", "rk", "pos", "a", "b")).alias("m")))
+        settled = settled.join(keep(still.select("g", "core").distinct()), ["g", "core"], "left_semi").select("m.*", "g")
         asked = still.select("doc_id", "rk", "pos", "a", "b", "g").unionByName(settled).select("doc_id", "rk", "pos", (F.col("pos") - F.col("b")).alias("jlo"), (F.col("pos") - F.col("a")).alias("jhi"), "g")
     out = spans[0]
     for s in spans[1:]:
