@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PART, LEVEL = 2000, 3
+PART, LEVEL = 2000, 6
 
 
 @dataclass
