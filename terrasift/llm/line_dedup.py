@@ -29,7 +29,8 @@ def later_windows(documents: DataFrame, lines: int = 3, text: str = "text", key:
     windows = docs.select("doc_id", "rk", F.explode(F.transform(F.sequence(F.lit(0), F.size("lines") - lines), window)).alias("w"))
     windows = keep(windows.filter("w is not null").select("doc_id", "rk", "w.*"))
     place = F.struct("doc_id", "rk", "pos")
-    several = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    # Written before it is joined back, so that the join can be split where a window is frequent.
+    several = keep(windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c"))
     return windows.join(several, ["h1", "h2"]).filter(place != F.col("first")).select("doc_id", "rk", "pos")
 
 
