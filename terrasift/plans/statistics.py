@@ -55,11 +55,11 @@ def run_metrics(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(ready).alias("ready"), F.avg(ready.cast("double")).alias("share"), F.sum(F.when(ready, F.col("value"))).alias("tokens"))
 
 
-_DIST = "count(o_totalprice) AS n, round(avg(o_totalprice), 3) AS mean, round(median(o_totalprice), 3) AS median, min(o_totalprice) AS min, max(o_totalprice) AS max, round(stddev_samp(o_totalprice), 3) AS stdev"
+_DIST = "count(o_totalprice) AS n, round(avg(o_totalprice), 7) AS mean, round(median(o_totalprice), 6) AS median, min(o_totalprice) AS min, max(o_totalprice) AS max, round(stddev_samp(o_totalprice), 4) AS stdev"
 
 
 def _rounded(df):
-    return df.withColumns({c: F.round(c, 3) for c in ("mean", "median", "stdev")})
+    return df.withColumns({c: F.round(c, places) for c, places in (("mean", 7), ("median", 6), ("stdev", 4))})
 
 
 @query(f"SELECT o_custkey, {_DIST} FROM orders GROUP BY o_custkey")
