@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -41,18 +39,6 @@ def nearest_line_partition(spark, sf_dir):
     return _cells(spark, sf_dir).select("r", "c", F.array_min(gaps).i.alias("line"))
 
 
-@query(f"""WITH RECURSIVE {_CELLS}, m AS (SELECT r, c FROM cells WHERE z < 18), e AS (SELECT a.r AS r, a.c AS c, b.r AS r2, b.c AS c2 FROM m a JOIN m b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1),
-t(r, c, r2, c2) AS (SELECT r, c, r, c FROM m UNION SELECT t.r, t.c, e.r2, e.c2 FROM t JOIN e ON e.r = t.r2 AND e.c = t.c2), p AS (SELECT r, c, min(r2 * 4294967296 + c2) AS part FROM t GROUP BY r, c)
-SELECT r, c, part FROM p WHERE part IN (SELECT part FROM p GROUP BY part HAVING count(*) >= 4)""")
-def color_mask_parts(spark, sf_dir):
-    """8-connected parts of a mask with at least four cells."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    mask = _cells(spark, sf_dir).filter("z < 18").select(F.col("raster").alias("image"), "r", "c")
-    return georeference.components(mask, lambda d: d.checkpoint(), 4).drop("image")
-
-
 @query("SELECT n_name AS figure, 'similarity' AS kind, 0.0 AS rms, 6 AS n FROM nation")
 def similarity_fits(spark, sf_dir):
     """Figures whose points were turned and scaled: the fit finds it without a rest."""

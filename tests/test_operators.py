@@ -101,3 +101,10 @@ def test_chainage_beyond_anchors(spark):
     anchors = spark.createDataFrame([("l", 0.0, 10.0), ("l", 10.0, 40.0)], "line string, value double, at double")
     st = spark.createDataFrame([("l", v) for v in (-2.0, 0.0, 5.0, 10.0, 11.0)], "line string, value double")
     assert sorted((r.value, r.distance) for r in spatial.chainage_lookup(st, anchors, unit=2.0).collect()) == [(-2.0, 6.0), (0.0, 10.0), (5.0, 25.0), (10.0, 40.0), (11.0, 42.0)]
+
+
+def test_mask_components(spark):
+    mask = spark.createDataFrame([("i", r, c) for r, c in ((0, 0), (0, 1), (1, 2), (5, 5), (2, 3), (2, 0))], "image string, r bigint, c bigint")
+    keep = lambda d: spark.createDataFrame(d.collect(), d.schema)
+    got = {(r.r, r.c): r.part for r in georeference.components(mask, keep, 2).collect()}
+    assert got == {(0, 0): 0, (0, 1): 0, (1, 2): 0, (2, 3): 0}
