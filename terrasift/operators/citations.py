@@ -43,7 +43,9 @@ def quote_pages(quotes: DataFrame, pages: DataFrame, words: int = 4) -> DataFram
     pairs = plain.withColumn("key", F.concat_ws(" ", "key", F.lead("key").over(w)))
     views = plain.withColumn("view", F.lit(1)).unionByName(soft.withColumn("view", F.lit(2))).unionByName(pairs.withColumn("view", F.lit(3)))
     parts = F.split("key", " ")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - words + 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, i, words), " "))
+    # The words are bound once; inside the inner function the split would be made anew for each window.
+    windows = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - words + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, words), " "))
+    grams = F.flatten(F.transform(F.array(parts), windows))
     blocks = views.select("doc", "page", "view", F.explode(F.array_distinct(grams)).alias("block"))
     q = quotes.select("quote_id", "doc", "hint", text_key("quote").alias("q"))
     inner = F.split("q", " ")

@@ -168,6 +168,7 @@ def quotes_restored(spark, sf_dir):
     equi-join key; the caseless test on both texts decides."""
     words = F.split(F.lower("text"), "\\s+")
     items = table(spark, sf_dir, "benchmark").filter(F.size(words) >= 6).select("item_id", F.col("text").alias("quote"), F.array_join(F.slice(words, 2, 4), " ").alias("key"))
-    grams = F.transform(F.sequence(F.lit(1), F.size(words) - 3), lambda i: F.array_join(F.slice(words, i, 4), " "))
+    windows = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 3), lambda i: F.array_join(F.slice(w, i, 4), " "))
+    grams = F.flatten(F.transform(F.array(words), windows))
     docs = table(spark, sf_dir, "documents").filter(F.size(words) >= 4).select("doc_id", "text", F.explode(F.array_distinct(grams)).alias("key"))
     return docs.join(items, "key").filter(F.lower("text").contains(F.lower("quote"))).select("doc_id", "item_id").distinct()
