@@ -97,6 +97,7 @@ def anchors_of(texts: list[bytes], length: int) -> dict[str, np.ndarray]:
             out.append((rows[k], got[0] - starts[k], *got[1:]))
     for i, text in enumerate(texts):
         if len(text) > CHUNK:
+            found = []
             for a, b, lo, part in _segments(text, length):
                 data = np.frombuffer(part, np.uint8)
                 got = _anchors(data, np.zeros(len(data), np.int64), np.full(len(data), len(data)), length)
@@ -104,7 +105,11 @@ def anchors_of(texts: list[bytes], length: int) -> dict[str, np.ndarray]:
                     pos, jlo, jhi, gram, reach = got
                     jlo, jhi = np.maximum(jlo, pos + lo - (b - 1)), np.minimum(jhi, pos + lo - a)
                     ok = jlo <= jhi
-                    out.append((np.full(ok.sum(), i), (pos + lo)[ok], jlo[ok], jhi[ok], gram[ok], reach[ok]))
+                    found.append(((pos + lo)[ok], jlo[ok], jhi[ok], gram[ok], reach[ok]))
+            # An anchor whose windows lie in several segments was found in each, but is one place.
+            pos, jlo, jhi, gram, reach = (np.concatenate(x) for x in zip(*found, strict=True))
+            begin = np.flatnonzero(np.diff(pos, prepend=-1))
+            out.append((np.full(len(begin), i), pos[begin], np.minimum.reduceat(jlo, begin), np.maximum.reduceat(jhi, begin), gram[begin], reach[begin]))
     names = ("row", "pos", "jlo", "jhi", "gram", "reach")
     if not out:
         return {n: np.zeros(0, np.uint64 if n in ("gram", "reach") else np.int64) for n in names}

@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark import cloudpickle
 
 from terrasift.llm import suffix_dedup
 
@@ -56,6 +57,24 @@ def test_long_texts_and_repeated_rows(spark, monkeypatch):
         assert starts == list(range(len(t) - 63))
 
 
+@pytest.mark.parametrize("length", [64, 100])
+def test_long_texts_against_brute_force(spark, monkeypatch, length):
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 900)
+    long = " ".join(map(str, range(900)))
+    texts = [*corpus(length), long, " ".join(map(str, range(2000, 2700))) + long[1000:1500], " ".join(map(str, range(5000, 5500)))]
+    texts += [texts[-1]]
+    cloudpickle.register_pickle_by_value(suffix_dedup)  # so that the workers have this CHUNK
+    try:
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {r.doc_id: bytes(r.kept_text) for r in suffix_dedup.dedup(df, length).collect()}
+    finally:
+        cloudpickle.unregister_pickle_by_value(suffix_dedup)
+    assert [got[i] for i in range(len(texts))] == brute([(t or "").encode() for t in texts], length)
+    for t in texts[-4:]:
+        c = suffix_dedup.anchors_of([t.encode()], length)
+        assert len(set(c["pos"])) == len(c["pos"])
+
+
 def test_empty_table_and_null_key(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup.dedup(empty).count() == 0
