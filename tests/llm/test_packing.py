@@ -40,3 +40,31 @@ def test_batches(spark, monkeypatch):
         full[name.rpartition("-")[0]].append(len(b))
     assert all(sum(n < max(x) for n in x) <= 1 for x in full.values())
     assert packing.pack(df.limit(0)).count() == 0
+
+
+def exact(lengths, counts, k):
+    """Least padding by trying every last boundary."""
+    size = np.concatenate(([0], np.cumsum(counts)))
+    best = lengths * size[1:]
+    for _ in range(1, min(k, len(lengths))):
+        best = np.array([min([best[j], *(best[i] + lengths[j] * (size[j + 1] - size[i + 1]) for i in range(j))]) for j in range(len(lengths))])
+    return int(best[-1] - (lengths * counts).sum())
+
+
+def test_many_lengths_are_optimal():
+    r = np.random.default_rng(2)
+    for k in (1, 2, 5, 8):
+        lengths = np.sort(r.choice(5_000_000, 150, replace=False))
+        counts = r.integers(1, 500, 150)
+        tops = packing.boundaries(lengths, counts, k)
+        assert len(tops) == k and padding(lengths, counts, tops) == exact(lengths, counts, k)
+
+
+def test_one_huge_text_leaves_the_others_their_buckets(spark):
+    lengths = [(i * i) % 611 + 1 for i in range(900)] + [1_000_000]
+    df = spark.createDataFrame([(i, n, "") for i, n in enumerate(lengths)], "doc_id long, n long, text string")
+    got = packing.pack(df, length=F.col("n")).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == dict(enumerate(lengths))
+    assert len({r.bucket for r in got}) == 8
+    kinds, counts = np.unique(lengths, return_counts=True)
+    assert sum(r.padding for r in got) == exact(kinds, counts, 8)
