@@ -56,18 +56,20 @@ def held_out(key: str = "doc_id"):
 def fit(documents: DataFrame, texts: int = 150, chars: int = 1500, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
     """Learn from rows that aren't held out and have text, key and label: a bounded sample of labelled rows.
 
-    The bound: about `texts` rows a language, chosen by a hash of their text, `chars` characters of each. Repeated texts
-    are taken once. The languages are those that occur as labels, at most 1000 (else an error).
+    The bound: about `texts` different texts a language, chosen by a hash of their text, `chars` characters of each.
+    Repeated texts are taken once, however often they occur. The languages are those that occur as labels, at most 1000 (else an error).
     """
     rows = documents.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")).filter(~held_out("k") & F.col("k").isNotNull() & (F.trim("text") != "") & F.col("lang").isNotNull())
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(1001).collect()}
+    by_text = rows.groupBy("lang", F.xxhash64("text")).agg(F.count("*").alias("n"))
+    found = by_text.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).limit(1001).collect()
+    counts, different = {r.lang: r.n for r in found}, {r.lang: r.texts for r in found}
     if len(counts) > 1000:
         raise ValueError("more than 1000 languages")
     if not counts:
         return Model({})
     order = sorted(counts, key=lambda x: (-counts[x], x))
-    # A text is in the sample if its hash is in the lowest share that holds twice as many rows as wanted.
-    share = F.create_map(*(F.lit(x) for k in order for x in (k, min(1.0, 2 * texts / counts[k]))))
+    # A text is in the sample if its hash is in the lowest share that holds twice as many different texts as wanted.
+    share = F.create_map(*(F.lit(x) for k in order for x in (k, min(1.0, 2 * texts / different[k]))))
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.filter(place < share[F.col("lang")]).select("lang", place.alias("p"), F.substring("text", 1, chars).alias("t")).distinct().limit(8 * texts * len(counts)).collect()
     chosen: dict[str, list] = {k: [] for k in order}

@@ -1,5 +1,7 @@
 import zlib
 
+from pyspark.sql import functions as F
+
 from terrasift.llm import language_id
 
 DE = "der und die das nicht mit schon einer über für wird auch haben keine straße groß"
@@ -31,6 +33,18 @@ def test_held_out_accuracy_and_rejection(spark):
     assert {r.language.lang for r in language_id.identify(df, model, margin=0.99).collect()} == {"und"}
 
 
+def test_a_language_of_copies_is_learned(spark):
+    df = spark.createDataFrame(rows(), "doc_id long, text string, lang string")
+    copies = spark.range(1000, 201000).select(F.col("id").alias("doc_id"), F.lit("und die das nicht").alias("text"), F.lit("de").alias("lang"))
+    model = language_id.fit(df.unionByName(copies), texts=40)
+    assert list(model.dictionaries) == ["de", "en"]
+    for lang in ("de", "en"):
+        own = {t.lower() for i, t, x in rows() if x == lang and zlib.crc32(str(i).encode()) % 5}
+        assert sum(t in model.dictionaries[lang].decode() for t in own) >= min(39, len(own))
+    got = language_id.identify(df, model).collect()
+    assert all(r.language.lang == r.lang for r in got)
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([(1, "some text", "en")], "doc_id long, text string, lang string")
     model = language_id.fit(df.limit(0))
