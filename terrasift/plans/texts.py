@@ -165,10 +165,14 @@ SELECT d.doc_id, b.item_id FROM documents d, benchmark b WHERE contains(lower(d.
 """)
 def quotes_restored(spark, sf_dir):
     """Quotations found in texts. The inner words of a quotation are whole words of the text too, so four of them are an
-    equi-join key; the caseless test on both texts decides."""
+    equi-join key; the caseless test on both texts decides. Quotations too short for a key are searched for in all texts."""
     words = F.split(F.lower("text"), "\\s+")
-    items = table(spark, sf_dir, "benchmark").filter(F.size(words) >= 6).select("item_id", F.col("text").alias("quote"), F.array_join(F.slice(words, 2, 4), " ").alias("key"))
+    benchmark, texts = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = benchmark.filter(F.size(words) >= 6).select("item_id", F.col("text").alias("quote"), F.array_join(F.slice(words, 2, 4), " ").alias("key"))
+    rest = benchmark.filter(F.size(words) < 6).select("item_id", F.col("text").alias("quote"))
     windows = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 3), lambda i: F.array_join(F.slice(w, i, 4), " "))
     grams = F.flatten(F.transform(F.array(words), windows))
-    docs = table(spark, sf_dir, "documents").filter(F.size(words) >= 4).select("doc_id", "text", F.explode(F.array_distinct(grams)).alias("key"))
-    return docs.join(items, "key").filter(F.lower("text").contains(F.lower("quote"))).select("doc_id", "item_id").distinct()
+    docs = texts.filter(F.size(words) >= 4).select("doc_id", "text", F.explode(F.array_distinct(grams)).alias("key"))
+    holds = F.lower("text").contains(F.lower("quote"))
+    near = docs.join(items, "key").filter(holds).select("doc_id", "item_id")
+    return near.union(texts.join(F.broadcast(rest), holds).select("doc_id", "item_id")).distinct()
