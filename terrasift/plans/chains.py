@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from terrasift.operators import chains as C
 from terrasift.operators import folds, language_gate
 from terrasift.plans.registry import query, table
+from terrasift.shared import checkpointer
 
 
 def _chain(spark, sf_dir):
@@ -87,9 +86,7 @@ def correction_scope(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select(F.lit(0).alias("chain"), F.col("n_nationkey").cast("long").alias("segment"), F.col("n_name").alias("event"))
     chain = n.withColumn("predecessors", F.when(F.col("segment") >= 5, F.array(F.col("segment") - 5)).otherwise(F.array().cast("array<bigint>")))
     seeds = chain.filter("segment = 2").select("chain", "segment")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return C.scope(chain, seeds, lambda df: df.checkpoint())
+    return C.scope(chain, seeds, checkpointer(spark))
 
 
 @query("""

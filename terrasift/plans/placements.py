@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from terrasift.operators import extract
 from terrasift.operators import placements as P
 from terrasift.plans.registry import query, table
 from terrasift.plans.spatial import _PTS, _CELLS, _cells, _points
+from terrasift.shared import checkpointer
 
 
 @query("""
@@ -85,12 +84,9 @@ t(u, v) AS (SELECT u, u FROM n UNION SELECT t.u, n.v FROM t JOIN n ON n.u = t.v)
 SELECT box, site FROM s WHERE site IN (SELECT site FROM s GROUP BY site HAVING count(DISTINCT box % 3) >= 2)""")
 def ref_sites(spark, sf_dir):
     """Clusters of boxes that at least two models support."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
     p = _points(spark, sf_dir)
     boxes = p.select(F.col("vec_id").alias("box"), (F.col("vec_id") % 3).alias("model"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + 3).alias("x1"), (F.col("y") + 3).alias("y1"))
-    return P.sites(boxes, 1.0, 2, lambda d: d.checkpoint())
+    return P.sites(boxes, 1.0, 2, checkpointer(spark))
 
 
 @query("""

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-import tempfile
 
 from pyspark.sql import functions as F
 
 from terrasift.functions import expressions, geometry
 from terrasift.operators import raster, spatial
 from terrasift.plans.registry import query, table
+from terrasift.shared import checkpointer
 
 
 def _points(spark, sf_dir):
@@ -104,13 +104,11 @@ def flow_receivers(spark, sf_dir):
 @query()
 def d8_watershed(spark, sf_dir):
     """Sinks filled, receivers found, and the cells that drain to the lowest one of the edge."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    filled = raster.fill(_cells(spark, sf_dir)).checkpoint()
-    tree = raster.receivers(filled).checkpoint()
+    keep = checkpointer(spark)
+    filled = keep(raster.fill(_cells(spark, sf_dir)))
+    tree = keep(raster.receivers(filled))
     outlets = tree.filter("to_r is null").select("raster", "r", "c", F.concat_ws("/", "r", "c").alias("outlet"))
-    return raster.watershed(tree, outlets, lambda d: d.checkpoint())
+    return raster.watershed(tree, outlets, keep)
 
 
 @query(f"""WITH {_CELLS}, b AS (SELECT r, c, z FROM cells WHERE r = 5), d AS (SELECT a.r, a.c, a.z - b.z AS above, row_number() OVER (PARTITION BY a.r, a.c ORDER BY (a.r - b.r) ** 2 + (a.c - b.c) ** 2, b.r, b.c) AS k FROM cells a JOIN b ON (a.r - b.r) ** 2 + (a.c - b.c) ** 2 <= 9)
