@@ -2,29 +2,36 @@
 
 Windows are `n` consecutive words of an item; an item of fewer words, but not none, is one window. The set goes to the
 tasks only while it is below ``MAX_WINDOWS`` windows and ``MAX_BYTES`` bytes of text; a larger benchmark is dealt into
-slices by item, each below the bound, and the texts are scanned once for each slice. Every hash hit is verified on the
-words themselves.
+slices by item, each below the bound, and the texts are scanned once for each slice, one slice after the other: only one
+set is ever held, and of each scan only what texts with hits have is written. Every hash hit is verified on the words
+themselves.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import string
+import uuid
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terrasift.llm.store import keep, sized
 from terrasift.llm.textops import ALNUM, LOWER, prefix, stretch, texts_of, window_hashes, word_hashes
 
 MAX_WINDOWS, MAX_BYTES = 2_000_000, 64 << 20
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _FOLD = bytes(LOWER)
 _FILTER = 22
+_UPPER = string.ascii_uppercase
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -80,30 +87,33 @@ class WindowSet:
         return out
 
 
-def _slices(benchmark: DataFrame, n: int, text: str, key: str) -> list[list[tuple[str, bytes]]]:
-    """The benchmark's items in as many slices as keep each below the bounds; one slice is held at a time."""
+def _slices(benchmark: DataFrame, n: int, text: str, key: str) -> tuple[int, Iterator[list[tuple[str, bytes]]]]:
+    """The number of slices that keeps each below the bounds, and the slices' items; one slice is held at a time."""
     items = benchmark.select(F.col(f"`{key}`").cast("string").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     # A window starts at a word, and a word and its gap take two bytes at least.
     count = max(1, math.ceil(size[0] / MAX_BYTES), math.ceil(size[0] / 2 / MAX_WINDOWS))
-    for k in range(count):
-        rows = (items if count == 1 else items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(count)) == k)).collect()
-        yield [(r.id, r.text.encode()) for r in rows]
+    own = lambda k: items if count == 1 else items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(count)) == k)
+    return count, ([(r.id, r.text.encode()) for r in own(k).collect()] for k in range(count))
 
 
 _HITS = "n_words bigint, hits binary, items array<string>"
 
 
-def _scanned(docs: DataFrame, part: list[tuple[str, bytes]], n: int) -> DataFrame:
-    """doc columns (doc_id, text) -> also n_words, hits (a bit for each word; empty if none), items."""
-    shared = docs.sparkSession.sparkContext.broadcast((part, n))
-    made = {}
+#: The window set that this worker made last, by the number of its slice.
+_made: dict[str, WindowSet] = {}
+
+
+def _scanned(docs: DataFrame, part: list[tuple[str, bytes]], n: int) -> tuple[DataFrame, Broadcast]:
+    """doc columns with text -> also n_words, hits (a bit for each word; empty if none), items; and what was sent to the tasks."""
+    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, part, n))
 
     def scan(batches):
-        key = shared.id if hasattr(shared, "id") else 0
-        if key not in made:
-            made[key] = WindowSet(*shared.value)
-        windows = made[key]
+        number, items, size = shared.value
+        if number not in _made:
+            _made.clear()
+            _made[number] = WindowSet(items, size)
+        windows = _made[number]
         for batch in batches:
             for x in range(0, batch.num_rows, 256):
                 b = batch.slice(x, 256)
@@ -112,25 +122,41 @@ def _scanned(docs: DataFrame, part: list[tuple[str, bytes]], n: int) -> DataFram
                 yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, "n_words", "hits", "items"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(scan, f"{fields}, {_HITS}")
+    return docs.mapInArrow(scan, f"{fields}, {_HITS}"), shared
+
+
+def _by_slices(docs: DataFrame, parts, n: int) -> DataFrame:
+    """docs (row, text) with n_words, hits, items, scanned once for each slice of the benchmark.
+
+    Hits depend on the text alone, so those of a text are kept once, by two hashes of it, and joined back at the end.
+    """
+    two = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2")]
+    found = None
+    for part in parts:
+        scanned, shared = _scanned(docs.select("text"), part, n)
+        own = keep(scanned.filter(F.octet_length("hits") > 0).select(*two, "hits", "items"))
+        shared.destroy()
+        found = own if found is None else found.unionByName(own)
+    # A slice has the same hits for equal texts, so there are no more different ones than slices.
+    merged = keep(found.groupBy("h1", "h2").agg(_either(F.collect_set("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")))
+    words = F.regexp_count(F.translate(F.coalesce("text", F.lit("")), _UPPER, _UPPER.lower()), F.lit("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"))
+    out = docs.select("*", *two).join(sized(merged), ["h1", "h2"], "left")
+    return out.select("row", "text", words.cast("long").alias("n_words"), F.coalesce("hits", F.lit(b"")).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def find_hits(documents: DataFrame, benchmark: DataFrame, n: int = 13, text: str = "text", key: str = "item_id") -> DataFrame:
     """documents with struct column `contamination`: n_words, n_hit, items (sorted ids), contaminated, hits (bits of words).
 
     A word is hit inside any occurrence of a window; contaminated means n_hit > 0 and 20 * n_hit >= n_words. Null texts
-    have no words. All columns stay as they are, whatever their names; an empty benchmark hits nothing, an empty table
-    gives an empty result, repeated rows are judged alike. Items without words have no window; null ids read as ''.
+    have no words; texts of any length are read whole. All columns stay as they are, whatever their names; an empty
+    benchmark hits nothing, an empty table gives an empty result, repeated rows are judged alike. Items without words have
+    no window; null ids read as ''.
     """
     # The other columns travel in one struct, so that none of their names can clash.
     others = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in documents.columns if c != text))
     docs = documents.select(others.alias("row"), F.col(f"`{text}`").alias("text"))
-    parts = _slices(benchmark, n, text, key)
-    out = _scanned(docs, next(parts), n)
-    for k, part in enumerate(parts):
-        more = _scanned(out.select("row", "text", F.struct("hits", "items").alias(f"_{k}")), part, n)
-        both = F.when(F.octet_length("hits") == 0, F.col(f"_{k}.hits")).when(F.octet_length(f"_{k}.hits") == 0, F.col("hits")).otherwise(_either(F.col("hits"), F.col(f"_{k}.hits")))
-        out = more.select("row", "text", "n_words", both.alias("hits"), F.array_distinct(F.concat("items", f"_{k}.items")).alias("items"))
+    count, parts = _slices(benchmark, n, text, key)
+    out = _scanned(docs, next(parts), n)[0] if count == 1 else _by_slices(docs, parts, n)
     n_hit = F.coalesce(_bits(F.col("hits")), F.lit(0)).cast("long")
     out = out.withColumn("n_hit", n_hit)
     about = F.struct("n_words", "n_hit", F.array_sort("items").alias("items"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "hits")
@@ -138,8 +164,9 @@ def find_hits(documents: DataFrame, benchmark: DataFrame, n: int = 13, text: str
 
 
 @F.pandas_udf(T.BinaryType())
-def _either(a, b):
-    return pd.Series([(np.frombuffer(x, np.uint8) | np.frombuffer(y, np.uint8)).tobytes() if x and y else x or y for x, y in zip(a, b, strict=True)])
+def _either(hits: pd.Series) -> pd.Series:
+    """Bit fields of equal length laid over each other."""
+    return pd.Series([np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in xs]).tobytes() for xs in hits])
 
 
 def _bits(hits):

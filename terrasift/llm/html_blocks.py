@@ -9,11 +9,12 @@ from dataclasses import dataclass
 # Element names of HTML by how they are laid out and closed.
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre search section select summary "
+    "h1 h2 h3 h4 h5 h6 head header hr html iframe legend li main menu nav noscript ol optgroup option p pre search section select summary "
     "table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas".split())
+#: Elements whose content is no text of the page: code, what is in the head, and what readers type.
+RAW = frozenset("script style template textarea title".split())
 #: An element that is closed when one of these begins, up to the nearest of the limits.
 ENDED_BY = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
@@ -42,7 +43,9 @@ def _tokens(tag: str, attributes: str) -> tuple[str, ...]:
 def blocks(page: str | None) -> list[Block]:
     """The non-empty leaf blocks of a page, in order; character references decoded, white space single, trimmed.
 
-    Scripts, styles and other raw elements, comments and declarations have no text. Unclosed and stray tags are borne.
+    Scripts, styles and other raw elements, comments and declarations have no text. Formulas, drawings and what stands in
+    for embedded things count as text where they stand. Unclosed and stray tags are borne. A path has all open elements, or
+    for depths above 32 the outer 8 and the inner 24; texts are never cut.
     """
     out: list[Block] = []
     if not page:

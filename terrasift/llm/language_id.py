@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PART, LEVEL = 2000, 6
@@ -56,8 +56,10 @@ def held_out(key: str = "doc_id"):
 def fit(documents: DataFrame, texts: int = 150, chars: int = 1500, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
     """Learn from rows that aren't held out and have text, key and label: a bounded sample of labelled rows.
 
-    The bound: about `texts` different texts a language, chosen by a hash of their text, `chars` characters of each.
-    Repeated texts are taken once, however often they occur. The languages are those that occur as labels, at most 1000 (else an error).
+    The bound: for each language `texts` parts of `chars` characters, chosen by a hash among all parts of about
+    2 * `texts` different texts, which are chosen by a hash too; texts count whole, wherever a part stands. Repeated texts
+    and parts are taken once, however often they occur. The languages are those that occur as labels, at most 1000 (else
+    an error).
     """
     rows = documents.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")).filter(~held_out("k") & F.col("k").isNotNull() & (F.trim("text") != "") & F.col("lang").isNotNull())
     by_text = rows.groupBy("lang", F.xxhash64("text")).agg(F.count("*").alias("n"))
@@ -71,12 +73,15 @@ def fit(documents: DataFrame, texts: int = 150, chars: int = 1500, text: str = "
     # A text is in the sample if its hash is in the lowest share that holds twice as many different texts as wanted.
     share = F.create_map(*(F.lit(x) for k in order for x in (k, min(1.0, 2 * texts / different[k]))))
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.filter(place < share[F.col("lang")]).select("lang", place.alias("p"), F.substring("text", 1, chars).alias("t")).distinct().limit(8 * texts * len(counts)).collect()
+    picked = rows.filter(place < share[F.col("lang")]).dropDuplicates(["lang", "text"])
+    parts = picked.select("lang", F.explode(F.regexp_extract_all("text", F.lit(f"(?s)(.{{1,{chars}}})"), F.lit(1))).alias("t")).filter(F.trim("t") != "").distinct()
+    # Short rests of texts stand behind whole parts, so that what is taken has the most to offer.
+    parts = parts.withColumn("whole", F.length("t") >= chars // 2).withColumn("p", F.xxhash64(F.lit(1), "t"))
+    first = Window.partitionBy("lang").orderBy(F.desc("whole"), "p", "t")
+    sample = parts.withColumn("i", F.row_number().over(first)).filter(F.col("i") <= texts).select("lang", "i", "t").collect()
     chosen: dict[str, list] = {k: [] for k in order}
-    for r in sorted(sample, key=lambda r: (r.p, r.t)):
-        own = chosen[r.lang]
-        if len(own) < texts and (not own or own[-1] != r.t):
-            own.append(r.t)
+    for r in sorted(sample, key=lambda r: r.i):
+        chosen[r.lang].append(r.t)
     # What stands last is nearest to the text that is compressed; the order within is that of the hash.
     return Model({k: " ".join(t.lower() for t in v).encode() for k, v in chosen.items() if v})
 
@@ -84,8 +89,8 @@ def fit(documents: DataFrame, texts: int = 150, chars: int = 1500, text: str = "
 def identify(documents: DataFrame, model: Model, margin: float = 0.0, text: str = "text") -> DataFrame:
     """documents with a struct column `language`: lang (`und` if rejected), score.
 
-    Rejected: null texts, texts without letters, and texts whose score is below `margin`. No other column is read, none
-    is changed whatever its name; repeated rows get equal results, an empty table an empty one.
+    Rejected: null texts, texts without letters, and texts whose score is below `margin`. Texts of any length are read whole,
+    part by part; ties go to the more frequent language. No other column is read, none is changed whatever its name; repeated rows get equal results, an empty table an empty one.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
     others = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in documents.columns if c != text))

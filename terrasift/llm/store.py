@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows and bytes (as compressed Parquet) up to which a side may be broadcast; beyond them the join is a sort-merge join.
-BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 16 << 20
-
+from terrasift.shared import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a folder of our own is set only where that setting is missing."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="terrasift-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/terrasift-{uuid.uuid4().hex}"
+#: Rows and bytes (as compressed Parquet; twice as many in memory) up to which a side may be broadcast; beyond them the join
+#: is a sort-merge join.
+BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 16 << 20
 
 
 def keep(df: DataFrame, *partition_by: str) -> DataFrame:
@@ -42,11 +34,31 @@ def drop(*tables: DataFrame) -> None:
             p.getFileSystem(hadoop).delete(p, True)
 
 
+def _built(df: DataFrame) -> tuple[int, int]:
+    """Rows of a table, and bytes of them as a broadcast join's hash table holds them."""
+    size = F.lit(0).cast("long")
+    for f in df.schema:
+        c = F.col(f"`{f.name}`")
+        size = size + 8
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(f.dataType, T.ArrayType):
+            size = size + 8 * F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)) + 16
+        elif isinstance(f.dataType, (T.StructType, T.MapType)):
+            size = size + F.octet_length(F.to_json(F.struct(c)))
+    # A row has a header and a slot in the table besides.
+    r = df.agg(F.count("*"), F.coalesce(F.sum(size + 40), F.lit(0))).first()
+    return r[0], r[1]
+
+
 def sized(df: DataFrame) -> DataFrame:
-    """A kept table, with a broadcast hint if it is within the bounds (known from its files and their footers)."""
+    """A kept table, with a broadcast hint if it is within the bounds: its files, its rows, and what is built from them."""
     path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._terrasift_path)
     size = path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
-    if size > BROADCAST_BYTES or df.count() > BROADCAST_ROWS:
+    if size > BROADCAST_BYTES:
+        return df
+    rows, built = _built(df)
+    if rows > BROADCAST_ROWS or built > 2 * BROADCAST_BYTES:
         return df
     out = F.broadcast(df)
     out._terrasift_path = df._terrasift_path

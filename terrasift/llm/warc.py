@@ -20,7 +20,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrasift.llm.store import keep, shared_dir, sized
+from terrasift.llm.store import keep, sized
+from terrasift.shared import shared_dir
 
 #: Fixed values of the format: magic numbers of the dictionary's skippable frame and of a Zstandard frame.
 DICT_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528

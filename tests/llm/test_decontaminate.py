@@ -41,11 +41,12 @@ def tables(spark):
     return docs, items
 
 
-@pytest.mark.parametrize("sliced", [False, True])
-def test_against_brute_force(spark, monkeypatch, sliced):
-    if sliced:
-        monkeypatch.setattr(decontaminate, "MAX_BYTES", 300)
+@pytest.mark.parametrize("limit", [None, 150, 60])
+def test_against_brute_force(spark, monkeypatch, limit):
     docs, items = tables(spark)
+    if limit:
+        monkeypatch.setattr(decontaminate, "MAX_BYTES", limit)
+        assert sum(len((t or "").encode()) for _, t in items) / limit > 3
     d = spark.createDataFrame([(*x, "z", 1) for x in docs], "doc_id long, text string, hits string, contamination int").drop("contamination")
     b = spark.createDataFrame(items, "item_id long, text string")
     got = {r.doc_id: (r.contamination.n_words, r.contamination.n_hit, r.contamination["items"], r.contamination.contaminated) for r in decontaminate.find_hits(d, b).collect()}

@@ -15,6 +15,7 @@ def test_blocks_of_odd_markup():
     assert blocks(None) == blocks("") == blocks("<script>x") == []
     assert blocks('<div class="mainNav side-bar" id=x><a href=#>ab</a>c')[0] == blocks('<div class="mainNav side-bar" id=x><a href=#>ab</a>c')[0]
     assert blocks('<div class="mainNav side-bar"><a href=#>ab</a>c')[0].path == ("div", ".main", ".nav", ".side", ".bar")
+    assert [b.text for b in blocks("<p>a <math><mi>x</mi></math> <svg><text>y</text></svg><object>z</object><canvas> w</canvas></p><noscript>n</noscript><p>b<iframe>i</iframe>")] == ["a x yz w", "n", "b", "i"]
     assert len(blocks("<div>" * 3000 + "deep")[0].path) == 32
 
 
@@ -54,6 +55,12 @@ def test_pages_against_their_article_element(spark, sf):
     assert same >= 0.98 * len(rows)
 
 
+def test_embedded_elements_and_notices():
+    words = "One sentence of text stands here. Another one follows it, and a third."
+    page = f"<body><noscript>Please enable JavaScript</noscript><nav><a href=#>Home</a></nav><article><h1>Title</h1><p>{words} <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p><p>{words}</p><p><svg><text>Drawn words</text></svg> {words}</p></article><footer>Imprint</footer></body>"
+    assert html_extract.main_texts([page]) == [["Title", f"{words} x=1", words, f"Drawn words {words}"]]
+
+
 def test_null_empty_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, "<article><h1>T</h1><p>One sentence of text. Another one follows here.</p></article>", "c")], "page_id long, html string, text string")
     got = {r.page_id: (r.text, r.main.text) for r in html_extract.extract(df).collect()}

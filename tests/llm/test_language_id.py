@@ -2,6 +2,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
+from corpus_pipeline import MARGIN
 from terrasift.llm import language_id
 
 DE = "der und die das nicht mit schon einer über für wird auch haben keine straße groß"
@@ -45,6 +46,34 @@ def test_a_language_of_copies_is_learned(spark):
     assert all(r.language.lang == r.lang for r in got)
 
 
+def test_held_out_accuracy_on_the_table(spark):
+    """Labelled texts that nothing was learned from; what the pipeline's margin rejects is short or no prose."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.fit(docs)
+    got = language_id.identify(docs, model).filter(language_id.held_out() & F.col("lang").isNotNull()).collect()
+    right = [r for r in got if r.language.lang == r.lang]
+    assert len(got) > 100 and len(right) >= 0.98 * len(got)
+    prose = [r for r in right if len(r.text) >= 200 and len(set(r.text.split())) > 30 and r.text.upper() != r.text]
+    assert len(prose) > 80 and all(r.language.score >= MARGIN for r in prose)
+
+
+def test_other_scripts_are_rejected_by_the_margin(spark):
+    df = spark.createDataFrame(rows(), "doc_id long, text string, lang string")
+    model = language_id.fit(df, texts=40)
+    for text in ("Привет мир это русский текст", "こんにちは世界 これは日本語の文章です"):
+        assert model.predict(text * 5)[1] < MARGIN
+    assert model.predict(" ".join(DE.split()[:12]))[1] >= MARGIN
+
+
+def test_parts_of_whole_texts_are_learned(spark):
+    """A text longer than a part counts to its end."""
+    long_ = "x" * 30 + " " + " ".join(f"w{i:04}" for i in range(400))
+    df = spark.createDataFrame([(k, long_, "en") for k in range(1, 9)], "doc_id long, text string, lang string")
+    d = language_id.fit(df, texts=50, chars=100).dictionaries["en"].decode()
+    assert all(f"w{i:04}"[:3] in d for i in range(400)) and "w0399" in d
+    assert len(d) < len(long_) + 60
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([(1, "some text", "en")], "doc_id long, text string, lang string")
     model = language_id.fit(df.limit(0))
