@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from terrasift.llm import decontaminate, jaccard_join, language_id, line_dedup, packing
 from terrasift.llm.store import keep, sized
 
-#: Least share by which the second best language has to be larger; below it a text's language is not told apart.
-MARGIN = 0.0002
+#: Least share by which the second best language has to be larger; below it a text's language is not told apart. README has
+#: the scores of labelled texts and of texts in other languages that it was chosen by.
+MARGIN = 0.01
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
