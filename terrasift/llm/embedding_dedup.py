@@ -1,14 +1,17 @@
 """Near-duplicate vectors by a forest of random-projection trees.
 
-Each tree splits by random directions near the median. Vectors close to a split go both ways (spill), so that near pairs
-seldom part; a pair is missed only if all trees part it. Within a leaf all pairs are compared by cosine in double
-precision, so no link below the threshold is ever made.
-
-Fitted on a bounded sample: at most ``SAMPLE`` vectors choose the split points; a node that the sample leaves with few
-points is split by its nearest ancestor's points, so trees may be as deep as the number of rows asks for. Every row is
-indexed. The spill shrinks with depth so that a vector is in about ``SPREAD`` leaves of a tree, whatever the depth.
-Equal vectors are one from the start. A leaf that splits can't thin out (a dense group) is compared in pairs of blocks.
-A pair is counted only in the first leaf that both are in, so links are counted without listing pairs.
+Each tree splits by random directions. Vectors within half a window of a split go both ways (spill): the window is as wide
+as vectors at the threshold lie apart along a random direction, so near pairs seldom part; a pair is missed only if all
+trees part it. Within a leaf all pairs are compared by cosine in double precision, so no link below the threshold is made.
+
+Fitted on a bounded sample: at most ``SAMPLE`` vectors choose directions and split points; a node that the sample leaves
+with few points is split by its nearest ancestor's points, so trees may be as deep as the number of rows asks for. Every
+row is indexed. Of a few directions and all split points in the middle, a node takes those that leave the least to
+compare, so splits run around dense groups. Where none leaves much less than the node itself, its points are mostly within
+the threshold of each other: it stays whole as one large leaf, which is compared in pairs of blocks.
+
+Equal vectors are one from the start. A pair is counted only in the first leaf that both are in, so links are counted
+without listing pairs.
 """
 
 from __future__ import annotations
@@ -19,103 +22,130 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terrasift.llm.components import components
-from terrasift.llm.store import keep, sized
+from terrasift.llm.store import drop, join_roots, keep, sized, tables_by_key
 
-SAMPLE, LEAF, TREES, SPREAD, FEW = 10_000, 384, 8, 3.0, 32
+SAMPLE, LEAF, TREES, FEW, TRIES = 10_000, 384, 5, 32, 3
+#: Rows in a block of a large leaf, and in a tile of a comparison.
+BLOCK, TILE = 2048, 512
+#: Share of the node's pairs that its halves may still hold; beyond it the node is not split.
+STOP = 0.85
+#: Bits of a leaf's number below its tree's.
+_PATH = 56
 
 
 class Forest:
-    """Trees over unit vectors; leaves have numbers below 2**62 that are unique over trees."""
+    """Trees over unit vectors; leaves are numbered by tree and path, uniquely over trees."""
 
-    def __init__(self, sample: np.ndarray, rows: int, trees: int = TREES):
-        self.sample, self.trees = sample, trees
-        self.depth = max(0, math.ceil(math.log2(max(1, rows) * SPREAD / LEAF))) if rows > LEAF else 0
-        self.overlap = min(0.3, SPREAD ** (1 / self.depth) - 1) if self.depth else 0.0
+    def __init__(self, sample: np.ndarray, rows: int, threshold: float, trees: int = TREES):
+        self.sample, self.rows, self.trees = sample, rows, trees
+        self.half = math.sqrt(max(0.0, 2 - 2 * threshold) / max(1, sample.shape[1])) / 2
         self.made: dict = {}
 
     def __getstate__(self):
         return {**self.__dict__, "made": {}}
 
-    def _node(self, tree: int, path: int, points: np.ndarray):
-        """Direction, lower and upper split point of a node, and the sample points of both children."""
-        if (tree, path) not in self.made:
-            w = np.random.default_rng((tree, path & (2**32 - 1), path >> 32)).standard_normal(self.sample.shape[1])
+    def _split(self, tree: int, path: int, points: np.ndarray, rows: float):
+        """(direction, split point, (points, rows) of both children), or None for a leaf of about that many rows."""
+        if rows <= LEAF or path >> (_PATH - 1) or not len(points):
+            return None
+        random, best = np.random.default_rng((tree, path & (2**32 - 1), path >> 32)), None
+        for _ in range(TRIES):
+            w = random.standard_normal(self.sample.shape[1])
+            w /= np.linalg.norm(w)
             own = self.sample[points] @ w
-            lo, hi = np.quantile(own, [0.5 - self.overlap / 2, 0.5 + self.overlap / 2]) if len(own) else (0.0, 0.0)
-            left, right = points[own < hi], points[own >= lo]
+            order = np.sort(own)
+            at = order[int(0.3 * len(order)) : int(0.7 * len(order)) + 1]
+            left = np.searchsorted(order, at + self.half, "left") / len(order)
+            right = 1 - np.searchsorted(order, at - self.half, "left") / len(order)
+            cost = left**2 + right**2
+            k = int(np.argmin(cost))
+            if best is None or cost[k] < best[0]:
+                best = (cost[k], w, at[k], own, left[k], right[k])
+        cost, w, at, own, left, right = best
+        if cost > STOP:
+            return None
+        parts = (points[own < at + self.half], points[own >= at - self.half])
+        return w, at, [(p if len(p) >= FEW else points, rows * share) for p, share in zip(parts, (left, right), strict=True)]
+
+    def _node(self, tree: int, path: int, points: np.ndarray, rows: float):
+        if (tree, path) not in self.made:
             if len(self.made) > 20_000:
                 self.made.clear()
-            self.made[tree, path] = (w, lo, hi, left if len(left) >= FEW else points, right if len(right) >= FEW else points)
+            self.made[tree, path] = self._split(tree, path, points, rows)
         return self.made[tree, path]
 
     def leaves(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) of all leaves that the rows are in."""
         rows, leaves = [], []
         for tree in range(self.trees):
-            open_ = [(1, np.arange(len(unit)), np.arange(len(self.sample)))]
-            for _ in range(self.depth):
-                below = []
-                for path, own, points in open_:
-                    w, lo, hi, left, right = self._node(tree, path, points)
-                    at = unit[own] @ w
-                    for bit, sub, pts in ((0, own[at < hi], left), (1, own[at >= lo], right)):
-                        if len(sub):
-                            below.append((path * 2 + bit, sub, pts))
-                open_ = below
-            for path, own, _ in open_:
-                rows.append(own)
-                leaves.append(np.full(len(own), path * 64 + tree))
+            open_ = [(1, np.arange(len(unit)), np.arange(len(self.sample)), float(self.rows))]
+            while open_:
+                path, own, points, size = open_.pop()
+                node = self._node(tree, path, points, size)
+                if node is None:
+                    rows.append(own)
+                    leaves.append(np.full(len(own), tree << _PATH | path))
+                    continue
+                w, cut, children = node
+                at = unit[own] @ w
+                for bit, side in enumerate((at < cut + self.half, at >= cut - self.half)):
+                    if side.any():
+                        open_.append((path * 2 + bit, own[side], *children[bit]))
         return np.concatenate(rows), np.concatenate(leaves)
 
 
-def _unit(batch_column) -> np.ndarray:
-    flat = batch_column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    x = flat.reshape(len(batch_column), -1)
+def _unit(flat: np.ndarray, rows: int) -> np.ndarray:
+    x = flat.astype(np.float64).reshape(rows, -1)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def leaf_links(ids: np.ndarray, weight: np.ndarray, unit: np.ndarray, codes: list[np.ndarray], leaf: int, split: int, threshold: float):
+def _together(flat: np.ndarray, start: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether rows i and rows j (a matrix) have a number in common; those of row k are flat[start[k]:start[k + 1]]."""
+    sides = []
+    for rows in (i, j):
+        n = start[rows + 1] - start[rows]
+        at = np.repeat(start[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        sides.append((np.repeat(np.arange(len(rows)), n), flat[at]))
+    common = np.intersect1d(sides[0][1], sides[1][1])
+    out = []
+    for (row, code), rows in zip(sides, (i, j), strict=True):
+        k = np.searchsorted(common, code)
+        ok = k < len(common)
+        ok[ok] = common[k[ok]] == code[ok]
+        has = np.zeros((len(rows), len(common)), np.float32)
+        has[row[ok], k[ok]] = 1
+        out.append(has)
+    return out[0] @ out[1].T > 0
+
+
+def leaf_links(weight: np.ndarray, unit: np.ndarray, flat: np.ndarray, start: np.ndarray, split: int, threshold: float):
     """Of the pairs within the rows (or, with split > 0, of rows before split with rows from it on): for each row the
-    weight of the rows linked to it first here, and the place of the least row that it reaches."""
-    n = len(ids)
-    linked = unit @ unit.T >= threshold
-    np.fill_diagonal(linked, False)
-    if split:
-        linked[:split, :split] = linked[split:, split:] = False
-    i, j = np.nonzero(np.triu(linked))
-    reach = np.arange(n)
-    while len(i):
-        now = reach.copy()
-        np.minimum.at(now, i, reach[j])
-        np.minimum.at(now, j, reach[i])
-        now = now[now]
-        if (now == reach).all():
-            break
-        reach = now
-    gained = np.zeros(n, np.int64)
-    if len(i):
-        width = max(len(c) for c in codes)
-        table = np.full((n, width), -1, np.int64)
-        for k, c in enumerate(codes):
-            table[k, : len(c)] = c
-        for s in range(0, len(i), 20_000):
-            a, b = i[s : s + 20_000], j[s : s + 20_000]
-            left, right = table[a], table[b]
-            earlier = np.zeros(len(a), bool)
-            for c in range(width):
-                x = left[:, c]
-                earlier |= ((right == x[:, None]).any(1)) & (x >= 0) & (_rank(x) < _rank(np.int64(leaf)))
-            a, b = a[~earlier], b[~earlier]
-            np.add.at(gained, a, weight[b])
-            np.add.at(gained, b, weight[a])
-    return gained, reach
-
-
-def _rank(code):
-    return (code & 63) * np.int64(2**56) + (code >> 6)
+    weight of the rows linked to it first here, and the place of the least row that it reaches.
+
+    flat and start: the earlier leaves of each row, as in _together."""
+    n = len(weight)
+    gained, root, heavy = np.zeros(n), np.arange(n), weight.astype(np.float64)
+    for a in range(0, split or n, TILE):
+        a2 = min(a + TILE, split or n)
+        for b in range(split or a, n, TILE):
+            b2 = min(b + TILE, n)
+            linked = unit[a:a2] @ unit[b:b2].T >= threshold
+            if a == b:
+                linked = np.triu(linked, 1)
+            i, j = np.nonzero(linked)
+            if not len(i):
+                continue
+            apart = root[a + i] != root[b + j]
+            root = join_roots(root, a + i[apart], b + j[apart])
+            i, j = np.unique(i), np.unique(j)
+            new = (linked[np.ix_(i, j)] & ~_together(flat, start, a + i, b + j)).astype(np.float64)
+            gained[a + i] += new @ heavy[b + j]
+            gained[b + j] += heavy[a + i] @ new
+    return gained.astype(np.int64), root
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = 0.95, vector: str = "embedding", key: str = "vec_id", trees: int = TREES) -> DataFrame:
@@ -125,7 +155,9 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.95, vector: str
     lengths don't link. Repeated rows are vectors of their own and link with each other. A null vec_id is never the least;
     its component is null if it stands alone. Labels and other columns are not read. An empty table gives an empty result.
     """
-    v = F.col(f"`{vector}`").cast("array<double>")
+    kind = embeddings.schema[vector].dataType
+    single = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+    v = F.col(f"`{vector}`").cast("array<float>" if single else "array<double>")
     bad = F.coalesce(F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists(v, lambda x: x != 0), F.lit(True))
     rows = embeddings.select(F.col(f"`{key}`").cast("long").alias("vec_id"), v.alias("v"), bad.alias("bad"))
     rows = rows.withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(7), "v"))
@@ -136,7 +168,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.95, vector: str
         raise ValueError("vectors of more than 64 lengths")
     found = None
     for dim, n in dims:
-        part = _links_of(classes.filter(F.col("dim") == dim).select((F.col("h1")).alias("c"), "weight", "v"), n, threshold, trees)
+        part = _links_of(classes.filter(F.col("dim") == dim).select(F.col("h1").alias("c"), "weight", "v"), n, threshold, trees, np.float32 if single else np.float64)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = classes.select(F.col("h1").alias("c"), F.lit(0).cast("long").alias("gained"), F.col("h1").alias("root"))
@@ -151,66 +183,56 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.95, vector: str
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _links_of(classes: DataFrame, n: int, threshold: float, trees: int) -> DataFrame:
+def _links_of(classes: DataFrame, n: int, threshold: float, trees: int, kind: type) -> DataFrame:
     """(c, gained, root) of classes (c, weight, v) of one vector length: links first counted in some leaf, and an edge."""
     spark = classes.sparkSession
     share = min(1.0, 0.8 * SAMPLE / max(n, 1))
     picked = classes.filter(F.pmod(F.xxhash64(F.lit(3), "c"), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy("c").limit(SAMPLE).select("v").collect()
-    sample = np.array([r.v for r in picked], np.float64)
-    if len(sample):
-        sample /= np.abs(sample).max(axis=1, keepdims=True)
-        sample /= np.linalg.norm(sample, axis=1, keepdims=True)
-    else:
-        sample = np.zeros((0, len(classes.first().v)))
-    forest = spark.sparkContext.broadcast(Forest(sample, n, trees))
+    sample = np.array([r.v for r in picked] or [classes.first().v], np.float64)
+    forest = spark.sparkContext.broadcast(Forest(_unit(sample, len(sample)), n, threshold, trees))
 
     def route(batches):
         for batch in batches:
-            unit = _unit(batch.column(2))
-            row, leaf = forest.value.leaves(unit)
-            order = np.argsort(row, kind="stable")
-            ends = np.cumsum(np.bincount(row, minlength=len(unit)))
-            codes = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(leaf[order]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), codes], names=["c", "weight", "v", "leaves"])
-
-    routed = keep(classes.mapInArrow(route, "c bigint, weight bigint, v array<double>, leaves array<bigint>"))
-    sizes = keep(routed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1"))
-    blocks = F.when(F.col("n") <= 2 * LEAF, 1).otherwise(F.ceil(F.col("n") / LEAF)).cast("int")
-    m = routed.select("*", F.explode("leaves").alias("leaf")).join(sized(sizes), "leaf").withColumn("blocks", blocks)
-    m = m.withColumn("k", F.pmod(F.xxhash64(F.lit(5), "c"), F.col("blocks")).cast("int")).withColumn("k2", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    m = m.select("leaf", F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b"), (F.col("k") > F.col("k2")).alias("late"), "c", "weight", "v", "leaves")
+            for x in range(0, batch.num_rows, 4096):
+                b = batch.slice(x, 4096)
+                flat = b.column(2).flatten().to_numpy(zero_copy_only=False).astype(kind)
+                row, leaf = forest.value.leaves(_unit(flat, b.num_rows))
+                order = np.argsort(row, kind="stable")
+                ends = np.cumsum(np.bincount(row, minlength=b.num_rows))
+                leaves = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(leaf[order]))
+                raw = [x.tobytes() for x in flat.reshape(b.num_rows, -1)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(raw, pa.binary()), leaves], names=["c", "weight", "v", "leaves"])
+
+    routed = keep(classes.mapInArrow(route, "c bigint, weight bigint, v binary, leaves array<bigint>"))
+    # Only leaves that are compared in blocks; there is at most one in so many rows and trees.
+    large = keep(routed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * BLOCK))
+    m = routed.select("c", "weight", "v", "leaves", F.explode("leaves").alias("leaf")).join(sized(large), "leaf", "left")
+    m = m.withColumn("blocks", F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int")).withColumn("k", F.pmod(F.xxhash64(F.lit(5), "c"), F.col("blocks")).cast("int"))
+    m = m.withColumn("k2", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    earlier = F.filter("leaves", lambda x: x < F.col("leaf"))
+    m = m.select("leaf", F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b"), (F.col("k") > F.col("k2")).alias("late"), "c", "weight", "v", earlier.alias("earlier"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = m.repartition(parts, "leaf", "a", "b").sortWithinPartitions("leaf", "a", "b", "late", "c")
 
     def compare(batches):
-        rest = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            rest = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
-            keys = np.stack([rest.column(x).to_numpy() for x in ("leaf", "a", "b")])
-            cut = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0))
-            if len(cut):
-                yield from done(rest.slice(0, int(cut[-1]) + 1))
-                rest = rest.slice(int(cut[-1]) + 1)
-        if rest is not None and rest.num_rows:
-            yield from done(rest)
-
-    def done(t):
-        t = t.combine_chunks()
-        keys = np.stack([t.column(x).to_numpy() for x in ("leaf", "a", "b")])
-        start = np.concatenate(([0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1, [t.num_rows]))
-        late, c, weight = (t.column(x).to_numpy() for x in ("late", "c", "weight"))
-        unit = _unit(t.column("v").combine_chunks())
-        codes, at = t.column("leaves").combine_chunks(), 0
-        flat, sizes = codes.flatten().to_numpy(), codes.value_lengths().to_numpy()
-        ends = np.cumsum(sizes)
-        out = []
-        for at, to in zip(start[:-1], start[1:], strict=True):
+        for t in tables_by_key(batches, ["leaf", "a", "b"]):
+            if t.num_rows < 2:
+                continue
+            t = t.combine_chunks()
+            late, c, weight = (t.column(x).to_numpy() for x in ("late", "c", "weight"))
+            unit = _unit(np.frombuffer(b"".join(t.column("v").to_pylist()), kind), len(c))
+            earlier = t.column("earlier").combine_chunks()
+            start = np.concatenate(([0], np.cumsum(earlier.value_lengths().to_numpy())))
             # Of two different blocks, those of the later one come last.
-            split = int(to - at - late[at:to].sum()) if keys[1, at] != keys[2, at] else 0
-            gained, reach = leaf_links(c[at:to], weight[at:to], unit[at:to], [flat[e - s : e] for e, s in zip(ends[at:to], sizes[at:to], strict=True)], int(keys[0, at]), split, threshold)
-            some = np.flatnonzero((gained > 0) | (reach != np.arange(to - at)))
-            out.append((c[at:to][some], gained[some], c[at:to][reach[some]]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], names=["c", "gained", "root"])
-
-    return dealt.mapInArrow(compare, "c bigint, gained bigint, root bigint")
+            one = t.column("a")[0] == t.column("b")[0]
+            split = 0 if one else int((~late).sum())
+            if not one and split in (0, len(c)):
+                continue
+            gained, root = leaf_links(weight, unit, earlier.flatten().to_numpy(), start, split, threshold)
+            some = np.flatnonzero((gained > 0) | (root != np.arange(len(c))))
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (c[some], gained[some], c[root[some]])], names=["c", "gained", "root"])
+
+    found = keep(dealt.mapInArrow(compare, "c bigint, gained bigint, root bigint"))
+    drop(routed, large)
+    return found
