@@ -44,3 +44,39 @@ def replace_records(current: DataFrame, new: DataFrame, key: str, order: str = "
     last = current.agg(F.coalesce(F.max(order), F.lit(-1)).alias("_last"))
     added = new.crossJoin(F.broadcast(last)).withColumn(order, (F.col("_last") + 1 + F.col(order)).cast("long")).drop("_last")
     return current.join(new.select(key), key, "left_anti").unionByName(added)
+
+
+#: States in which a run or a stage counts as being worked on.
+BUSY, OPEN = ("running", "queued"), ("running", "queued", "pending")
+INTERRUPTED = "the process that worked on this has stopped"
+
+
+def interrupted(runs: DataFrame, workers: DataFrame) -> DataFrame:
+    """runs with status, stages and error of those marked failed whose worker is known to have stopped.
+
+    runs: run, status, stage (the current one), stages (map of stage to state), host, pid, error. workers: host, pid of live
+    processes, and a row with a null pid for each host that was looked at: runs of other hosts, and runs without a worker,
+    stay as they are.
+    """
+    live = workers.filter("pid is not null").select("host", "pid", F.lit(True).alias("_live")).distinct()
+    seen = workers.filter("pid is null").select("host", F.lit(True).alias("_seen")).distinct()
+    j = runs.join(live, ["host", "pid"], "left").join(seen, "host", "left")
+    gone = F.coalesce(F.col("_seen"), F.lit(False)) & F.col("pid").isNotNull() & F.col("_live").isNull() & F.col("status").isin(*BUSY)
+    stage = F.coalesce("stage", F.lit("pipeline"))
+    stages = F.transform_values("stages", lambda k, v: F.when((k == stage) & v.isin(*OPEN), "failed").otherwise(v))
+    out = j.withColumn("stages", F.when(gone, stages).otherwise(F.col("stages"))).withColumn("error", F.when(gone, INTERRUPTED).otherwise(F.col("error")))
+    return out.withColumn("status", F.when(gone, "failed").otherwise(F.col("status"))).select(*runs.columns)
+
+
+def commit(current: DataFrame, changes: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """One writer at a time without locks: changes carry the version they were made from; of those made from the current
+    version the first (least `at`, then `writer`) is taken and becomes the next version, the others come back as refused.
+
+    current: key, version, ... changes: the same columns, with version the one seen, and writer, at. Unseen keys have version 0.
+    """
+    now = current.select(key, F.col("version").alias("_now"))
+    j = changes.join(now, key, "left").withColumn("_now", F.coalesce("_now", F.lit(0)))
+    turn = F.row_number().over(Window.partitionBy(key, "version").orderBy("at", "writer"))
+    j = j.withColumn("_ok", (F.col("version") == F.col("_now")) & (turn == 1))
+    taken = j.filter("_ok").withColumn("version", (F.col("version") + 1).cast(current.schema["version"].dataType)).select(*current.columns)
+    return current.join(taken.select(key), key, "left_anti").unionByName(taken), j.filter(~F.col("_ok")).select(*changes.columns)
