@@ -10,14 +10,16 @@ most frequent shingles of a document must therefore meet (``prefix``): only thes
   place in the prefix and parity; a long list is chained instead, first inside each task, so no list is gathered anywhere
   and no pairs are listed within a large group. What chains hold together is parted again by sizes and parity.
 * Groups are searched in blocks of ``BLOCK`` documents, block against block where their sizes allow a link. In a pair of
-  blocks each document's lists are split as DivideSkip does: the long ones set aside, the short ones merged with a heap
-  (here: one counting pass), then the long ones probed by binary search for what is still short of T. Blocks pairs return
-  a spanning forest of their links, at most one row per document.
+  blocks each document's inverted lists are split as DivideSkip does: the long ones set aside, the short ones merged with
+  a heap, then the long ones probed by binary search for what is still short of T. Pairs of blocks return a spanning forest
+  of their links, at most one row per document.
 * Components of those links are the result; two documents linked directly are always in one.
 """
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import math
 import zlib
 from collections import defaultdict
@@ -35,7 +37,9 @@ from terrasift.llm.textops import SPACED, mix, signed, texts_of, window_hashes,
 
 #: Counters of the sketch (bytes when shared with the tasks), documents in a block of sets, length from which a list is
 #: chained, documents in a block of parity bits, bytes of parity that are used there.
-SKETCH, BLOCK, LONG, WIDE, FOLD = 1 << 21, 256, 64, 512, 512
+SKETCH, BLOCK, LONG, WIDE, FOLD = 1 << 21, 64, 64, 512, 512
+#: How soon a list counts as short (the longer the longest list, the more do), and so few candidates that none is merged.
+SHORTER, FEW = 0.0085, 8
 
 
 def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
@@ -83,11 +87,42 @@ def _links(n_common: int | np.ndarray, a, b, percent: int):
     return 100 * n_common >= percent * (a + b - n_common)
 
 
+def merge_lists(owners: list[int], spans: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
+    """(document, lists that have it) of documents in at least `least` of the sorted lists owners[start:end].
+
+    A heap holds each list's next document. A document that comes too seldom can't be found by waiting: with least - 1 lists
+    taken off the heap, nothing before the new top can reach `least`, so these lists jump there by binary search.
+    """
+    heap = [(owners[a], a, b) for a, b in spans if a < b]
+    heapq.heapify(heap)
+    out = []
+    while len(heap) >= least:
+        top, taken = heap[0][0], []
+        while heap and heap[0][0] == top:
+            taken.append(heapq.heappop(heap))
+        if len(taken) >= least:
+            out.append((top, len(taken)))
+            ahead = top + 1
+        else:
+            while heap and len(taken) < least - 1:
+                taken.append(heapq.heappop(heap))
+            if not heap:
+                break
+            ahead = heap[0][0]
+        for _, a, b in taken:
+            a = bisect.bisect_left(owners, ahead, a + (owners[a] < ahead), b)
+            if a < b:
+                heapq.heappush(heap, (owners[a], a, b))
+    return out
+
+
 def block_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
     """Spanning forest of the links between left and right (or within left), as places; right ones count from len(left).
 
-    DivideSkip: an index of the second side's shingles; for each document of the first, T from the least size that can
-    link; its T - 1 longest lists are only probed.
+    DivideSkip over the inverted lists of the second side: for each document of the first, T from the least size that can
+    link; some T / (1 + log M) of its longest lists (M: the longest of them) are set aside, the rest merged with a heap for
+    what is in as many of them as T still needs, and the long ones probed by binary search for those candidates. What is
+    in one component already is not looked at again; where few others are left, all lists are long ones.
     """
     docs = left if right is None else left + right
     first = 0 if right is None else len(left)
@@ -99,48 +134,45 @@ def block_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent:
     owner = np.repeat(np.arange(first, len(docs)), sizes[first:])
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
-    root = list(range(len(docs)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    t, out = percent / 100, []
+    starts = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1]))) if len(flat) else np.zeros(0, np.int64)
+    tokens, ends = flat[starts], np.concatenate((starts[1:], [len(flat)]))
+    owners = owner.tolist()
+    # The entries of all lists in order of (list, document), for binary search.
+    entry = np.repeat(np.arange(len(starts)), ends - starts) * len(docs) + owner
+    root, t, out = np.arange(len(docs)), percent / 100, []
     for i in range(len(left)):
         own = docs[i]
         if not len(own):
             continue
-        a, b = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
-        length = b - a
+        other = np.arange(first if right is not None else i + 1, len(docs))
+        other = other[(root[other] != root[i]) & (sizes[other] >= t * len(own) - 1e-9) & (t * sizes[other] <= len(own) + 1e-9)]
+        if not len(other):
+            continue
+        k = np.searchsorted(tokens, own)
+        k = k[(k < len(tokens)) & (tokens[np.minimum(k, len(tokens) - 1)] == own)]
         need = math.ceil(t * len(own) - 1e-9)
-        skip = min(need - 1, len(own))
-        longest = np.argpartition(length, len(own) - skip)[len(own) - skip :] if skip else np.zeros(0, np.int64)
-        short = np.ones(len(own), bool)
-        short[longest] = False
-        counts = np.zeros(len(docs), np.int64)
-        sa, sl = a[short], length[short]
-        if sl.sum():
-            places = np.repeat(sa - np.concatenate(([0], np.cumsum(sl)[:-1])), sl) + np.arange(sl.sum())
-            counts += np.bincount(owner[places], minlength=len(docs))
-        seen = np.flatnonzero(counts)
-        seen = seen[seen > i] if right is None else seen
-        seen = seen[(sizes[seen] >= t * len(own) - 1e-9) & (t * sizes[seen] <= len(own) + 1e-9)]
-        probes = own[longest]
-        for j in seen:
-            if find(i) == find(int(j)):
+        if len(k) < need:
+            continue
+        length = ends[k] - starts[k]
+        aside = len(k) if len(other) <= FEW else min(need - 1, int(need / (1 + SHORTER * math.log2(max(2, int(length.max()))))))
+        by_length = np.argsort(length, kind="stable")
+        long_, short = k[by_length[len(k) - aside :]], k[by_length[: len(k) - aside]]
+        if len(short):
+            seen = merge_lists(owners, list(zip(starts[short].tolist(), ends[short].tolist(), strict=True)), max(1, need - aside))
+        else:
+            seen = [(j, 0) for j in other.tolist()]
+        open_ = set(other.tolist())
+        for j, common in seen:
+            if j not in open_ or root[i] == root[j]:
                 continue
             low = math.ceil(t / (1 + t) * (len(own) + sizes[j]) - 1e-9)
-            common = int(counts[j])
-            if common + skip < low:
+            if common + len(long_) < low:
                 continue
-            other = docs[j]
-            at = np.minimum(np.searchsorted(other, probes), len(other) - 1)
-            common += int((other[at] == probes).sum())
+            at = np.searchsorted(entry, long_ * len(docs) + j)
+            common += int((entry[np.minimum(at, len(entry) - 1)] == long_ * len(docs) + j).sum())
             if _links(common, len(own), int(sizes[j]), percent):
-                root[find(int(j))] = find(i)
-                out.append((i, int(j)))
+                root[root == root[j]] = root[i]
+                out.append((i, j))
     return out
 
 
@@ -437,10 +469,17 @@ def _refine(chained: DataFrame, bits: DataFrame, t: float) -> DataFrame:
     """
     groups = components(chained)
     m = bits.distinct().join(sized(groups).withColumnsRenamed({"id": "doc_id", "component": "group"}), "doc_id")
-    m = keep(m.select("doc_id", "n", "parity", "group"))
-    blocks = keep(m.groupBy("group").agg(F.ceil(F.count("*") / WIDE).cast("int").alias("blocks")))
-    m = m.join(sized(blocks), "group").withColumn("k", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("k2", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    m = m.select("group", F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b"), "doc_id", "n", "parity")
+    band = F.floor(F.log(F.col("n")) / (math.log(1 / t) * 1.02)).cast("int")
+    m = keep(m.select("doc_id", "n", "parity", "group", band.alias("band")))
+    # Blocks have documents of one band of sizes and meet those of their own band and of the next one.
+    blocks = keep(m.groupBy("group", "band").agg(F.ceil(F.count("*") / WIDE).cast("int").alias("blocks")))
+    near_by = lambda step: blocks.select("group", (F.col("band") - step).alias("band"), F.lit(step).alias("step"), F.col("blocks").alias("blocks2"))
+    met = keep(near_by(0).unionByName(near_by(1)).unionByName(near_by(-1)).groupBy("group", "band").agg(F.collect_list(F.struct("step", "blocks2")).alias("met")))
+    m = m.join(sized(blocks), ["group", "band"]).join(sized(met), ["group", "band"]).withColumn("k", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    m = m.withColumn("o", F.explode("met")).withColumn("k2", F.explode(F.sequence(F.lit(0), F.col("o.blocks2") - 1)))
+    number = lambda band, k: F.shiftleft(band.cast("long"), 40) + k
+    m = m.withColumn("me", number(F.col("band"), F.col("k"))).withColumn("you", number(F.col("band") + F.col("o.step"), F.col("k2")))
+    m = m.select("group", F.least("me", "you").alias("a"), F.greatest("me", "you").alias("b"), "doc_id", "n", "parity")
     parts = int(bits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = m.repartition(parts, "group", "a", "b").sortWithinPartitions("group", "a", "b", "doc_id")
 

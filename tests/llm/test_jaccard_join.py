@@ -1,11 +1,13 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from terrasift.llm import components as components_module
 from terrasift.llm import jaccard_join
 from terrasift.llm.components import components
+from terrasift.llm.store import join_roots
 
 
 def brute(rows, words=5, percent=80):
@@ -58,6 +60,51 @@ def test_against_brute_force(spark, monkeypatch, small):
     assert got == brute(rows)
 
 
+def test_merge_lists():
+    r = random.Random(1)
+    for _ in range(200):
+        lists = [sorted(r.sample(range(30), r.randint(0, 20))) for _ in range(r.randint(1, 9))]
+        owners, spans = [], []
+        for x in lists:
+            spans.append((len(owners), len(owners) + len(x)))
+            owners += x
+        for least in range(1, 6):
+            want = [(d, n) for d in range(30) if (n := sum(d in x for x in lists)) >= least]
+            assert jaccard_join.merge_lists(owners, spans, least) == want
+
+
+@pytest.mark.parametrize("few", [0, 8])
+def test_block_links_span_the_same_components(monkeypatch, few):
+    monkeypatch.setattr(jaccard_join, "FEW", few)
+    r = np.random.default_rng(4)
+    for shift in range(12):
+        base = [np.unique(r.integers(0, 10**6, r.integers(1, 60)).astype(np.uint64)) for _ in range(5)]
+        docs = [np.unique(np.concatenate((b[r.random(len(b)) > 0.07], r.integers(0, 10**6, r.integers(0, 4)).astype(np.uint64)))) for b in (base[k] for k in r.integers(0, 5, 60))]
+        docs += [np.zeros(0, np.uint64)]
+        for split in (None, 20):
+            left, right = (docs, None) if split is None else (docs[:split], docs[split:])
+            found = jaccard_join.block_links(left, right, 80)
+            link = lambda i, j: len(docs[i]) and len(docs[j]) and 100 * len(np.intersect1d(docs[i], docs[j])) >= 80 * len(np.union1d(docs[i], docs[j]))
+            pairs = [(i, j) for i in range(len(docs)) for j in range(i + 1, len(docs)) if (split is None or i < split <= j) and link(i, j)]
+            assert all(link(i, j) for i, j in found)
+            assert len(set(found)) == len(found) < len(docs)
+            ends = [np.array(x).reshape(-1, 2).T for x in (found, pairs)]
+            assert [join_roots(np.arange(len(docs)), *e).tolist() for e in ends][0] == join_roots(np.arange(len(docs)), *ends[1]).tolist()
+
+
+def test_a_group_in_which_nothing_links(spark, monkeypatch):
+    """A passage that makes up most of many unlike texts chains them; neither sizes nor parity part all of them."""
+    for name, n in (("BLOCK", 6), ("LONG", 4), ("WIDE", 8)):
+        monkeypatch.setattr(jaccard_join, name, n)
+    r = random.Random(8)
+    passage = [f"p{i}" for i in range(40)]
+    rows = [(i, " ".join(passage + [f"x{i}.{k}" for k in range(r.randint(11, 30))])) for i in range(120)]
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(0, 120, 10)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    want = brute(rows)
+    assert got == want and len({c for _, c in want.values()}) > 80
+
+
 def test_empty_and_repeated(spark):
     assert jaccard_join.link_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     df = spark.createDataFrame([(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (7, "a B c d e  f")], "doc_id long, text string")
