@@ -87,7 +87,8 @@ def scope(df: DataFrame, seeds: DataFrame, checkpoint, rounds: int = 100) -> Dat
     edges = df.select("chain", "segment", F.explode("predecessors").alias("other"))
     both = edges.union(edges.select("chain", F.col("other").alias("segment"), F.col("segment").alias("other")))
     events = df.select("chain", "segment", text_key("event").alias("e"))
-    both, events = checkpoint(both.distinct()), checkpoint(events)
+    # Links to what is no segment of the chain lead nowhere.
+    both, events = checkpoint(both.join(events.select("chain", F.col("segment").alias("other")), ["chain", "other"], "left_semi").distinct()), checkpoint(events)
     reached = checkpoint(seeds.join(events.select("chain", "segment"), ["chain", "segment"], "left_semi").distinct())
     front = reached
     for _ in range(rounds):

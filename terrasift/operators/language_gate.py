@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrasift.operators.ordered import neighbours
+
 
 def majority(total: Column, english: Column, unresolved: Column, threshold: float) -> Column:
     """Skip if English is above the threshold for certain, translate if it can't be, else unresolved."""
@@ -65,11 +67,7 @@ def chunk_label(counts: Column) -> Column:
 
 def known_neighbours(chunks: DataFrame, order: str = "pos", group: str = "doc") -> DataFrame:
     """Adds left_known and right_known: the nearest language before and after that isn't Unknown."""
-    w = Window.partitionBy(group).orderBy(order)
-    known = F.when(F.col("language") != "Unknown", F.col("language"))
-    left = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    right = F.first(known, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    return chunks.withColumn("left_known", left).withColumn("right_known", right)
+    return neighbours(chunks, [group], order, F.when(F.col("language") != "Unknown", F.col("language")), "left_known", "right_known")
 
 
 def clip_spans(spans: DataFrame, parts: DataFrame) -> DataFrame:

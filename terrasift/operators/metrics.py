@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrasift.operators.ordered import medians
+
 
 def executions(log: DataFrame, run: str, order: list[str], starts: Column) -> DataFrame:
     """Adds `execution`: the number of starts so far in the run; 0 before the first (calls that belong to no stage)."""
@@ -24,9 +28,21 @@ def counters(attempt: Column, outcome: Column, error: Column, wait: Column) -> l
     ]
 
 
-def distribution(value: Column, prefix: str = "") -> list[Column]:
-    """n, mean, median, min, max, stdev (null below two values) of the values that aren't null; all null but n for none."""
-    return [F.count(value).alias(prefix + "n"), F.avg(value).alias(prefix + "mean"), F.median(value).alias(prefix + "median"), F.min(value).alias(prefix + "min"), F.max(value).alias(prefix + "max"), F.stddev_samp(value).alias(prefix + "stdev")]
+def _moments(value: Column) -> list[Column]:
+    return [F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), F.stddev_samp(value).alias("stdev")]
+
+
+def distributions(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys..., n, mean, median, min, max, stdev (null below two values) of the values that aren't null; all null but n for none."""
+    m = medians(df, keys, value).withColumnsRenamed({k: f"_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return df.groupBy(*keys).agg(*_moments(F.col(value))).join(m, reduce(lambda a, b: a & b, on)).drop(*(f"_{k}" for k in keys))
+
+
+def distributions_by_each(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The same by each key on its own: key_name, key_value, ..."""
+    told = df.select(value, F.explode(F.array(*(F.struct(F.lit(k).alias("key_name"), F.col(k).cast("string").alias("key_value")) for k in keys))).alias("k")).select("k.*", value)
+    return distributions(told, ["key_name", "key_value"], value)
 
 
 def by_each(df: DataFrame, keys: list[str], *aggregates: Column) -> DataFrame:

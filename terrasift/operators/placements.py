@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terrasift.functions.text import text_key
 from terrasift.operators import spatial
+from terrasift.operators.raster import TILE
 
 
 def outcomes(segments: DataFrame, parts: DataFrame) -> DataFrame:
@@ -65,9 +66,14 @@ def endpoint_degrees(lines: DataFrame) -> DataFrame:
 
 
 def covered_share(cells: DataFrame, zones: DataFrame, size: float) -> DataFrame:
-    """zone, share: the share of a box's area over which there are cells; exact parts of cells, summed per zone."""
-    rows = zones.withColumn("r", F.explode(F.sequence(F.floor(F.col("y0") / size), F.floor((F.col("y1") - 1e-9) / size))))
-    j = cells.join(rows, "r").filter((F.col("c") * size < F.col("x1")) & ((F.col("c") + 1) * size > F.col("x0")))
+    """zone, share: the share of a box's area over which its raster has cells; exact parts of cells, summed per zone.
+
+    zones: zone, raster, x0, y0, x1, y1. They meet cells by squares of TILE cells."""
+    square = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / size / TILE), F.floor(F.col(b) / size / TILE)))
+    squares = zones.withColumn("_r", square("y0", "y1")).withColumn("_c", square("x0", "x1"))
+    tiled = cells.withColumn("_r", F.floor(F.col("r") / TILE)).withColumn("_c", F.floor(F.col("c") / TILE))
+    inside = lambda k, a, b: (F.col(k) * size < F.col(b)) & ((F.col(k) + 1) * size > F.col(a))
+    j = tiled.join(squares, ["raster", "_r", "_c"]).filter(inside("c", "x0", "x1") & inside("r", "y0", "y1"))
     part = (F.least((F.col("c") + 1) * size, F.col("x1")) - F.greatest(F.col("c") * size, F.col("x0"))) * (F.least((F.col("r") + 1) * size, F.col("y1")) - F.greatest(F.col("r") * size, F.col("y0")))
     got = j.groupBy("zone").agg(F.sum(part).alias("a"))
     return zones.join(got, "zone", "left").select("zone", (F.coalesce("a", F.lit(0.0)) / ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))).alias("share"))

@@ -13,16 +13,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Cells along the side of a square by which zones meet cells.
+TILE = 64
 AROUND = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if dr or dc]
 
 
 def zonal_stats(cells: DataFrame, boxes: DataFrame, size: float, zone: str = "zone") -> DataFrame:
-    """zone, n, min, max, mean of valid cells whose centre is in the zone's box. The box is cut to whole rows and columns
-    first, so that zones meet cells by an equi-join on the row and a range of columns."""
-    rows = boxes.withColumn("r", F.explode(F.sequence(F.ceil(F.col("y0") / size - 0.5), F.floor(F.col("y1") / size - 0.5))))
-    rows = rows.select(zone, "r", F.ceil(F.col("x0") / size - 0.5).alias("c0"), F.floor(F.col("x1") / size - 0.5).alias("c1"))
-    joined = cells.filter(F.col("z").isNotNull() & ~F.isnan("z")).join(rows, "r").filter(F.col("c").between(F.col("c0"), F.col("c1")))
-    return joined.groupBy(zone).agg(F.count("*").alias("n"), F.min("z").alias("min"), F.max("z").alias("max"), F.avg("z").alias("mean"))
+    """zone, raster, n, min, max, mean of the raster's valid cells whose centre is in the zone's box. Boxes (zone, raster, x0,
+    y0, x1, y1) are cut to whole rows and columns first and to squares of TILE cells, so that zones meet cells by an equi-join
+    on the raster and the square, and a range."""
+    whole = boxes.select(zone, "raster", *(F.ceil(F.col(a) / size - 0.5).alias(b) for a, b in (("y0", "r0"), ("x0", "c0"))), *(F.floor(F.col(a) / size - 0.5).alias(b) for a, b in (("y1", "r1"), ("x1", "c1"))))
+    square = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / TILE), F.floor(F.col(b) / TILE)))
+    squares = whole.filter("r0 <= r1 and c0 <= c1").withColumn("_r", square("r0", "r1")).withColumn("_c", square("c0", "c1"))
+    valid = cells.filter(F.col("z").isNotNull() & ~F.isnan("z")).withColumn("_r", F.floor(F.col("r") / TILE)).withColumn("_c", F.floor(F.col("c") / TILE))
+    joined = valid.join(squares, ["raster", "_r", "_c"]).filter(F.col("r").between(F.col("r0"), F.col("r1")) & F.col("c").between(F.col("c0"), F.col("c1")))
+    return joined.groupBy(zone, "raster").agg(F.count("*").alias("n"), F.min("z").alias("min"), F.max("z").alias("max"), F.avg("z").alias("mean"))
 
 
 def focal_min(cells: DataFrame, radius: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from terrasift.operators import chains as C
-from terrasift.operators import folds, language_gate
+from terrasift.operators import folds, language_gate, ordered
 from terrasift.plans.registry import query, table
 from terrasift.shared import checkpointer
 
@@ -69,23 +69,28 @@ def causal_reorder(spark, sf_dir):
     return C.move(chain, moves)[1]
 
 
-@query("SELECT conv_id AS chain, turn + 10 AS segment, CASE WHEN turn = 3 THEN 'not_contiguous' ELSE 'unknown_predecessor' END AS code FROM conversations WHERE turn = 3 AND turn + 10 IS NOT NULL UNION ALL SELECT conv_id, turn + 10, 'unknown_predecessor' FROM conversations WHERE turn = 3")
+@query("""
+WITH b AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS want FROM conversations WHERE turn <> 2)
+SELECT conv_id AS chain, turn + 10 AS segment, 'not_contiguous' AS code FROM b WHERE want <> turn + 1
+UNION ALL SELECT conv_id, turn + 10, 'unknown_predecessor' FROM b WHERE turn > 0 AND (conv_id, turn - 1) NOT IN (SELECT conv_id, turn FROM b)
+""")
 def causal_validation(spark, sf_dir):
     """Chains that lost their third segment: gaps in the order and links to nothing."""
-    chain = _chain(spark, sf_dir).filter("causal_order in (1, 2, 4)")
-    return C.chain_issues(chain)
+    return C.chain_issues(_chain(spark, sf_dir).filter("causal_order <> 3"))
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT n_nationkey AS a, n_nationkey + 5 AS b FROM nation WHERE n_nationkey + 5 < 25 UNION ALL SELECT n_nationkey + 5, n_nationkey FROM nation WHERE n_nationkey + 5 < 25),
-r(n) AS (SELECT 2 UNION SELECT e.b FROM r JOIN e ON e.a = r.n)
-SELECT 0 AS chain, n AS segment FROM r
+WITH RECURSIVE o AS (SELECT o_orderkey AS k, o_orderkey % 3 AS chain, CASE WHEN o_orderkey % 10 = 0 THEN o_orderkey % 700 END AS e FROM orders),
+l AS (SELECT k AS a, k - 3 AS b FROM o WHERE k % 4 = 0 UNION ALL SELECT k, k - 21 FROM o WHERE k % 4 = 0), both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+e AS (SELECT x.k AS a, y.k AS b, x.chain FROM both_ways w JOIN o x ON x.k = w.a JOIN o y ON y.k = w.b AND y.chain = x.chain UNION SELECT x.k, y.k, x.chain FROM o x JOIN o y ON x.e = y.e AND x.chain = y.chain),
+r(n) AS (SELECT k FROM o WHERE k IN (2, 16, 1000) UNION SELECT e.b FROM r JOIN e ON e.a = r.n)
+SELECT n % 3 AS chain, n AS segment FROM r
 """)
 def correction_scope(spark, sf_dir):
-    """What a change of nation 2 touches along links five apart, to the fixpoint."""
-    n = table(spark, sf_dir, "nation").select(F.lit(0).alias("chain"), F.col("n_nationkey").cast("long").alias("segment"), F.col("n_name").alias("event"))
-    chain = n.withColumn("predecessors", F.when(F.col("segment") >= 5, F.array(F.col("segment") - 5)).otherwise(F.array().cast("array<bigint>")))
-    seeds = chain.filter("segment = 2").select("chain", "segment")
+    """What changes of three segments touch along links and through equal events, to the fixpoint."""
+    k = F.col("o_orderkey")
+    chain = table(spark, sf_dir, "orders").select((k % 3).alias("chain"), k.alias("segment"), F.when(k % 10 == 0, F.concat(F.lit("Event "), (k % 700).cast("string"))).otherwise(k.cast("string")).alias("event"), F.when(k % 4 == 0, F.array(k - 21, k - 3)).otherwise(F.array().cast("array<bigint>")).alias("predecessors"))
+    seeds = chain.filter("segment in (2, 16, 1000)").select("chain", "segment")
     return C.scope(chain, seeds, checkpointer(spark))
 
 
@@ -204,14 +209,15 @@ def span_overlap(spark, sf_dir):
 
 
 @query("""
-WITH s AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS start FROM documents WHERE doc_id % 3 = 0)
-SELECT source, doc_id, start, coalesce(lead(start) OVER (PARTITION BY source ORDER BY start) - 1, 100000) AS "end" FROM s
+WITH n AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS start, count(*) OVER (PARTITION BY source) AS pages FROM documents), s AS (SELECT * FROM n WHERE doc_id % 3 = 0)
+SELECT source, doc_id, start, coalesce(lead(start) OVER (PARTITION BY source ORDER BY start) - 1, pages) AS "end" FROM s
 """)
 def construct_ranges(spark, sf_dir):
-    """Page ranges from their starts; the last one runs to the end."""
-    w = Window.partitionBy("source")
-    s = table(spark, sf_dir, "documents").filter("doc_id % 3 = 0").select("source", "doc_id", F.row_number().over(w.orderBy("doc_id")).alias("start"))
-    return s.withColumn("end", F.coalesce(F.lead("start").over(w.orderBy("start")) - 1, F.lit(100000)))
+    """Page ranges of a source's documents from those that start one; the last one runs to the end."""
+    pages = ordered.row_numbers(table(spark, sf_dir, "documents").select("source", "doc_id"), ["source"], "doc_id", "start")
+    total = pages.groupBy("source").agg(F.max("start").alias("pages"))
+    starts = ordered.neighbours(pages.filter("doc_id % 3 = 0"), ["source"], "start", F.col("start"), right="next")
+    return starts.join(total, "source").select("source", "doc_id", "start", F.coalesce(F.col("next") - 1, F.col("pages")).alias("end"))
 
 
 @query("""
@@ -236,6 +242,5 @@ def collection_neighbours(spark, sf_dir):
 @query("SELECT source, doc_id, min(z) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS bed FROM (SELECT source, doc_id, n_chars + (doc_id * 37) % 101 AS z FROM documents)")
 def monotone_bed(spark, sf_dir):
     """A bed that never rises downstream: the running minimum along each line."""
-    z = F.col("n_chars") + F.col("doc_id") * 37 % 101
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf_dir, "documents").select("source", "doc_id", F.min(z).over(w).alias("bed"))
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", (F.col("n_chars") + F.col("doc_id") * 37 % 101).alias("z"))
+    return ordered.running_min(d, ["source"], "doc_id", F.col("z"), "bed").drop("z")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from terrasift.operators import extract
 from terrasift.operators import placements as P
 from terrasift.plans.registry import query, table
-from terrasift.plans.spatial import _PTS, _CELLS, _cells, _points
+from terrasift.plans.spatial import _PTS, _TWO, _points, _two
 from terrasift.shared import checkpointer
 
 
@@ -70,13 +70,13 @@ def stream_degrees(spark, sf_dir):
     return P.endpoint_degrees(o.select((F.col("o_custkey") % 40).alias("x0"), (F.col("o_orderkey") % 9).alias("y0"), (F.col("o_custkey") % 13).alias("x1"), (F.col("o_orderkey") % 4).alias("y1")))
 
 
-@query(f"""WITH {_CELLS}, z AS (SELECT i AS zone, i * 5.5 AS x0, i * 2.5 AS y0, i * 5.5 + 9.25 AS x1, i * 2.5 + 7.75 AS y1 FROM range(0, 9) t(i))
+@query(f"""WITH {_TWO}, z AS (SELECT i AS zone, CASE WHEN i % 2 = 0 THEN 'dsm' ELSE 'dem' END AS raster, i * 5.5 AS x0, i * 2.5 AS y0, i * 5.5 + 9.25 AS x1, i * 2.5 + 7.75 AS y1 FROM range(0, 9) t(i))
 SELECT zone, round(coalesce(sum((least(c + 1, x1) - greatest(c, x0)) * (least(r + 1, y1) - greatest(r, y0))) FILTER (c IS NOT NULL), 0) / ((any_value(x1) - any_value(x0)) * (any_value(y1) - any_value(y0))), 9) AS share
-FROM z LEFT JOIN cells ON c < x1 AND c + 1 > x0 AND r < y1 AND r + 1 > y0 GROUP BY zone""")
+FROM z LEFT JOIN two ON two.raster = z.raster AND c < x1 AND c + 1 > x0 AND r < y1 AND r + 1 > y0 GROUP BY zone""")
 def dem_coverage(spark, sf_dir):
     i = F.col("id")
-    zones = spark.range(9).select(i.alias("zone"), (i * 5.5).alias("x0"), (i * 2.5).alias("y0"), (i * 5.5 + 9.25).alias("x1"), (i * 2.5 + 7.75).alias("y1"))
-    return P.covered_share(_cells(spark, sf_dir), zones, 1.0).withColumn("share", F.round("share", 9))
+    zones = spark.range(9).select(i.alias("zone"), F.when(i % 2 == 0, "dsm").otherwise("dem").alias("raster"), (i * 5.5).alias("x0"), (i * 2.5).alias("y0"), (i * 5.5 + 9.25).alias("x1"), (i * 2.5 + 7.75).alias("y1"))
+    return P.covered_share(_two(spark, sf_dir), zones, 1.0).withColumn("share", F.round("share", 9))
 
 
 @query(f"""WITH RECURSIVE {_PTS}, n AS (SELECT a.vec_id AS u, b.vec_id AS v FROM p a JOIN p b ON sqrt(greatest(a.x - b.x - 3, b.x - a.x - 3, 0) ** 2 + greatest(a.y - b.y - 3, b.y - a.y - 3, 0) ** 2) <= 2),
@@ -90,11 +90,11 @@ def ref_sites(spark, sf_dir):
 
 
 @query("""
-WITH i AS (SELECT conv_id AS run, turn, CASE WHEN conv_id % 6 = 5 AND turn = 1 THEN NULL WHEN conv_id % 6 = 4 AND turn = 0 THEN -1 ELSE turn END AS s FROM conversations WHERE turn < 3)
+WITH i AS (SELECT conv_id AS run, turn, CASE WHEN conv_id % 6 = 5 AND turn = 1 THEN NULL WHEN conv_id % 6 = 4 AND turn = 0 THEN -1 ELSE turn END AS s FROM conversations)
 SELECT run, CASE WHEN count(*) FILTER (s IS NULL OR s = -1) = 0 THEN list_sort(list(DISTINCT s)) END AS segments FROM i GROUP BY run
 """)
 def affected_segments(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("run"), "turn").filter("turn < 3")
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("run"), "turn")
     ids = F.when((F.col("run") % 6 == 5) & (F.col("turn") == 1), F.array().cast("array<bigint>")).when((F.col("run") % 6 == 4) & (F.col("turn") == 0), F.array(F.lit(-1).cast("bigint"))).otherwise(F.array("turn"))
     return P.affected(c.select("run", ids.alias("segment_ids")), c.select("run", F.col("turn").alias("segment")))
 

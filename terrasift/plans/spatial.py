@@ -27,11 +27,11 @@ def distance_join(spark, sf_dir):
 
 
 @query(f"""WITH {_PTS}, d AS (SELECT a.vec_id, b.vec_id AS other, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS distance FROM p a JOIN p b ON a.label <> 0 AND b.label = 0)
-SELECT vec_id, arg_min(other, (distance, other)) AS other, min(distance) AS distance FROM d GROUP BY vec_id HAVING min(distance) <= 640""")
+SELECT vec_id, arg_min(other, (distance, other)) AS other, min(distance) AS distance FROM d GROUP BY vec_id""")
 def nearest_one(spark, sf_dir):
     """The nearest point of label 0 of each other point."""
     p = spatial.as_box(_points(spark, sf_dir))
-    return spatial.nearest(p.filter("label <> 0"), p.filter("label = 0").withColumnRenamed("vec_id", "other"), "vec_id", "other", 10.0, 640.0)
+    return spatial.nearest(p.filter("label <> 0"), p.filter("label = 0").withColumnRenamed("vec_id", "other"), "vec_id", "other", 10.0, checkpointer(spark))
 
 
 def _boxes(spark, sf_dir):
@@ -76,18 +76,29 @@ def chainage_lookup(spark, sf_dir):
 
 def _cells(spark, sf_dir):
     """A raster of 60 columns from line items in order of their keys."""
-    k = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").groupBy("l_orderkey").agg(F.min("l_quantity").alias("z"))
+    k = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_quantity").alias("z"))
     return k.select(F.lit("dem").alias("raster"), F.floor((F.col("l_orderkey") / 4) / 60).alias("r"), F.floor((F.col("l_orderkey") / 4) % 60).alias("c"), "z").groupBy("raster", "r", "c").agg(F.min("z").alias("z"))
 
 
-_CELLS = "k AS (SELECT l_orderkey, min(l_quantity) AS z FROM lineitem WHERE l_linenumber = 1 GROUP BY l_orderkey), cells AS (SELECT CAST(floor((l_orderkey / 4.0) / 60) AS BIGINT) AS r, CAST(floor((l_orderkey / 4.0) % 60) AS BIGINT) AS c, min(z) AS z FROM k GROUP BY ALL)"
+_CELLS = "k AS (SELECT l_orderkey, min(l_quantity) AS z FROM lineitem GROUP BY l_orderkey), cells AS (SELECT CAST(floor((l_orderkey / 4.0) / 60) AS BIGINT) AS r, CAST(floor((l_orderkey / 4.0) % 60) AS BIGINT) AS c, min(z) AS z FROM k GROUP BY ALL)"
 
 
-@query(f"WITH {_CELLS}, zones AS (SELECT i AS zone, i * 7.0 AS x0, i * 3.0 AS y0, i * 7.0 + 9 AS x1, i * 3.0 + 8 AS y1 FROM range(0, 12) t(i)) SELECT zone, count(*) AS n, min(z) AS min, max(z) AS max, round(avg(z), 9) AS mean FROM cells JOIN zones ON c + 0.5 BETWEEN x0 AND x1 AND r + 0.5 BETWEEN y0 AND y1 GROUP BY zone")
+def _two(spark, sf_dir):
+    """Two rasters on the same grid: the second has other values, and holes."""
+    cells = _cells(spark, sf_dir)
+    return cells.unionByName(cells.filter("(r + c) % 5 <> 0").withColumn("raster", F.lit("dsm")).withColumn("z", F.col("z") * 2 + F.col("c")))
+
+
+_TWO = f"{_CELLS}, two AS (SELECT 'dem' AS raster, r, c, z FROM cells UNION ALL SELECT 'dsm', r, c, z * 2 + c FROM cells WHERE (r + c) % 5 <> 0)"
+_NAMES = F.array(F.lit("dem"), F.lit("dsm"))
+
+
+@query(f"WITH {_TWO}, zones AS (SELECT i AS zone, CASE WHEN i % 3 = 0 THEN 'dsm' ELSE 'dem' END AS raster, i * 7.0 AS x0, i * 3.0 AS y0, i * 7.0 + 9 AS x1, i * 3.0 + 8 AS y1 FROM range(0, 12) t(i)) SELECT zone, raster, count(*) AS n, min(z) AS min, max(z) AS max, round(avg(z), 9) AS mean FROM two JOIN zones USING (raster) WHERE c + 0.5 BETWEEN x0 AND x1 AND r + 0.5 BETWEEN y0 AND y1 GROUP BY zone, raster")
 def zonal_stats(spark, sf_dir):
+    """Statistics of zones of two rasters, each over its own cells."""
     i = F.col("id")
-    zones = spark.range(12).select(i.alias("zone"), (i * 7.0).alias("x0"), (i * 3.0).alias("y0"), (i * 7.0 + 9).alias("x1"), (i * 3.0 + 8).alias("y1"))
-    return raster.zonal_stats(_cells(spark, sf_dir), zones, 1.0).withColumn("mean", F.round("mean", 9))
+    zones = spark.range(12).select(i.alias("zone"), F.when(i % 3 == 0, "dsm").otherwise("dem").alias("raster"), (i * 7.0).alias("x0"), (i * 3.0).alias("y0"), (i * 7.0 + 9).alias("x1"), (i * 3.0 + 8).alias("y1"))
+    return raster.zonal_stats(_two(spark, sf_dir), zones, 1.0).withColumn("mean", F.round("mean", 9))
 
 
 @query(f"WITH {_CELLS} SELECT a.r, a.c, min(b.z) AS low FROM cells a JOIN cells b ON (a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c) <= 4 GROUP BY a.r, a.c")

@@ -64,12 +64,12 @@ def _rounded(df):
 
 @query(f"SELECT o_custkey, {_DIST} FROM orders GROUP BY o_custkey")
 def distribution(spark, sf_dir):
-    return _rounded(table(spark, sf_dir, "orders").groupBy("o_custkey").agg(*M.distribution(F.col("o_totalprice"))))
+    return _rounded(M.distributions(table(spark, sf_dir, "orders"), ["o_custkey"], "o_totalprice"))
 
 
 @query(f"SELECT 'o_orderstatus' AS key_name, o_orderstatus AS key_value, {_DIST} FROM orders GROUP BY o_orderstatus UNION ALL SELECT 'o_orderpriority', o_orderpriority, {_DIST} FROM orders GROUP BY o_orderpriority")
 def summarize_by_each(spark, sf_dir):
-    return _rounded(M.by_each(table(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"], *M.distribution(F.col("o_totalprice"))))
+    return _rounded(M.distributions_by_each(table(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"], "o_totalprice"))
 
 
 @query("SELECT l_returnflag, sum(l_quantity) / nullif(count(*) FILTER (l_linestatus = 'O'), 0) AS cost FROM lineitem GROUP BY l_returnflag")
@@ -93,7 +93,7 @@ def mode_offset(spark, sf_dir):
 WITH l AS (SELECT source, doc_id, string_split(text, chr(10)) AS t FROM documents),
 e AS (SELECT source, doc_id, unnest(list_concat(list_slice(t, 1, 3), list_slice(t, greatest(len(t) - 2, 1), len(t)))) AS line FROM l),
 n AS (SELECT source, count(*) AS pages FROM documents GROUP BY source), g AS (SELECT source, regexp_replace(line, '[0-9]', '#', 'g') AS line, count(DISTINCT doc_id) AS pages FROM e GROUP BY ALL)
-SELECT g.source, md5(line) AS line, g.pages FROM g JOIN n ON n.source = g.source WHERE g.pages >= greatest(3, floor(0.04 * n.pages))
+SELECT g.source, md5(line) AS line, g.pages FROM g JOIN n ON n.source = g.source WHERE g.pages >= greatest(3, floor(0.4 * n.pages))
 """)
 def boilerplate_lines(spark, sf_dir):
     """First and last lines, digits masked, that many pages of a source share."""
@@ -102,7 +102,7 @@ def boilerplate_lines(spark, sf_dir):
     lines = docs.select("source", "doc_id", F.explode(edge).alias("line")).withColumn("line", F.regexp_replace("line", "[0-9]", "#"))
     pages = docs.groupBy("source").agg(F.count("*").alias("all"))
     shared = lines.distinct().groupBy("source", "line").agg(F.count("*").alias("pages"))
-    return shared.join(F.broadcast(pages), "source").filter(F.col("pages") >= F.greatest(F.lit(3), F.floor(0.04 * F.col("all")))).select("source", F.md5("line").alias("line"), "pages")
+    return shared.join(F.broadcast(pages), "source").filter(F.col("pages") >= F.greatest(F.lit(3), F.floor(0.4 * F.col("all")))).select("source", F.md5("line").alias("line"), "pages")
 
 
 @query("""

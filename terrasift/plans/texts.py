@@ -172,7 +172,9 @@ def quotes_restored(spark, sf_dir):
     rest = benchmark.filter(F.size(words) < 6).select("item_id", F.col("text").alias("quote"))
     windows = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 3), lambda i: F.array_join(F.slice(w, i, 4), " "))
     grams = F.flatten(F.transform(F.array(words), windows))
-    docs = texts.filter(F.size(words) >= 4).select("doc_id", "text", F.explode(F.array_distinct(grams)).alias("key"))
+    keys = texts.filter(F.size(words) >= 4).select("doc_id", F.explode(F.array_distinct(grams)).alias("key"))
     holds = F.lower("text").contains(F.lower("quote"))
-    near = docs.join(items, "key").filter(holds).select("doc_id", "item_id")
+    # Ids meet first; texts and quotations are fetched only for those that share a key.
+    near = keys.join(items.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
+    near = near.join(items.select("item_id", "quote"), "item_id").join(texts, "doc_id").filter(holds).select("doc_id", "item_id")
     return near.union(texts.join(F.broadcast(rest), holds).select("doc_id", "item_id")).distinct()
