@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrasift.functions.text import text_key
+from terrasift.operators.ordered import neighbours
 
 
 def evidence_rows(segments: DataFrame, chunks: DataFrame, strict: bool = True) -> DataFrame:
@@ -37,10 +38,9 @@ def quote_pages(quotes: DataFrame, pages: DataFrame, words: int = 4) -> DataFram
     hinted one first), without soft hyphens, then a page with the next one. Blocked on the quotation's inner words, so
     only pages that share them are searched.
     """
-    w = Window.partitionBy("doc").orderBy("page")
     plain = pages.withColumn("key", text_key("text"))
     soft = plain.withColumn("key", F.replace(F.col("key"), F.lit("­"), F.lit("")))
-    pairs = plain.withColumn("key", F.concat_ws(" ", "key", F.lead("key").over(w)))
+    pairs = neighbours(plain, ["doc"], "page", F.col("key"), right="_next").withColumn("key", F.concat_ws(" ", "key", "_next")).drop("_next")
     views = plain.withColumn("view", F.lit(1)).unionByName(soft.withColumn("view", F.lit(2))).unionByName(pairs.withColumn("view", F.lit(3)))
     parts = F.split("key", " ")
     # The words are bound once; inside the inner function the split would be made anew for each window.

@@ -169,28 +169,30 @@ def approval_gate(spark, sf_dir):
     return state.gate(c, e, "o_orderkey").select("o_orderkey")
 
 
-@query("SELECT s_suppkey FROM supplier WHERE s_suppkey % 4 = 0 OR s_suppkey % 6 = 0")
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' OR (o_totalprice > 200000 AND o_orderpriority <> '5-LOW') OR o_orderdate > TIMESTAMP '1998-01-01'")
 def delta_polling(spark, sf_dir):
     """Rows whose version differs from what the client has, or that it lacks."""
-    now = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
-    old = now.withColumn("s_acctbal", F.when(F.col("s_suppkey") % 4 == 0, F.col("s_acctbal") + 1).otherwise(F.col("s_acctbal")))
-    known = state.changed(old, spark.createDataFrame([], "s_suppkey long, version string"), "s_suppkey").filter("s_suppkey % 6 <> 0").select("s_suppkey", "version")
-    return state.changed(now, known, "s_suppkey").select("s_suppkey")
+    now = table(spark, sf_dir, "orders")
+    old = now.withColumn("o_orderpriority", F.when(F.col("o_totalprice") > 200000, "5-LOW").otherwise(F.col("o_orderpriority")))
+    seen = old.filter("o_orderstatus <> 'P' and o_orderdate <= timestamp'1998-01-01'")
+    known = state.changed(seen, spark.createDataFrame([], "o_orderkey long, version string"), "o_orderkey").select("o_orderkey", "version")
+    return state.changed(now, known, "o_orderkey").select("o_orderkey")
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 = 0")
+@query("SELECT doc_id FROM documents WHERE source = 'src1' OR contains(text, '!')")
 def resume_todo(spark, sf_dir):
     """What is left to do after a stop: no result, or one of other input."""
     todo = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("fingerprint"))
-    done = todo.filter("doc_id % 3 <> 0").withColumn("fingerprint", F.when(F.col("doc_id") % 5 == 0, "old").otherwise(F.col("fingerprint")))
+    done = table(spark, sf_dir, "documents").filter("source <> 'src1'").select("doc_id", F.sha2(F.translate("text", "!", ""), 256).alias("fingerprint"))
     return state.resume(todo, done, "doc_id", "fingerprint").select("doc_id")
 
 
-@query("SELECT r_regionkey AS k, CASE WHEN r_regionkey IN (1, 3) THEN 4 + CASE r_regionkey WHEN 1 THEN 2 ELSE 1 END ELSE r_regionkey END AS pos FROM region")
+@query("WITH c AS (SELECT c_custkey AS k, CAST(c_custkey * 3 AS BIGINT) AS pos, c_acctbal < 0 AS fresh, CAST(c_custkey % 100 AS BIGINT) AS p FROM customer) SELECT k, CASE WHEN fresh THEN (SELECT max(pos) FROM c) + 1 + p ELSE pos END AS pos FROM c")
 def record_upsert(spark, sf_dir):
     """A replaced record moves to the end of the manifest."""
-    now = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("k"), F.col("r_regionkey").cast("long").alias("pos"))
-    new = spark.createDataFrame([(3, 0), (1, 1)], "k int, pos long")
+    c = table(spark, sf_dir, "customer")
+    now = c.select(F.col("c_custkey").alias("k"), (F.col("c_custkey") * 3).cast("long").alias("pos"))
+    new = c.filter("c_acctbal < 0").select(F.col("c_custkey").alias("k"), (F.col("c_custkey") % 100).cast("long").alias("pos"))
     return state.replace_records(now, new, "k")
 
 

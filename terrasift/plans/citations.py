@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terrasift.functions.text import heading_key
+from terrasift.functions.text import heading_key, text_key
 from terrasift.operators import citations as C
+from terrasift.operators.ordered import neighbours
 from terrasift.plans.registry import query, table
 
 
@@ -35,31 +36,37 @@ def evidence_enrich(spark, sf_dir):
 
 
 @query("""
-WITH q AS (SELECT doc_id AS chunk_id, split_part(text, ' ', 2) AS quote FROM documents UNION ALL SELECT -1, 'x'),
+WITH q AS (SELECT doc_id AS chunk_id, array_to_string(string_split(text, ' ')[2:CASE WHEN doc_id % 2 = 0 THEN 5 ELSE 2 END], ' ') AS quote FROM documents UNION ALL SELECT -1, 'x'),
 j AS (SELECT q.chunk_id, quote, lower(text) AS t FROM q LEFT JOIN documents d ON d.doc_id = q.chunk_id),
 n AS (SELECT *, CASE WHEN quote = '' THEN 0 ELSE CAST((length(t) - length(replace(t, lower(quote), ''))) / length(quote) AS BIGINT) END AS hits FROM j)
 SELECT chunk_id, quote, CASE WHEN t IS NULL THEN 'unknown_chunk' WHEN quote = '' OR hits = 0 THEN 'absent' WHEN hits > 1 THEN 'ambiguous' ELSE 'verified' END AS state FROM n
 """)
 def citation_states(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    cited = docs.select("chunk_id", F.split_part("text", F.lit(" "), F.lit(2)).alias("quote")).union(spark.sql("select -1L, 'x'"))
+    cited = docs.select("chunk_id", F.array_join(F.slice(F.split("text", " "), F.lit(2), F.when(F.col("chunk_id") % 2 == 0, 4).otherwise(1)), " ").alias("quote")).union(spark.sql("select -1L, 'x'"))
     return C.citation_check(cited, docs)
 
 
 @query("""
-WITH p AS (SELECT source AS doc, doc_id AS page, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS key FROM documents),
-q AS (SELECT item_id AS quote_id, item_id % 7 AS hint, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS q FROM benchmark),
-h AS (SELECT quote_id, doc, page, hint, row_number() OVER (PARTITION BY quote_id, doc ORDER BY CASE WHEN page = hint THEN 0 ELSE 1 END, page) AS k FROM q JOIN p ON contains(key, q))
-SELECT quote_id, doc, page, coalesce(page = hint, false) AS page_hint_ok FROM h WHERE k = 1
+WITH p AS (SELECT source AS doc, doc_id AS page, replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 'ß', 'ss') AS key FROM documents), n AS (SELECT *, concat_ws(' ', key, lead(key) OVER (PARTITION BY doc ORDER BY page)) AS both_keys, lead(key) OVER (PARTITION BY doc ORDER BY page) AS next_key FROM p),
+v AS (SELECT doc, page, 1 AS view, key FROM n UNION ALL SELECT doc, page, 2, replace(key, chr(173), '') FROM n UNION ALL SELECT doc, page, 3, both_keys FROM n),
+q AS (SELECT item_id AS quote_id, doc, item_id % 7 AS hint, replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 'ß', 'ss') AS q FROM benchmark, (SELECT DISTINCT source AS doc FROM documents)
+  UNION ALL SELECT -1 - page, doc, page, array_to_string(string_split(key, ' ')[-4:], ' ') || ' ' || array_to_string(string_split(next_key, ' ')[1:4], ' ') FROM n WHERE page % 10 = 0 AND next_key IS NOT NULL),
+h AS (SELECT quote_id, q.doc, page, view, hint, row_number() OVER (PARTITION BY quote_id, q.doc ORDER BY view, CASE WHEN page = hint THEN 0 ELSE 1 END, page) AS k FROM q JOIN v ON v.doc = q.doc AND contains(key, q))
+SELECT quote_id, doc, page, view, coalesce(page = hint, false) AS page_hint_ok FROM h WHERE k = 1
 """)
 def quote_containment(spark, sf_dir):
-    """Quotations of the benchmark on the pages (documents) of each source; the hinted page first."""
+    """Quotations of the benchmark on the pages (documents) of each source, and quotations that go from one page to the next;
+    the hinted page first."""
     pages = table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), "text")
-    sources = pages.agg(F.collect_set("doc").alias("docs"))
-    items = table(spark, sf_dir, "benchmark").join(F.broadcast(sources), F.lit(True)).select("*", F.explode("docs").alias("doc"))
+    items = table(spark, sf_dir, "benchmark").crossJoin(pages.select("doc").distinct())
     quotes = items.select(F.concat_ws("/", "item_id", "doc").alias("quote_id"), "doc", F.col("text").alias("quote"), (F.col("item_id") % 7).alias("hint"))
-    out = C.quote_pages(quotes, pages).filter("view = 1")
-    return out.select(F.substring_index("quote_id", "/", 1).cast("long").alias("quote_id"), "doc", "page", "page_hint_ok")
+    keyed = neighbours(pages.withColumn("key", text_key("text")), ["doc"], "page", text_key("text"), right="next").filter("page % 10 = 0 and next is not null")
+    words = lambda c: F.split(c, " ")
+    over = F.concat_ws(" ", F.slice(words("key"), F.greatest(F.size(words("key")) - 3, F.lit(1)), F.lit(4)), F.slice(words("next"), 1, 4))
+    quotes = quotes.union(keyed.select(F.concat_ws("/", (-1 - F.col("page")).cast("string"), "doc"), "doc", over, "page"))
+    out = C.quote_pages(quotes, pages)
+    return out.select(F.substring_index("quote_id", "/", 1).cast("long").alias("quote_id"), "doc", "page", "view", "page_hint_ok")
 
 
 @query("""
@@ -94,7 +101,8 @@ def label_upsert(spark, sf_dir):
     return C.upsert(rows, rows.filter("doc_id % 3 = 0").withColumn("quality", 1 - F.col("quality")), ["doc_id"])
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 4 <> 0 AND doc_id % 2 = 0 THEN 'old' ELSE 'new' END AS translated FROM documents")
+@query("SELECT doc_id, CASE WHEN source <> 'src3' AND n_chars % 2 = 0 THEN md5(text) ELSE lang END AS translated FROM documents")
 def translation_reuse(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id")
-    return C.reuse(docs.withColumn("translated", F.lit("new")), docs.filter("doc_id % 2 = 0").withColumn("translated", F.lit("old")), "doc_id", "translated", F.col("doc_id") % 4 == 0)
+    docs = table(spark, sf_dir, "documents")
+    old = docs.filter("n_chars % 2 = 0").select("doc_id", F.md5("text").alias("translated"))
+    return C.reuse(docs.select("doc_id", "source", F.col("lang").alias("translated")), old, "doc_id", "translated", F.col("source") == "src3").select("doc_id", "translated")

@@ -34,9 +34,9 @@ def run_bases(spark, sf_dir):
     return P.run_groups(runs, c.select(F.col("conv_id").alias("run"), F.col("turn").alias("segment"), F.lit("p").alias("process"))).select("run", "base")
 
 
-@query("SELECT n_nationkey AS run FROM nation WHERE n_nationkey NOT IN (SELECT n_nationkey * 2 FROM nation WHERE n_nationkey > 0)")
+@query("SELECT o_orderkey AS run FROM orders WHERE o_orderkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice < 100000 UNION SELECT o_orderkey * 2 FROM orders WHERE o_totalprice < 100000)")
 def parent_runs(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("run"), F.when(F.col("n_nationkey") > 0, F.array(F.col("n_nationkey") * 2)).otherwise(F.array().cast("array<int>")).alias("child_runs"))
+    n = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run"), F.when(F.col("o_totalprice") < 100000, F.array("o_custkey", F.col("o_orderkey") * 2)).alias("child_runs"))
     return P.top_runs(n).select("run")
 
 

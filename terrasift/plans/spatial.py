@@ -134,14 +134,17 @@ def terrain_resample(spark, sf_dir):
     return raster.resample(_cells(spark, sf_dir), 3, 1.0).drop("raster")
 
 
-@query(f"""WITH {_CELLS}, g AS (SELECT a.r, a.c, a.z, w.z AS wz, e.z AS ez, n.z AS nz, s.z AS sz FROM cells a LEFT JOIN cells w ON w.r = a.r AND w.c = a.c - 1 LEFT JOIN cells e ON e.r = a.r AND e.c = a.c + 1 LEFT JOIN cells n ON n.c = a.c AND n.r = a.r - 1 LEFT JOIN cells s ON s.c = a.c AND s.r = a.r + 1)
-SELECT r, c, CASE WHEN wz IS NULL AND ez IS NULL THEN 0 ELSE (coalesce(ez, z) - coalesce(wz, z)) / (CASE WHEN wz IS NULL OR ez IS NULL THEN 1 ELSE 2 END) END AS dx,
-  CASE WHEN nz IS NULL AND sz IS NULL THEN 0 ELSE (coalesce(sz, z) - coalesce(nz, z)) / (CASE WHEN nz IS NULL OR sz IS NULL THEN 1 ELSE 2 END) END AS dy FROM g""")
+_SLOPES = f"""{_CELLS}, g AS (SELECT a.r, a.c, a.z, w.z AS wz, e.z AS ez, n.z AS nz, s.z AS sz FROM cells a LEFT JOIN cells w ON w.r = a.r AND w.c = a.c - 1 LEFT JOIN cells e ON e.r = a.r AND e.c = a.c + 1 LEFT JOIN cells n ON n.c = a.c AND n.r = a.r - 1 LEFT JOIN cells s ON s.c = a.c AND s.r = a.r + 1),
+slopes AS (SELECT r, c, CASE WHEN wz IS NULL AND ez IS NULL THEN 0 ELSE (coalesce(ez, z) - coalesce(wz, z)) / (CASE WHEN wz IS NULL OR ez IS NULL THEN 1 ELSE 2 END) END AS dx,
+  CASE WHEN nz IS NULL AND sz IS NULL THEN 0 ELSE (coalesce(sz, z) - coalesce(nz, z)) / (CASE WHEN nz IS NULL OR sz IS NULL THEN 1 ELSE 2 END) END AS dy FROM g)"""
+
+
+@query(f"WITH {_SLOPES} SELECT r, c, dx, dy FROM slopes")
 def raster_gradient(spark, sf_dir):
     return raster.slopes(_cells(spark, sf_dir), 1.0).drop("raster")
 
 
-@query()
+@query(f"""WITH {_SLOPES} SELECT r, c, round(greatest(cos(radians(45)) * cos(atan(sqrt(dx ** 2 + dy ** 2))) + sin(radians(45)) * sin(atan(sqrt(dx ** 2 + dy ** 2))) * cos(radians(135) - atan2(dy, -dx)), 0), 9) AS shade FROM slopes""")
 def hillshade(spark, sf_dir):
     return raster.hillshade(_cells(spark, sf_dir), 1.0).withColumn("shade", F.round("shade", 9)).drop("raster")
 

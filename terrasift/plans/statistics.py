@@ -177,20 +177,25 @@ def coverage_boxes(spark, sf_dir):
     return scoring.coverage_area(_boxes(spark, sf_dir), 2)
 
 
-@query(f"""
-WITH {_BOX}, k AS (SELECT segment, ceil(count(DISTINCT model) / 2) AS k FROM b WHERE model <> '0' GROUP BY segment),
-a AS (SELECT c.segment, coalesce(sum((xz - xa) * (yz - ya)) FILTER (list_contains(who, '0')), 0) AS a, coalesce(sum((xz - xa) * (yz - ya)) FILTER (len(list_filter(who, lambda m: m <> '0')) >= k), 0) AS b,
-  coalesce(sum((xz - xa) * (yz - ya)) FILTER (list_contains(who, '0') AND len(list_filter(who, lambda m: m <> '0')) >= k), 0) AS c FROM c JOIN k ON k.segment = c.segment GROUP BY c.segment)
+def _scores(model: str) -> str:
+    """SQL of the scores of a model against what the others agree on."""
+    return f"""
+WITH {_BOX}, k AS (SELECT segment, ceil(count(DISTINCT model) / 2) AS k FROM b WHERE model <> '{model}' GROUP BY segment),
+a AS (SELECT c.segment, coalesce(sum((xz - xa) * (yz - ya)) FILTER (list_contains(who, '{model}')), 0) AS a, coalesce(sum((xz - xa) * (yz - ya)) FILTER (len(list_filter(who, lambda m: m <> '{model}')) >= k), 0) AS b,
+  coalesce(sum((xz - xa) * (yz - ya)) FILTER (list_contains(who, '{model}') AND len(list_filter(who, lambda m: m <> '{model}')) >= k), 0) AS c FROM c JOIN k ON k.segment = c.segment GROUP BY c.segment)
 SELECT segment, c / nullif(a, 0) AS precision, c / nullif(b, 0) AS recall, c / nullif(a + b - c, 0) AS iou, CASE WHEN a > 0 AND b > 0 THEN least(a, b) / greatest(a, b) ELSE 0 END AS scale,
   coalesce(CASE WHEN a > 0 AND b > 0 THEN least(a, b) / greatest(a, b) ELSE 0 END * list_avg(list_filter([c / nullif(a, 0), c / nullif(b, 0), c / nullif(a + b - c, 0)], lambda x: x IS NOT NULL)), 0) AS score FROM a
-""")
+"""
+
+
+@query(_scores("0"))
 def ref_scoring_boxes(spark, sf_dir):
     """Model 0 against what the others agree on."""
     boxes = _boxes(spark, sf_dir)
     return scoring.score(boxes.filter("model = '0'"), boxes.filter("model <> '0'"))
 
 
-@query()
+@query("SELECT round(avg(score), 9) AS ceiling FROM (" + " UNION ALL ".join(f"SELECT avg(score) AS score FROM ({_scores(m)})" for m in "012") + ")")
 def leave_one_out(spark, sf_dir):
     """Each model against the others: the mean score that a reference itself reaches."""
     boxes = _boxes(spark, sf_dir)
@@ -198,4 +203,4 @@ def leave_one_out(spark, sf_dir):
     for m in ("0", "1", "2"):
         s = scoring.score(boxes.filter(F.col("model") == m), boxes.filter(F.col("model") != m)).agg(F.lit(m).alias("model"), F.avg("score").alias("score"))
         out = s if out is None else out.union(s)
-    return out.agg(F.avg("score").alias("ceiling"))
+    return out.agg(F.round(F.avg("score"), 9).alias("ceiling"))
