@@ -22,9 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = suffix_dedup.dedup(table(spark, sf_dir, "documents"), 400)
+    out = suffix_dedup.dedup(table(spark, sf_dir, "documents"), 400, words=50)
     kept = F.coalesce(F.octet_length("kept_text"), F.lit(0)).cast("long")
-    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - kept).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept_text", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - kept).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept_text", 256).alias("kept_sha256"), "n_shared_words")
 
 
 @query
