@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrasift.functions import geometry as G
+from terrasift.functions import mask as masks
+
 FIT = "figure string, kind string, params array<double>, rms double, max_error double, n int, check_rms double"
 
 
@@ -74,29 +77,97 @@ def fit(points: DataFrame, kind: str) -> DataFrame:
     return points.groupBy("figure").applyInPandas(run, FIT)
 
 
-def components(mask: DataFrame, keep, least: int = 1) -> DataFrame:
-    """image, r, c, part of mask cells (image, r, c) in 8-connected components of at least `least` cells; part is the least
-    (r, c) of the component as r * 2**32 + c.
+#: Cells along the side of a square of an image that one task labels at once.
+TILE = 128
+
+
+def _diamond(n: int) -> Column:
+    return F.array(*(F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr in range(-n, n + 1) for dc in range(-n, n + 1) if abs(dr) + abs(dc) <= n))
+
+
+def dilate(cells: DataFrame, n: int, images: DataFrame) -> DataFrame:
+    """image, r, c of all cells of the image (images: image, rows, cols) within n steps along rows and columns of a cell."""
+    near = cells.select("image", "r", "c", F.explode(_diamond(n)).alias("s")).select("image", (F.col("r") + F.col("s.dr")).alias("r"), (F.col("c") + F.col("s.dc")).alias("c")).distinct()
+    return near.join(images, "image").filter("r >= 0 and c >= 0 and r < rows and c < cols").select("image", "r", "c")
+
 
-    Runs of a row are found by a window first, so that only runs, not cells, pass labels on. keep(df) writes a round.
+def erode(cells: DataFrame, n: int) -> DataFrame:
+    """image, r, c of cells of which all within n steps are there too; beyond an image there are none."""
+    sent = cells.select("image", "r", "c", F.explode(_diamond(n)).alias("s")).select("image", (F.col("r") + F.col("s.dr")).alias("r"), (F.col("c") + F.col("s.dc")).alias("c"))
+    return sent.groupBy("image", "r", "c").agg(F.count("*").alias("n")).filter(F.col("n") == 2 * n * (n + 1) + 1).select("image", "r", "c")
+
+
+def cleaned(cells: DataFrame, images: DataFrame, open_px: int = 0, close_px: int = 0) -> DataFrame:
+    """A mask opened, then closed."""
+    if open_px:
+        cells = dilate(erode(cells, open_px), open_px, images)
+    return erode(dilate(cells, close_px, images), close_px) if close_px else cells
+
+
+def components(mask: DataFrame, keep: Callable[[DataFrame], DataFrame], least: int = 1, diagonal: bool = True) -> DataFrame:
+    """image, r, c, part of mask cells (image, r, c) in components of at least `least` cells; part is the least (r, c) of the
+    component as r * 2**32 + c. Cells touch by their sides and, with diagonal, by their corners.
+
+    Each square of TILE cells is labelled in a task of its own. What touches across the edges of squares are links between
+    labels; along these the least label spreads, and jumps to what that one knows, until nothing changes: as many rounds as
+    the logarithm of the longest chain of squares. keep(df) writes a round.
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("image", "r").orderBy("c")
-    g = mask.withColumn("g", F.col("c") - F.row_number().over(w))
-    runs = keep(g.groupBy("image", "r", "g").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).withColumn("id", F.shiftleft(F.col("r").cast("long"), 32) + F.col("c0")))
-    below = runs.select("image", (F.col("r") - 1).alias("r"), F.col("c0").alias("d0"), F.col("c1").alias("d1"), F.col("id").alias("other"))
-    touch = runs.join(below, ["image", "r"]).filter((F.col("c0") <= F.col("d1") + 1) & (F.col("d0") <= F.col("c1") + 1)).select("image", "id", "other")
-    edges = keep(touch.union(touch.select("image", F.col("other").alias("id"), F.col("id").alias("other"))))
-    label = keep(runs.select("image", "id", F.col("id").alias("part")))
-    while True:
-        near = edges.join(label.withColumnRenamed("id", "other"), ["image", "other"]).groupBy("image", "id").agg(F.min("part").alias("least"))
-        step = label.join(near, ["image", "id"], "left").select("image", "id", "part", F.least("part", F.coalesce("least", "part")).alias("to"))
-        far = label.select("image", F.col("id").alias("to"), F.col("part").alias("far"))
-        nxt = keep(step.join(far, ["image", "to"]).select("image", "id", F.least("to", "far").alias("new"), (F.least("to", "far") != F.col("part")).alias("moved")))
-        label = nxt.select("image", "id", F.col("new").alias("part"))
-        if nxt.filter("moved").isEmpty():
+
+    def label(f: pd.DataFrame) -> pd.DataFrame:
+        r, c = f["r"].to_numpy(), f["c"].to_numpy()
+        here = np.zeros((TILE, TILE), bool)
+        here[r % TILE, c % TILE] = True
+        first = masks.label(here, diagonal)[r % TILE, c % TILE]
+        base = (r // TILE * TILE + first // TILE) << 32 | (c // TILE * TILE + first % TILE)
+        return f[["image", "r", "c"]].assign(own=base)
+
+    kind = dict(mask.dtypes)["image"]
+    cells = mask.select("image", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c")).distinct()
+    tile = [F.floor(F.col("r") / TILE).alias("_r"), F.floor(F.col("c") / TILE).alias("_c")]
+    own = keep(cells.groupBy("image", *tile).applyInPandas(label, f"image {kind}, r long, c long, own long"))
+    steps = [(0, 1), (1, 0), *([(1, 1), (1, -1)] if diagonal else [])]
+    far = own.select("image", "r", "c", "own", F.explode(F.array(*(F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in steps))).alias("s"))
+    far = far.select("image", (F.col("r") + F.col("s.dr")).alias("r"), (F.col("c") + F.col("s.dc")).alias("c"), F.col("r").alias("r0"), F.col("c").alias("c0"), F.col("own").alias("u"))
+    across = (F.floor(F.col("r") / TILE) != F.floor(F.col("r0") / TILE)) | (F.floor(F.col("c") / TILE) != F.floor(F.col("c0") / TILE))
+    links = far.filter(across).join(own, ["image", "r", "c"]).select("image", "u", F.col("own").alias("v"))
+    links = keep(links.union(links.select("image", F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    named = keep(links.select("image", "u").distinct().withColumn("part", F.col("u")))
+    while not links.isEmpty():
+        near = links.join(named.select("image", F.col("u").alias("v"), "part"), ["image", "v"]).groupBy("image", "u").agg(F.min("part").alias("low"))
+        step = named.join(near, ["image", "u"]).select("image", "u", "part", F.least("part", "low").alias("to"))
+        known = named.select("image", F.col("u").alias("to"), F.col("part").alias("far"))
+        after = keep(step.join(known, ["image", "to"]).select("image", "u", F.least("to", "far").alias("new"), (F.least("to", "far") != F.col("part")).alias("moved")))
+        named = after.select("image", "u", F.col("new").alias("part"))
+        if after.filter("moved").isEmpty():
             break
-    sized = runs.join(label, ["image", "id"]).select("image", "r", "g", "n", "part")
-    big = sized.groupBy("image", "part").agg(F.sum("n").alias("total")).filter(F.col("total") >= least)
-    return g.join(sized.select("image", "r", "g", "part"), ["image", "r", "g"]).join(big.select("image", "part"), ["image", "part"], "left_semi").select("image", "r", "c", "part")
+    labelled = own.join(named.withColumnRenamed("u", "own"), ["image", "own"], "left").select("image", "r", "c", F.coalesce("part", "own").alias("part"))
+    if least <= 1:
+        return labelled
+    big = labelled.groupBy("image", "part").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    return labelled.join(big.select("image", "part"), ["image", "part"], "left_semi").select("image", "r", "c", "part")
+
+
+def part_boxes(parts: DataFrame) -> DataFrame:
+    """image, part, x0, y0, x1, y1: labelled cells (image, r, c, part) as boxes in cells, runs of a row first, then equal runs of
+    rows that follow each other. The boxes of a part don't overlap."""
+    row = Window.partitionBy("image", "part", "r").orderBy("c")
+    runs = parts.withColumn("g", F.col("c") - F.row_number().over(row)).groupBy("image", "part", "r", "g").agg(F.min("c").alias("x0"), (F.max("c") + 1).alias("x1"))
+    same = Window.partitionBy("image", "part", "x0", "x1").orderBy("r")
+    down = runs.withColumn("h", F.col("r") - F.row_number().over(same)).groupBy("image", "part", "x0", "x1", "h").agg(F.min("r").alias("y0"), (F.max("r") + 1).alias("y1"))
+    return down.select("image", "part", "x0", "y0", "x1", "y1")
+
+
+def mask_polygons(parts: DataFrame, transform: tuple[float, float, float, float, float, float] = (0, 1, 0, 0, 0, 1)) -> DataFrame:
+    """image, part, n (cells), geom: each part as one WKB geometry, through the six numbers of an affine transform. A part's
+    boxes, not its cells, are gathered; it is the unit of the result."""
+    x0, dx, rx, y0, ry, dy = transform
+
+    def unite(f: pd.DataFrame) -> pd.DataFrame:
+        polygons = []
+        for a, b, c, d in f[["x0", "y0", "x1", "y1"]].to_numpy(float):
+            ring = np.array([(a, b), (c, b), (c, d), (a, d), (a, b)])
+            polygons.append([np.stack((x0 + dx * ring[:, 0] + rx * ring[:, 1], y0 + ry * ring[:, 0] + dy * ring[:, 1]), 1)])
+        n = int(((f["x1"] - f["x0"]) * (f["y1"] - f["y0"])).sum())
+        return pd.DataFrame([(f["image"].iloc[0], f["part"].iloc[0], n, G.to_wkb(("polygon", polygons)))], columns=["image", "part", "n", "geom"])
+
+    return part_boxes(parts).groupBy("image", "part").applyInPandas(unite, f"image {dict(parts.dtypes)['image']}, part long, n long, geom binary")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from terrasift.functions import geometry
 from terrasift.functions import text as T
 from terrasift.operators import georeference, spatial
 from terrasift.plans.registry import query, table
 from terrasift.plans.spatial import _CELLS, _PTS, _cells, _points
+from terrasift.shared import checkpointer
 
 
 @query(f"""WITH {_PTS}, s AS (SELECT vec_id, x, y FROM p WHERE label < 5), b AS (SELECT vec_id, x, y FROM p WHERE label >= 5),
@@ -98,3 +100,37 @@ def job_ratings(spark, sf_dir):
     k = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
     r = table(spark, sf_dir, "orders").withColumn("k", k).filter("k <= 5").groupBy(F.col("o_custkey").alias("job")).agg(F.count("*").alias("n"), F.avg(F.col("o_totalprice") % 5).alias("mean"))
     return r.select("job", F.when(F.col("n") >= 5, F.col("mean")).alias("rating"), (F.col("n") >= 5).alias("complete"))
+
+
+def _mask(spark, sf_dir):
+    """About a third of the raster's cells, in two images."""
+    cells = _cells(spark, sf_dir).select((F.col("r") % 2).cast("string").alias("image"), F.floor(F.col("r") / 2).alias("r"), "c", "z")
+    return cells.filter(F.pmod(F.col("r") * 7 + F.col("c") * 3 + F.floor("z"), F.lit(10)) < 3).select("image", "r", "c")
+
+
+_MASK = f"{_CELLS}, mask AS (SELECT CAST(r % 2 AS VARCHAR) AS image, r // 2 AS r, c FROM cells WHERE ((r // 2) * 7 + c * 3 + CAST(floor(z) AS BIGINT)) % 10 < 3)"
+_PARTS = "near AS (SELECT a.image, a.r * 4294967296 + a.c AS u, b.r * 4294967296 + b.c AS v FROM mask a JOIN mask b ON a.image = b.image AND {touch}), t(image, u, v) AS (SELECT image, u, u FROM near UNION SELECT t.image, t.u, n.v FROM t JOIN near n ON n.image = t.image AND n.u = t.v), parts AS (SELECT image, u, min(v) AS part FROM t GROUP BY image, u)"
+_CORNERS, _SIDES = "abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1", "abs(a.r - b.r) + abs(a.c - b.c) <= 1"
+
+
+@query(f"WITH RECURSIVE {_MASK}, {_PARTS.format(touch=_CORNERS)} SELECT image, CAST(u // 4294967296 AS BIGINT) AS r, CAST(u % 4294967296 AS BIGINT) AS c, CAST(part AS BIGINT) AS part FROM parts WHERE (image, part) IN (SELECT image, part FROM parts GROUP BY ALL HAVING count(*) >= 4)")
+def mask_components(spark, sf_dir):
+    """Parts of at least four cells of a mask, cells touching by corners too."""
+    return georeference.components(_mask(spark, sf_dir), checkpointer(spark), 4)
+
+
+@query(f"WITH RECURSIVE {_MASK}, {_PARTS.format(touch=_SIDES)} SELECT image, CAST(part AS BIGINT) AS part, count(*) AS n, count(*) * 6.0 AS area FROM parts GROUP BY ALL")
+def mask_polygons(spark, sf_dir):
+    """Parts as polygons through a transform that makes cells of 2 by 3."""
+    parts = georeference.components(_mask(spark, sf_dir), checkpointer(spark), diagonal=False)
+    out = georeference.mask_polygons(parts, (100, 2, 0, 50, 0, -3))
+    return out.select("image", "part", "n", F.round(geometry.st_area("geom"), 6).alias("area"))
+
+
+@query(f"""WITH {_MASK}, size AS (SELECT 30 AS rows, 60 AS cols), cross_ AS (SELECT dr, dc FROM (VALUES (0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)) t(dr, dc)),
+grown AS (SELECT DISTINCT image, r + dr AS r, c + dc AS c FROM mask, cross_, size WHERE r + dr BETWEEN 0 AND rows - 1 AND c + dc BETWEEN 0 AND cols - 1),
+shut AS (SELECT image, r + dr AS r, c + dc AS c FROM grown, cross_ GROUP BY ALL HAVING count(*) = 5) SELECT image, CAST(r AS BIGINT) AS r, CAST(c AS BIGINT) AS c FROM shut""")
+def closed_mask(spark, sf_dir):
+    """A mask closed by one cell; cells at the edge of the image wear off."""
+    images = spark.range(2).select(F.col("id").cast("string").alias("image"), F.lit(30).alias("rows"), F.lit(60).alias("cols"))
+    return georeference.cleaned(_mask(spark, sf_dir), images, close_px=1)

@@ -196,14 +196,26 @@ def like_literal(text: str) -> str:
     return text.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_").replace("'", "''")
 
 
-def locate(gazetteer: DataFrame, terms: list[str], name: str = "name") -> DataFrame:
+# Spellings that stand for each other.
+SPELLINGS = [("ei", "ai"), ("ai", "ei"), ("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss"), ("ae", "ä"), ("oe", "ö"), ("ue", "ü")]
+
+
+def spellings_of(term: str) -> set[str]:
+    """A name in lower case, with each exchange of spellings made or not, and for names of more than six letters their stem."""
+    own = term.strip().lower()
+    out = {own} if own else set()
+    for a, b in SPELLINGS:
+        out |= {s.replace(a, b) for s in out}
+    return out | ({own[: max(5, len(own) - 4)]} if len(own) > 6 else set())
+
+
+def locate(gazetteer: DataFrame, terms: list[str], name: str = "name", most: int = 50) -> DataFrame:
     """Rows whose name holds any of the terms or their spellings, whatever the case; the feature is a list of 50."""
-    low = [t.lower() for t in terms]
-    spellings = sorted({s for t in low for s in (t, t.replace("ei", "ai"), t.replace("ai", "ei")) if s.strip()})
+    spellings = sorted(set().union(*map(spellings_of, terms)))
     if not spellings:
         return gazetteer.limit(0)
     hit = F.exists(F.array(*(F.lit(s) for s in spellings)), lambda s: F.contains(F.lower(F.col(name)), s))
-    return gazetteer.filter(hit).orderBy(name).limit(50)
+    return gazetteer.filter(hit).orderBy(name).limit(most)
 
 
 class Budget:
