@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 #: Modules of terrasift.plans that register queries when they are imported.
-MODULES = ("language", "predicates", "texts", "citations", "chains", "statistics", "spatial", "checks", "placements", "terrain", "localization", "geometry")
+MODULES = ("language", "predicates", "texts", "citations", "chains", "statistics", "spatial", "checks", "placements", "terrain", "localization", "geometry", "files")
 
 
 def query(sql: str | None = None):

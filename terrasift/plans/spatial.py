@@ -90,7 +90,6 @@ def _two(spark, sf_dir):
 
 
 _TWO = f"{_CELLS}, two AS (SELECT 'dem' AS raster, r, c, z FROM cells UNION ALL SELECT 'dsm', r, c, z * 2 + c FROM cells WHERE (r + c) % 5 <> 0)"
-_NAMES = F.array(F.lit("dem"), F.lit("dsm"))
 
 
 @query(f"WITH {_TWO}, zones AS (SELECT i AS zone, CASE WHEN i % 3 = 0 THEN 'dsm' ELSE 'dem' END AS raster, i * 7.0 AS x0, i * 3.0 AS y0, i * 7.0 + 9 AS x1, i * 3.0 + 8 AS y1 FROM range(0, 12) t(i)) SELECT zone, raster, count(*) AS n, min(z) AS min, max(z) AS max, round(avg(z), 9) AS mean FROM two JOIN zones USING (raster) WHERE c + 0.5 BETWEEN x0 AND x1 AND r + 0.5 BETWEEN y0 AND y1 GROUP BY zone, raster")

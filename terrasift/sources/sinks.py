@@ -10,6 +10,8 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +37,23 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         raise OSError(f"{path} could not be written")
 
 
+def write_files(files: DataFrame, folder: str) -> int:
+    """Files (name, content binary) of a table, each written by the task that has its row; the number of files. A task that
+    runs again writes the same names anew."""
+
+    def run(batches):
+        fs, root = pafs.FileSystem.from_uri(folder)
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                path = f"{root.rstrip('/')}/{name}"
+                fs.create_dir(path.rpartition("/")[0], recursive=True)
+                with fs.open_output_stream(path) as out:
+                    out.write(content or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    return files.select("name", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
