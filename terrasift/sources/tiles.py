@@ -94,7 +94,6 @@ def terrain_tiles(west: float, south: float, east: float, north: float, step: fl
         place = lambda v: min(max(math.floor(v * n), 0), n - 1)  # noqa: B023, E731
         down = lambda lat: (1 - math.asinh(math.tan(math.radians(lat))) / math.pi) / 2
         xs, ys = ((place(a), place(b)) for a, b in (((west + 180) / 360, (east + 180) / 360), (down(north), down(south))))
-        found = [(x, y) for x in range(xs[0], xs[1] + 1) for y in range(ys[0], ys[1] + 1)]
-        if len(found) <= most:
-            return z, found
+        if (xs[1] - xs[0] + 1) * (ys[1] - ys[0] + 1) <= most:
+            return z, [(x, y) for x in range(xs[0], xs[1] + 1) for y in range(ys[0], ys[1] + 1)]
     return 0, [(0, 0)]
