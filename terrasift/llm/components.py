@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrasift.llm.store import drop, join_roots, keep
+from terrasift.llm.store import drop, join_roots, keep, small_batches
 
 #: Edges up to which one task does the rest (16 bytes each).
 SMALL = 500_000
@@ -65,6 +65,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges: columns u and v of integers, in any direction, repeats and loops allowed; rows with a null end are
     ignored. Without edges the result is empty.
     """
+    small_batches(edges)
     plain = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).filter("u <> v").distinct()
     now = keep(plain.mapInArrow(_contract, "u bigint, v bigint").distinct())
     if now.count() <= SMALL:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrasift.llm.store import keep, sized
+from terrasift.llm.store import keep, sized, small_batches
 from terrasift.llm.textops import ALNUM, LOWER, prefix, stretch, texts_of, window_hashes, word_hashes
 
 MAX_WINDOWS, MAX_BYTES = 2_000_000, 64 << 20
@@ -152,6 +152,7 @@ def find_hits(documents: DataFrame, benchmark: DataFrame, n: int = 13, text: str
     benchmark hits nothing, an empty table gives an empty result, repeated rows are judged alike. Items without words have
     no window; null ids read as ''.
     """
+    small_batches(documents)
     # The other columns travel in one struct, so that none of their names can clash.
     others = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in documents.columns if c != text))
     docs = documents.select(others.alias("row"), F.col(f"`{text}`").alias("text"))

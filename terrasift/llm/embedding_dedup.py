@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrasift.llm.components import components
-from terrasift.llm.store import drop, join_roots, keep, sized, tables_by_key
+from terrasift.llm.store import drop, join_roots, keep, sized, small_batches, tables_by_key
 
 SAMPLE, LEAF, TREES, FEW, TRIES = 10_000, 384, 5, 32, 3
 #: Rows in a block of a large leaf, and in a tile of a comparison.
@@ -155,6 +155,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.95, vector: str
     lengths don't link. Repeated rows are vectors of their own and link with each other. A null vec_id is never the least;
     its component is null if it stands alone. Labels and other columns are not read. An empty table gives an empty result.
     """
+    small_batches(embeddings)
     kind = embeddings.schema[vector].dataType
     single = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
     v = F.col(f"`{vector}`").cast("array<float>" if single else "array<double>")

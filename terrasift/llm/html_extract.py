@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from terrasift.llm.block_lstm import BlockLabeller
 from terrasift.llm.html_blocks import blocks
+from terrasift.llm.store import small_batches
 
 _loaded: list[BlockLabeller] = []
 
@@ -34,6 +35,7 @@ def extract(pages: DataFrame, html: str = "html", threshold: float = 0.0) -> Dat
     Null and empty pages have an empty text. Whole pages are read, of any length. Other columns stay as they are, whatever
     their names; repeated rows get equal results, an empty table an empty one.
     """
+    small_batches(pages)
     others = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in pages.columns if c != html))
     docs = pages.select(others.alias("row"), F.col(f"`{html}`").alias("html"))
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrasift.llm.components import components
-from terrasift.llm.store import join_roots, keep, sized, tables_by_key
+from terrasift.llm.store import join_roots, keep, sized, small_batches, tables_by_key
 from terrasift.llm.textops import SPACED, mix, signed, texts_of, window_hashes, word_hashes
 
 #: Counters of the sketch (bytes when shared with the tasks), documents in a block of sets, length from which a list is
@@ -221,6 +221,7 @@ def link_components(documents: DataFrame, words: int = 5, percent: int = 80, tex
     when components are named. Rows with a null doc_id get the component of a copy that has one, else null. An empty
     table gives an empty result.
     """
+    small_batches(documents)
     docs = documents.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     kinds = docs.sparkSession.sparkContext.broadcast(_sketch(docs, words))
     t = percent / 100

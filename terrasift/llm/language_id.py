@@ -15,6 +15,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrasift.llm.store import small_batches
+
 PART, LEVEL = 2000, 6
 
 
@@ -92,6 +94,7 @@ def identify(documents: DataFrame, model: Model, margin: float = 0.0, text: str
     Rejected: null texts, texts without letters, and texts whose score is below `margin`. Texts of any length are read whole,
     part by part; ties go to the more frequent language. No other column is read, none is changed whatever its name; repeated rows get equal results, an empty table an empty one.
     """
+    small_batches(documents)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     others = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in documents.columns if c != text))
     docs = documents.select(others.alias("row"), F.col(f"`{text}`").alias("text"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrasift.llm.store import keep, sized
+from terrasift.llm.store import keep, sized, small_batches
 
 
 def later_windows(documents: DataFrame, lines: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -41,6 +41,7 @@ def dedup(documents: DataFrame, lines: int = 3, text: str = "text", key: str = "
     alone. Rows that are alike in key and text count as one, so neither loses lines to the other. Other columns stay as
     they are, whatever their names; an empty table gives an empty result.
     """
+    small_batches(documents)
     later = keep(later_windows(documents, lines, text, key).groupBy("doc_id", "rk").agg(F.collect_set("pos").alias("starts")))
     rk = F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"))
     others = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in documents.columns if c not in (text, key)))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrasift.llm.store import drop, keep, sized
+from terrasift.llm.store import drop, keep, sized, small_batches
 from terrasift.llm.textops import CHUNK, CODES, SPACED, prefix, signed, sliding_min, stretch, texts_of, word_hashes
 
 CELL = 20
@@ -184,6 +184,7 @@ def repeated_spans(documents: DataFrame, length: int = 400, text: str = "text",
     spans. Texts that are null or shorter than `length` have none; an empty table gives an empty one. Texts of any length
     are read whole, in parts.
     """
+    small_batches(documents)
     if length < 2 * kind.gram or length - kind.gram >= 1024:
         raise ValueError(f"length must be from {2 * kind.gram} to {1023 + kind.gram}")
     docs = _docs(documents, text, key)
@@ -300,6 +301,7 @@ def dedup(documents: DataFrame, length: int = 400, text: str = "text", key: str
     of a window are treated alike, so there are no ties. Only the key and the text are read, whatever else there is; an
     empty table gives an empty one.
     """
+    small_batches(documents)
     docs = _docs(documents, text, key)
     by_doc = merged_spans(repeated_spans(documents, length, text, key)).withColumn("shared", F.lit(None).cast("array<bigint>"))
     if words:

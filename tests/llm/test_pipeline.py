@@ -1,5 +1,7 @@
+import numpy as np
+
 import corpus_pipeline as P
-from tests.llm import test_decontaminate, test_jaccard_join, test_line_dedup
+from tests.llm import test_decontaminate, test_jaccard_join, test_line_dedup, test_packing
 from terrasift.llm import language_id
 
 COLUMNS = {"doc_id", "text", "lang", "source", "n_chars"}
@@ -33,6 +35,8 @@ def test_stages_against_brute_force(spark, sf):
     five = {r.doc_id: r for r in P.run(spark, sf).collect()}
     assert set(five) == set(kept)
     assert all(r.n_tokens == len(kept[d].split()) for d, r in five.items())
+    lengths, counts = np.unique([r.n_tokens for r in five.values()], return_counts=True)
+    assert sum(r.padding for r in five.values()) == test_packing.exact(lengths, counts, 8)
 
 
 def test_null_and_empty_rows_pass_through(spark, sf):

@@ -1,4 +1,5 @@
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -50,7 +51,7 @@ def test_against_brute_force(spark, length):
 def test_long_texts_and_repeated_rows(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CHUNK", 900)
     texts = corpus(5) + [" ".join(map(str, range(900))), " ".join(map(str, range(300, 800)))]
-    raw = [(t or "").encode() for t in texts]
+    raw = suffix_dedup.BYTES.sequences([(t or "").encode() for t in texts])
     anchors = suffix_dedup.anchors_of(raw, 64)
     for i, t in enumerate(raw):
         starts = sorted(s for r, p, lo, hi in zip(*(anchors[c] for c in ("row", "pos", "jlo", "jhi")), strict=True) if r == i for s in range(p - hi, p - lo + 1))
@@ -71,10 +72,49 @@ def test_long_texts_against_brute_force(spark, monkeypatch, length):
         cloudpickle.unregister_pickle_by_value(suffix_dedup)
     assert [got[i] for i in range(len(texts))] == brute([(t or "").encode() for t in texts], length)
     for t in texts[-4:]:
-        c = suffix_dedup.anchors_of([t.encode()], length)
+        c = suffix_dedup.anchors_of(suffix_dedup.BYTES.sequences([t.encode()]), length)
         assert len(set(c["pos"])) == len(c["pos"])
 
 
+def brute_shared(rows, n):
+    """Words of each row in windows of n words that a row of another key or text has too."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t in rows]
+    seen = defaultdict(set)
+    for i, w in enumerate(words):
+        for a in range(len(w) - n + 1):
+            seen[tuple(w[a : a + n])].add(rows[i])
+    out = []
+    for w in words:
+        gone = set()
+        for a in range(len(w) - n + 1):
+            if len(seen[tuple(w[a : a + n])]) > 1:
+                gone.update(range(a, a + n))
+        out.append(len(gone))
+    return out
+
+
+@pytest.mark.parametrize(("n", "chunk"), [(16, 1 << 19), (50, 1 << 19), (50, 150)])
+def test_shared_words_against_brute_force(spark, monkeypatch, n, chunk):
+    """Passages that documents share count, repeats within one document don't; case and white space make no difference."""
+    r = random.Random(n)
+    word = lambda: "".join(r.choice("abcdeé") for _ in range(r.randint(1, 3)))
+    body = lambda k: " ".join(word() for _ in range(k))
+    passages = [body(k) for k in (15, 16, 17, 49, 50, 51, 90)]
+    rows = [(i, " ".join([body(r.randint(0, 60)), *r.choices(passages, k=r.randint(0, 3)), body(r.randint(0, 60))])) for i in range(60)]
+    own = body(60)
+    rows += [(100, f"{own} {own} {own}"), (101, rows[3][1].upper().replace(" ", "\n ")), (102, None), (103, ""), (104, body(2000) + " " + passages[-1] + " " + body(500)), (105, "x " * 300), (106, "x " * 200)]
+    rows += [rows[5], rows[100 - 40][:1] + ("other text",)]
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+    cloudpickle.register_pickle_by_value(suffix_dedup)
+    try:
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = sorted((r.doc_id, r.n_shared_words, r.n_bytes) for r in suffix_dedup.dedup(df, words=n).collect())
+    finally:
+        cloudpickle.unregister_pickle_by_value(suffix_dedup)
+    assert got == sorted((k, c, len((t or "").encode())) for (k, t), c in zip(rows, brute_shared(rows, n), strict=True))
+    assert 0 < sum(c > 0 for _, c, _ in got) < len(got)
+
+
 def test_empty_table_and_null_key(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup.dedup(empty).count() == 0
