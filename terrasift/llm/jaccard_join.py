@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrasift.llm.components import components
-from terrasift.llm.store import join_roots, keep, sized, small_batches, tables_by_key
+from terrasift.llm.store import drop, join_roots, keep, sized, small_batches, tables_by_key
 from terrasift.llm.textops import SPACED, mix, signed, texts_of, window_hashes, word_hashes
 
 #: Counters of the sketch (bytes when shared with the tasks), documents in a block of sets, length from which a list is
@@ -250,8 +250,10 @@ def link_components(documents: DataFrame, words: int = 5, percent: int = 80, tex
     classes = keep(filled.groupBy("n", "f", "g").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("rep is not null"))
     copies = keep(filled.join(sized(keep(classes.filter("copies > 1").select("n", "f", "g", "rep"))), ["n", "f", "g"]).filter("doc_id is null or doc_id <> rep").select("doc_id", "n", "f", "g"))
     posted = filled.join(sized(copies), ["doc_id", "n", "f", "g"], "left_anti").filter("doc_id is not null")
-    groups = components(_candidates(posted, percent))
+    candidates = _candidates(posted, percent)
+    groups = components(candidates)
     members = keep(_member_sets(docs, groups, words))
+    drop(candidates, groups)
     first = keep(_search(members.withColumn("rest", F.lit(False)), percent, True))
     linked = components(first)
     # Large groups go on: all that isn't in the group's largest component so far, against everything in the group.
@@ -260,6 +262,8 @@ def link_components(documents: DataFrame, words: int = 5, percent: int = 80, tex
         top = joined.groupBy("group", "now").agg(F.count("*").alias("c")).groupBy("group").agg(F.max_by("now", F.struct("c", "now")).alias("top"))
         rest = joined.join(top, "group").select("doc_id", (F.col("now") != F.col("top")).alias("rest"))
         linked = components(first.union(_search(members.join(rest, "doc_id"), percent, False)))
+    # What is named below reads none of these any more.
+    drop(first, members, joined)
     named = classes.join(linked.withColumnRenamed("id", "rep"), "rep", "left").filter("copies > 1 or component is not null")
     named = keep(named.select("n", "f", "g", F.coalesce("component", "rep").alias("component_id")))
     out = sets.select("doc_id", "n", "f", "g").join(sized(named), ["n", "f", "g"], "left")
@@ -459,7 +463,9 @@ def _candidates(posted: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["u", "v"])
 
     chained = keep(_refine(edges.filter("chained").select("u", "v"), posted.select("doc_id", "n", "parity"), t))
-    return keep(chained.union(both.mapInArrow(near, "u bigint, v bigint")))
+    out = keep(chained.union(both.mapInArrow(near, "u bigint, v bigint")))
+    drop(edges, chained)
+    return out
 
 
 def _refine(chained: DataFrame, bits: DataFrame, t: float) -> DataFrame:
