@@ -29,7 +29,7 @@ from terrasift.llm.store import drop, join_roots, keep, sized, small_batches, ta
 
 SAMPLE, LEAF, TREES, FEW, TRIES = 10_000, 384, 5, 32, 3
 #: Rows in a block of a large leaf, and in a tile of a comparison.
-BLOCK, TILE = 2048, 512
+BLOCK, TILE = 4096, 512
 #: Share of the node's pairs that its halves may still hold; beyond it the node is not split.
 STOP = 0.85
 #: Bits of a leaf's number below its tree's.
