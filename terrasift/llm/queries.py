@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrasift.llm import chat_format, decontaminate, embedding_dedup, html_extract, jaccard_join, language_id, line_dedup, packing, suffix_dedup, warc
+from terrasift.llm import chat_format, decontaminate, embedding_dedup, html_extract, jaccard_join, language_id, line_dedup, packing, suffix_dedup, turn_repair, warc
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -127,3 +127,61 @@ FROM p LEFT JOIN g ON p.html = g.html AND n >= 1000
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", F.col("main.text").alias("text"), F.length("main.text").cast("long").alias("n_chars"))
+
+
+@query
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    repaired = turn_repair.repair(turn_repair.damage(talks), "conv")
+    said = F.struct("place", F.concat("role", F.lit(":"), "text").alias("line"))
+    texts = repaired.turns.filter("edit <> 'D'").groupBy(F.col("conv").alias("c")).agg(F.array_join(F.sort_array(F.collect_list(said)).getField("line"), "\n").alias("lines"))
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    out = talks.select("conv_id").distinct().join(repaired.report, same("conv_id", "conv"), "left").join(texts, same("conv_id", "c"), "left")
+    return out.select("conv_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in counts), F.coalesce("audit", F.lit("")).alias("audit"), F.sha2(F.coalesce("lines", F.lit("")), 256).alias("repaired_sha256"))
+
+
+ORACLE["op13_structure_repair"] = r"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+crc AS (
+  SELECT * EXCLUDE key, xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(key, ''), lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+         lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1))), 4294967295) % 20 AS k FROM keyed),
+damaged AS (
+  SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE k WHEN 3 THEN [0, 1] ELSE [0] END) FROM crc WHERE k <> 0)),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, count(*) OVER (PARTITION BY conv_id) AS n,
+         rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM damaged),
+rows AS (
+  SELECT *, left(role, 1) AS i, CASE WHEN body = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 2 WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+         left(lag(role) OVER (PARTITION BY conv_id ORDER BY pos), 1) AS before FROM numbered),
+grammar(q, r, too) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+inserts AS (
+  SELECT q, '' AS labels, 0 AS cost, q AS too, CAST([] AS VARCHAR[]) AS lines FROM (VALUES (0), (1), (2), (3)) s(q)
+  UNION ALL
+  SELECT x.q, 'I' || labels, cost + 5, g.too, list_append(lines, CASE r WHEN 'u' THEN 'user:' ELSE 'assistant:' END)
+  FROM inserts x JOIN grammar g ON g.q = x.too WHERE r <> 's' AND cost < 15),
+best AS (
+  SELECT r.conv_id, r.n + 1 AS pos, x.q, min({'cost': x.cost, 'audit': labels, 'lines': lines}) AS w
+  FROM (SELECT conv_id, any_value(n) AS n FROM rows GROUP BY conv_id) r, inserts x WHERE x.too IN (0, 3) GROUP BY ALL
+  UNION ALL
+  SELECT r.conv_id, r.pos, x.q,
+         min({'cost': x.cost + e.cost + b.w.cost, 'audit': x.labels || e.label || b.w.audit,
+              'lines': x.lines || CASE e.label WHEN 'K' THEN [r.role || ':' || r.text] WHEN 'R' THEN [CASE e.r WHEN 'u' THEN 'user:' ELSE 'assistant:' END || r.text] ELSE [] END || b.w.lines})
+  FROM best b JOIN rows r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.pos = b.pos - 1
+  JOIN (SELECT q, r, too, l AS label, CASE l WHEN 'K' THEN 0 ELSE 1 END AS cost FROM grammar, (VALUES ('K'), ('R')) s(l) WHERE l = 'K' OR r <> 's'
+        UNION ALL SELECT q, NULL, q, 'D', 2 FROM (VALUES (0), (1), (2), (3)) s(q)) e0 ON e0.too = b.q
+  JOIN (SELECT UNNEST([0, 1, 2, 3]) AS fault, UNNEST([0, NULL, NULL, 5]) AS more) m ON m.fault = r.fault
+  JOIN LATERAL (SELECT e0.q, e0.r, e0.label, e0.cost + CASE e0.label WHEN 'D' THEN 0 ELSE more END AS cost) e ON e.cost IS NOT NULL AND (e.label <> 'K' OR e.r = r.i)
+  JOIN inserts x ON x.too = e.q
+  GROUP BY r.conv_id, r.pos, x.q),
+report AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+         count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au')) AS illegal FROM rows GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(w.cost, 0) AS BIGINT) AS cost, coalesce(w.audit, '') AS audit, sha256(coalesce(array_to_string(w.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN report p ON p.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id AND b.pos = 1 AND b.q = 0
+"""
