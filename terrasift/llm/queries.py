@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrasift.llm import chat_format, decontaminate, embedding_dedup, html_extract, jaccard_join, language_id, line_dedup, packing, suffix_dedup, turn_repair, warc
+from terrasift.llm import chat_format, decontaminate, embedding_dedup, html_extract, jaccard_join, language_id, line_dedup, packing, pii, suffix_dedup, turn_repair, warc
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -129,6 +129,16 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", F.col("main.text").alias("text"), F.length("main.text").cast("long").alias("n_chars"))
 
 
+@query
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    plain = F.filter("pii", lambda s: ~s.disguised)
+    count = lambda kind: F.size(F.filter(plain, lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+    added = F.size(F.filter("pii", lambda s: s.disguised)).cast("long").alias("n_disguised")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(joined(plain), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"), added)
+
+
 @query
 def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
