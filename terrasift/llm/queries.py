@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrasift.llm import chat_format, decontaminate, embedding_dedup, html_extract, jaccard_join, language_id, line_dedup, packing, pii, suffix_dedup, turn_repair, warc
+from terrasift.llm import chat_format, collocations, decontaminate, embedding_dedup, html_extract, jaccard_join, language_id, line_dedup, packing, pii, suffix_dedup, turn_repair, warc
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -129,6 +129,34 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", F.col("main.text").alias("text"), F.length("main.text").cast("long").alias("n_chars"))
 
 
+@query
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"), top=2000, least=30, longest=4)
+
+
+ORACLE["op11_phrase_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+f AS (
+  SELECT lang, phrase, k, count(*) AS f
+  FROM (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM words, (VALUES (1), (2), (3), (4)) s(k))
+  GROUP BY lang, phrase, k HAVING count(*) >= 30),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cuts AS (
+  SELECT c.lang, c.phrase, c.k, a, x.f AS l, y.f AS r, (2000000 * CAST(a AS HUGEINT)) // (CAST(x.f AS HUGEINT) + y.f) AS score, cut
+  FROM c, (VALUES (1), (2), (3)) s(cut)
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:cut], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[cut + 1:], ' ') WHERE cut < c.k),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_ AS (
+  SELECT c.lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS most FROM c, (VALUES (2), (3)) s(m), (VALUES (1), (2), (3)) t(i) WHERE m < c.k AND i + m - 1 <= c.k GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM best b LEFT JOIN inner_ i ON i.lang = b.lang AND i.phrase = b.phrase JOIN total t ON t.lang = b.lang
+WHERE most IS NULL OR 100 * most < 80 * a QUALIFY rank <= 2000
+"""
+
+
 @query
 def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
