@@ -112,3 +112,111 @@ def colour_mask(rgb: np.ndarray, text: str, include: list | None = None, exclude
         kinds, counts = np.unique(part[m], return_counts=True)
         m &= np.isin(part, kinds[counts >= least])
     return m
+
+
+def edges(part: np.ndarray, r0: int = 0, c0: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sides of cells (part: numbers, -1 for none) at which another part or none begins: part, (x0, y0, x1, y1) with the cell on
+    the left, and whether the side lies on the array's own edge. Sides in line are one where they are inside the array."""
+    p = np.pad(part, 1, constant_values=-1)
+    found = []
+    # Below, right, above, left of the cell: its neighbour, the first end of the side, the way along it.
+    for dr, dc, x, y, dx, dy in ((-1, 0, 0, 0, 1, 0), (0, 1, 1, 0, 0, 1), (1, 0, 1, 1, -1, 0), (0, -1, 0, 1, 0, -1)):
+        r, c = np.nonzero((part >= 0) & (p[1 + dr : p.shape[0] - 1 + dr, 1 + dc : p.shape[1] - 1 + dc] != part))
+        if not len(r):
+            continue
+        own, rim = part[r, c], (r + dr < 0) | (r + dr >= part.shape[0]) | (c + dc < 0) | (c + dc >= part.shape[1])
+        along, line = (c, r) if dx else (r, c)
+        order = np.lexsort((along, line, own, rim))
+        own, rim, r, c, along, line = (v[order] for v in (own, rim, r, c, along, line))
+        new = np.ones(len(own), bool)
+        new[1:] = rim[1:] | (own[1:] != own[:-1]) | (line[1:] != line[:-1]) | (along[1:] != along[:-1] + 1) | (rim[1:] != rim[:-1])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(own)) - 1
+        if dx + dy < 0:
+            first, last = last, first
+        sides = np.stack((c[first] + x, r[first] + y, c[last] + x + dx, r[last] + y + dy), 1) + np.array([c0, r0, c0, r0])
+        found.append((own[first], sides, rim[first]))
+    if not found:
+        return np.zeros(0, int), np.zeros((0, 4), int), np.zeros(0, bool)
+    return tuple(np.concatenate(v) for v in zip(*found, strict=True))
+
+
+def rings(sides: np.ndarray) -> list[list[np.ndarray]]:
+    """Polygons (closed rings, the outer one first) of a part's sides, the part on their left: no ring meets a point twice, and
+    outer rings run against the clock where y points up."""
+    after: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for x0, y0, x1, y1 in sides.tolist():
+        after.setdefault((x0, y0), []).append((x1, y1))
+    outer, holes = [], []
+    while after:
+        start = at = next(iter(after))
+        path, way = [], (0, 0)
+        while True:
+            ways = after[at]
+            # Where two parts of the mask touch in a point, the walk stays with the cell that it goes round: it turns left.
+            k = max(range(len(ways)), key=lambda k: way[0] * (ways[k][1] - at[1]) - way[1] * (ways[k][0] - at[0]))
+            to = ways.pop(k)
+            if not ways:
+                del after[at]
+            step = (np.sign(to[0] - at[0]), np.sign(to[1] - at[1]))
+            if step != way:
+                path.append(at)
+            at, way = to, step
+            if at == start and at not in after:
+                break
+        # A point passed twice closes a ring of its own.
+        seen: dict[tuple[int, int], int] = {}
+        stack: list[tuple[int, int]] = []
+        for point in [*path, start]:
+            if point in seen:
+                k = seen[point]
+                loop = stack[k:]
+                for q in stack[k + 1 :]:
+                    del seen[q]
+                del stack[k + 1 :]
+                ring = _straight(np.array([*loop, point], float))
+                (outer if area(ring) > 0 else holes).append(ring)
+            else:
+                seen[point] = len(stack)
+                stack.append(point)
+    polygons = [[ring] for ring in outer]
+    for hole in holes:
+        polygons[_around(hole, outer)].append(hole)
+    return polygons
+
+
+def area(ring: np.ndarray) -> float:
+    """Of a closed ring; less than 0 where it runs with the clock."""
+    return float((ring[:-1, 0] * ring[1:, 1] - ring[1:, 0] * ring[:-1, 1]).sum()) / 2
+
+
+def _straight(ring: np.ndarray) -> np.ndarray:
+    """A closed ring without points in the middle of a side."""
+    p = ring[:-1]
+    corner = (np.sign(p - np.roll(p, 1, 0)) != np.sign(np.roll(p, -1, 0) - p)).any(1)
+    p = p[corner]
+    return np.concatenate((p, p[:1]))
+
+
+def _around(hole: np.ndarray, outer: list[np.ndarray]) -> int:
+    """The smallest outer ring that holds the cell to the left of the hole's first side."""
+    if len(outer) == 1:
+        return 0
+    (x0, y0), (x1, y1) = hole[:2]
+    dx, dy = np.sign(x1 - x0), np.sign(y1 - y0)
+    x, y = x0 + (dx - dy) / 2, y0 + (dx + dy) / 2
+    found = []
+    for k, ring in enumerate(outer):
+        a, b = ring[:-1], ring[1:]
+        up = (a[:, 0] == b[:, 0]) & (a[:, 0] > x) & ((a[:, 1] > y) != (b[:, 1] > y))
+        if up.sum() % 2:
+            found.append((area(ring), k))
+    return min(found)[1]
+
+
+def polygons(m: np.ndarray) -> list[list[np.ndarray]]:
+    """The mask's cells as polygons: parts whose cells touch by their sides, x to the right and y with the rows."""
+    part, sides, _ = edges(np.unique(label(m), return_inverse=True)[1].reshape(m.shape) - (0 if m.all() else 1))
+    order = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.diff(part[order])) + 1
+    return [p for own in np.split(sides[order], cuts) if len(own) for p in rings(own)]

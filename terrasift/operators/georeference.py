@@ -147,27 +147,37 @@ def components(mask: DataFrame, keep: Callable[[DataFrame], DataFrame], least: i
     return labelled.join(big.select("image", "part"), ["image", "part"], "left_semi").select("image", "r", "c", "part")
 
 
-def part_boxes(parts: DataFrame) -> DataFrame:
-    """image, part, x0, y0, x1, y1: labelled cells (image, r, c, part) as boxes in cells, runs of a row first, then equal runs of
-    rows that follow each other. The boxes of a part don't overlap."""
-    row = Window.partitionBy("image", "part", "r").orderBy("c")
-    runs = parts.withColumn("g", F.col("c") - F.row_number().over(row)).groupBy("image", "part", "r", "g").agg(F.min("c").alias("x0"), (F.max("c") + 1).alias("x1"))
-    same = Window.partitionBy("image", "part", "x0", "x1").orderBy("r")
-    down = runs.withColumn("h", F.col("r") - F.row_number().over(same)).groupBy("image", "part", "x0", "x1", "h").agg(F.min("r").alias("y0"), (F.max("r") + 1).alias("y1"))
-    return down.select("image", "part", "x0", "y0", "x1", "y1")
+def outlines(parts: DataFrame) -> DataFrame:
+    """image, part, x0, y0, x1, y1: the sides of labelled cells (image, r, c, part) where their part ends, the part on the left
+    (x to the right, y with the rows). Each square of TILE cells finds its own; those on the edge of a square go where the
+    next one has them too."""
+
+    def sides(f: pd.DataFrame) -> pd.DataFrame:
+        r, c = f["r"].to_numpy(), f["c"].to_numpy()
+        names, own = np.unique(f["part"].to_numpy(), return_inverse=True)
+        here = np.full((TILE, TILE), -1)
+        here[r % TILE, c % TILE] = own
+        part, at, _ = masks.edges(here, int(r[0]) // TILE * TILE, int(c[0]) // TILE * TILE)
+        return pd.DataFrame({"image": f["image"].iloc[0], "part": names[part], **{k: at[:, i] for i, k in enumerate(("x0", "y0", "x1", "y1"))}})
+
+    kind = dict(parts.dtypes)["image"]
+    tile = [F.floor(F.col("r") / TILE).alias("_r"), F.floor(F.col("c") / TILE).alias("_c")]
+    found = parts.groupBy("image", *tile).applyInPandas(sides, f"image {kind}, part long, x0 long, y0 long, x1 long, y1 long")
+    line = [F.least("x0", "x1").alias("_x"), F.least("y0", "y1").alias("_y"), (F.col("x0") == F.col("x1")).alias("_up")]
+    once = found.groupBy("image", "part", *line).agg(F.count("*").alias("n"), F.first(F.struct("x0", "y0", "x1", "y1")).alias("side"))
+    return once.filter("n = 1").select("image", "part", "side.*")
 
 
 def mask_polygons(parts: DataFrame, transform: tuple[float, float, float, float, float, float] = (0, 1, 0, 0, 0, 1)) -> DataFrame:
-    """image, part, n (cells), geom: each part as one WKB geometry, through the six numbers of an affine transform. A part's
-    boxes, not its cells, are gathered; it is the unit of the result."""
+    """image, part, n (cells), rings, geom: each part as one valid WKB geometry, outer rings with their holes, through the six
+    numbers of an affine transform. A part's outline, not its cells, is gathered; it is the unit of the result. A part whose
+    cells touch by corners only has several outer rings."""
     x0, dx, rx, y0, ry, dy = transform
 
-    def unite(f: pd.DataFrame) -> pd.DataFrame:
-        polygons = []
-        for a, b, c, d in f[["x0", "y0", "x1", "y1"]].to_numpy(float):
-            ring = np.array([(a, b), (c, b), (c, d), (a, d), (a, b)])
-            polygons.append([np.stack((x0 + dx * ring[:, 0] + rx * ring[:, 1], y0 + ry * ring[:, 0] + dy * ring[:, 1]), 1)])
-        n = int(((f["x1"] - f["x0"]) * (f["y1"] - f["y0"])).sum())
-        return pd.DataFrame([(f["image"].iloc[0], f["part"].iloc[0], n, G.to_wkb(("polygon", polygons)))], columns=["image", "part", "n", "geom"])
+    def link(f: pd.DataFrame) -> pd.DataFrame:
+        found = masks.rings(f[["x0", "y0", "x1", "y1"]].to_numpy())
+        n = round(sum(masks.area(ring) for p in found for ring in p))
+        moved = [[np.stack((x0 + dx * ring[:, 0] + rx * ring[:, 1], y0 + ry * ring[:, 0] + dy * ring[:, 1]), 1) for ring in p] for p in found]
+        return pd.DataFrame([(f["image"].iloc[0], f["part"].iloc[0], n, sum(map(len, found)), G.to_wkb(("polygon", moved)))], columns=["image", "part", "n", "rings", "geom"])
 
-    return part_boxes(parts).groupBy("image", "part").applyInPandas(unite, f"image {dict(parts.dtypes)['image']}, part long, n long, geom binary")
+    return outlines(parts).groupBy("image", "part").applyInPandas(link, f"image {dict(parts.dtypes)['image']}, part long, n long, rings long, geom binary")

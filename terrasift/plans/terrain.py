@@ -119,12 +119,17 @@ def mask_components(spark, sf_dir):
     return georeference.components(_mask(spark, sf_dir), checkpointer(spark), 4)
 
 
-@query(f"WITH RECURSIVE {_MASK}, {_PARTS.format(touch=_SIDES)} SELECT image, CAST(part AS BIGINT) AS part, count(*) AS n, count(*) * 6.0 AS area FROM parts GROUP BY ALL")
+@query(f"""WITH RECURSIVE {_MASK}, {_PARTS.format(touch=_SIDES)}, cells_ AS (SELECT image, part, u // 4294967296 AS r, u % 4294967296 AS c FROM parts),
+corners AS (SELECT image, part, count(DISTINCT (r + i) * 4294967296 + c + j) AS v FROM cells_, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j) GROUP BY ALL),
+sides AS (SELECT image, part, r + i AS y, c + j AS x, up, count(*) AS n FROM cells_, (VALUES (0, 0, false), (1, 0, false), (0, 0, true), (0, 1, true)) s(i, j, up) GROUP BY ALL),
+about AS (SELECT image, part, count(*) AS e, sum(CASE WHEN n = 1 THEN CASE WHEN up THEN 3.0 ELSE 2.0 END ELSE 0 END) AS length FROM sides GROUP BY ALL)
+SELECT image, CAST(part AS BIGINT) AS part, n, n * 6.0 AS area, length, CAST(2 - (v - e + n) AS BIGINT) AS rings
+FROM (SELECT image, part, count(*) AS n FROM cells_ GROUP BY ALL) JOIN corners USING (image, part) JOIN about USING (image, part)""")
 def mask_polygons(spark, sf_dir):
-    """Parts as polygons through a transform that makes cells of 2 by 3."""
+    """Outlines of parts as polygons with holes, through a transform that makes cells of 2 by 3; rings by Euler's formula."""
     parts = georeference.components(_mask(spark, sf_dir), checkpointer(spark), diagonal=False)
     out = georeference.mask_polygons(parts, (100, 2, 0, 50, 0, -3))
-    return out.select("image", "part", "n", F.round(geometry.st_area("geom"), 6).alias("area"))
+    return out.select("image", "part", "n", F.round(geometry.st_area("geom"), 6).alias("area"), F.round(geometry.st_length("geom"), 6).alias("length"), "rings")
 
 
 @query(f"""WITH {_MASK}, size AS (SELECT 30 AS rows, 60 AS cols), cross_ AS (SELECT dr, dc FROM (VALUES (0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)) t(dr, dc)),
