@@ -1,21 +1,23 @@
 """Raster operators over cell tables (raster, r, c, z): zonal and focal statistics, terrain, georeferencing.
 
 Neighbourhoods are equi-joins on shifted row and column numbers or windows over rows, so a raster of any size is spread
-over all tasks. Only priority flooding needs a whole raster in one task; a raster is its bound.
+over all tasks; what has to be done in order, labelling and flooding, is done by squares whose edges are then matched.
 """
 
 from __future__ import annotations
 
-import heapq
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrasift.functions import flow
+
 #: Cells along the side of a square by which zones meet cells.
 TILE = 64
-AROUND = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if dr or dc]
+AROUND = flow.AROUND
 
 
 def zonal_stats(cells: DataFrame, boxes: DataFrame, size: float, zone: str = "zone") -> DataFrame:
@@ -61,27 +63,73 @@ def hillshade(cells: DataFrame, size: float, azimuth: float = 315.0, altitude: f
     return s.select("raster", "r", "c", F.greatest(shade, F.lit(0.0)).alias("shade"))
 
 
-def fill(cells: DataFrame, epsilon: float = 1e-4) -> DataFrame:
-    """raster, r, c, z with sinks raised to their outlet by priority flooding, each step inwards a little higher."""
-
-    def flood(f: pd.DataFrame) -> pd.DataFrame:
-        at = {(r, c): k for k, (r, c) in enumerate(zip(f["r"], f["c"], strict=True))}
-        z, seen, heap = f["z"].to_numpy(float).copy(), np.zeros(len(f), bool), []
-        for (r, c), k in at.items():
-            if any((r + dr, c + dc) not in at for dr, dc in AROUND):
-                heapq.heappush(heap, (z[k], r, c))
-                seen[k] = True
-        while heap:
-            level, r, c = heapq.heappop(heap)
-            for dr, dc in AROUND:
-                k = at.get((r + dr, c + dc))
-                if k is not None and not seen[k]:
-                    seen[k] = True
-                    z[k] = max(z[k], level + epsilon)
-                    heapq.heappush(heap, (z[k], r + dr, c + dc))
-        return f.assign(z=z)
-
-    return cells.select("raster", "r", "c", "z").groupBy("raster").applyInPandas(flood, "raster string, r bigint, c bigint, z double")
+#: Cells along the side of a square that one task floods at once.
+SQUARE = 256
+
+
+def _around(df: DataFrame, side: int, own: bool) -> DataFrame:
+    """Rows (raster, r, c, ...) for each square whose cells touch theirs: _r, _c; with own, for their own square too."""
+    at = lambda c: F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor((F.col(c) + d) / side)))
+    near = df.withColumn("_r", F.explode(at("r"))).withColumn("_c", F.explode(at("c")))
+    return near if own else near.filter((F.col("_r") != F.floor(F.col("r") / side)) | (F.col("_c") != F.floor(F.col("c") / side)))
+
+
+def fill(cells: DataFrame, keep: Callable[[DataFrame], DataFrame], step: float = flow.STEP, side: int = SQUARE) -> DataFrame:
+    """raster, r, c, z with sinks raised to where they spill over, each step inwards a little higher; water leaves where a
+    neighbour is missing.
+
+    A square is flooded by itself first. Then only heights of cells on its edge travel: a square is flooded again from
+    what its neighbours' edges came to, as long as that lowers an edge, so a round works on squares whose surroundings have
+    changed, and there are as many rounds as squares that the longest flooded path crosses. keep(df) writes a round. The
+    surface is the same as that of one flood over the whole raster.
+    """
+    kind = dict(cells.dtypes)["raster"]
+    key = ["raster", "_r", "_c"]
+    squares = keep(_around(cells.select("raster", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.col("z").cast("double").alias("z")), side, True).groupBy(*key).agg(F.collect_list(F.struct("r", "c", "z")).alias("cells")))
+    squares = squares.filter(F.exists("cells", lambda x: (F.floor(x.r / side) == F.col("_r")) & (F.floor(x.c / side) == F.col("_c"))))
+
+    def flood(edges: bool):
+        def run(frames):
+            for f in frames:
+                for raster, tr, tc, own, given in zip(f["raster"], f["_r"], f["_c"], f["cells"], f["given"], strict=True):
+                    r0, c0 = tr * side - 1, tc * side - 1
+                    z, level = np.full((side + 2, side + 2), np.inf), np.full((side + 2, side + 2), np.inf)
+                    for x in own:
+                        z[x["r"] - r0, x["c"] - c0] = x["z"]
+                    here = np.isfinite(z)
+                    open_ = np.zeros_like(here)
+                    for dr, dc in AROUND:
+                        open_[1:-1, 1:-1] |= ~here[1 + dr : side + 1 + dr, 1 + dc : side + 1 + dc]
+                    level[open_ & here] = z[open_ & here]
+                    for x in given if given is not None else ():
+                        level[x["r"] - r0, x["c"] - c0] = x["v"]
+                    out = flow.raised(z, level, step)
+                    take = np.zeros_like(here)
+                    take[1:-1, 1:-1] = here[1:-1, 1:-1]
+                    if edges:
+                        take[2:-2, 2:-2] = False
+                        take &= np.isfinite(out)
+                    r, c = np.nonzero(take)
+                    yield pd.DataFrame({"raster": raster, "r": r + r0, "c": c + c0, "v": out[take]})
+
+        return run
+
+    fields = f"raster {kind}, r long, c long, v double"
+    asked = lambda given: given.groupBy(*key).agg(F.collect_list(F.struct("r", "c", "v")).alias("given"))
+    none = F.lit(None).cast("array<struct<r: bigint, c: bigint, v: double>>")
+    edge = keep(squares.withColumn("given", none).mapInPandas(flood(True), fields))
+    changed = edge
+    while True:
+        stirred = _around(changed, side, False).select(*key).distinct()
+        given = asked(_around(edge, side, False).join(stirred, key, "left_semi"))
+        fresh = squares.join(given, key).mapInPandas(flood(True), fields)
+        before = edge.withColumnRenamed("v", "before")
+        changed = keep(fresh.join(before, ["raster", "r", "c"], "left").filter("before is null or v < before").select("raster", "r", "c", "v"))
+        if changed.isEmpty():
+            break
+        edge = keep(edge.union(changed).groupBy("raster", "r", "c").agg(F.min("v").alias("v")))
+    done = squares.join(asked(_around(edge, side, False)), key, "left").select(*key, "cells", "given").mapInPandas(flood(False), fields)
+    return done.withColumnRenamed("v", "z")
 
 
 def receivers(cells: DataFrame, size: float = 1.0) -> DataFrame:
@@ -111,6 +159,32 @@ def watershed(tree: DataFrame, outlets: DataFrame, checkpoint, rounds: int = 10_
     raise RuntimeError("receivers in a circle")
 
 
+def accumulate(tree: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """raster, r, c, through: how many cells drain through each cell, itself included, over receivers (to_r, to_c).
+
+    Pointer doubling with partial sums: with each round a cell gives the sum of the paths that it knows to the cell twice as
+    far down, so there are as many rounds as the logarithm of the longest path. Sums are made before they are shuffled."""
+    at = ["raster", "r", "c"]
+    now = keep(tree.select(*at, "to_r", "to_c", F.lit(1).cast("long").alias("through")))
+    while not now.filter("to_r is not null").isEmpty():
+        given = now.filter("to_r is not null").groupBy("raster", F.col("to_r").alias("r"), F.col("to_c").alias("c")).agg(F.sum("through").alias("more"))
+        far = now.filter("to_r is not null").select("raster", F.col("r").alias("to_r"), F.col("c").alias("to_c"), F.col("to_r").alias("far_r"), F.col("to_c").alias("far_c"))
+        step = now.join(given, at, "left").join(far, ["raster", "to_r", "to_c"], "left")
+        now = keep(step.select(*at, F.col("far_r").alias("to_r"), F.col("far_c").alias("to_c"), (F.col("through") + F.coalesce("more", F.lit(0))).alias("through")))
+    return now.select(*at, "through")
+
+
+def snap(accumulation: DataFrame, points: DataFrame, n: int, point: str = "point") -> DataFrame:
+    """raster, point, r, c: points (raster, point, r, c) moved to the cell of greatest accumulation within n rows and columns
+    (least row, then column wins ties). Points meet the cells of the squares that they reach into."""
+    square = lambda c: F.explode(F.sequence(F.floor((F.col(c) - n) / TILE), F.floor((F.col(c) + n) / TILE)))
+    near = points.select("raster", point, F.col("r").alias("pr"), F.col("c").alias("pc"), square("r").alias("_r"), "c").withColumn("_c", square("c")).drop("c")
+    cells = accumulation.withColumn("_r", F.floor(F.col("r") / TILE)).withColumn("_c", F.floor(F.col("c") / TILE))
+    met = cells.join(near, ["raster", "_r", "_c"]).filter((F.abs(F.col("r") - F.col("pr")) <= n) & (F.abs(F.col("c") - F.col("pc")) <= n))
+    best = met.groupBy("raster", point).agg(F.max_by(F.struct("r", "c"), F.struct("through", -F.col("r"), -F.col("c"))).alias("at"))
+    return best.select("raster", point, "at.*")
+
+
 def channel_height(cells: DataFrame, beds: DataFrame, reach: int, size: float, height: float) -> DataFrame:
     """raster, r, c, above: cells within `reach` cells of a bed sample (raster, r, c, z) and at most `height` above the
     nearest one (least row, then column wins ties). Bed samples go to the cells around them, the nearest one stays."""

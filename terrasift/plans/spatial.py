@@ -111,16 +111,66 @@ def flow_receivers(spark, sf_dir):
     return raster.receivers(_cells(spark, sf_dir)).drop("raster")
 
 
-@query()
-def d8_watershed(spark, sf_dir):
-    """Sinks filled, receivers found, and the cells that drain to the lowest one of the edge."""
+_SHIFTS = "(VALUES (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)) s(dr, dc)"
+#: Each pass raises every cell to what its lowest neighbour asks for, until a pass changes nothing.
+_FILLED = f"""{_CELLS}, near AS MATERIALIZED (SELECT a.r, a.c, a.z, b.r AS nr, b.c AS nc FROM cells a, {_SHIFTS} JOIN cells b ON b.r = a.r + dr AND b.c = a.c + dc),
+flood AS (
+  SELECT 0 AS k, cells.r, cells.c, cells.z, CASE WHEN count(near.r) < 8 THEN cells.z END AS f, true AS moved FROM cells LEFT JOIN near ON near.r = cells.r AND near.c = cells.c GROUP BY cells.r, cells.c, cells.z
+  UNION ALL
+  SELECT k + 1, r, c, any_value(z), min(f), bool_or(min(f) IS DISTINCT FROM min(f) FILTER (own)) OVER ()
+  FROM (SELECT k, r, c, z, f, true AS own FROM flood WHERE moved
+        UNION ALL SELECT k, n.r, n.c, n.z, CASE WHEN n.z > f THEN n.z ELSE f + 1e-4 END, false FROM flood JOIN near n ON n.nr = flood.r AND n.nc = flood.c WHERE moved AND f IS NOT NULL)
+  GROUP BY k, r, c),
+filled AS MATERIALIZED (SELECT r, c, f AS z FROM flood WHERE k = (SELECT max(k) FROM flood))"""
+_TREE = f"""{_FILLED}, fall AS (SELECT a.r, a.c, b.r AS to_r, b.c AS to_c, row_number() OVER (PARTITION BY a.r, a.c ORDER BY (a.z - b.z) / sqrt(dr * dr + dc * dc) DESC, b.r, b.c) AS n
+  FROM filled a, {_SHIFTS} JOIN filled b ON b.r = a.r + dr AND b.c = a.c + dc WHERE a.z > b.z),
+tree AS MATERIALIZED (SELECT r, c, to_r, to_c FROM fall WHERE n = 1),
+walk AS (SELECT r AS r0, c AS c0, r, c FROM cells UNION ALL SELECT r0, c0, to_r, to_c FROM walk JOIN tree USING (r, c)),
+through AS MATERIALIZED (SELECT r, c, count(*) AS through FROM walk GROUP BY r, c)"""
+
+
+@query(f"WITH RECURSIVE {_FILLED} SELECT r, c, z FROM filled")
+def filled_surface(spark, sf_dir):
+    """Sinks raised to where they spill over, square by square."""
+    return raster.fill(_cells(spark, sf_dir), checkpointer(spark), side=24).drop("raster")
+
+
+def _drained(spark, sf_dir):
     keep = checkpointer(spark)
-    filled = keep(raster.fill(_cells(spark, sf_dir)))
-    tree = keep(raster.receivers(filled))
+    return keep(raster.receivers(keep(raster.fill(_cells(spark, sf_dir), keep, side=48)))), keep
+
+
+@query(f"WITH RECURSIVE {_TREE} SELECT 'dem' AS raster, r0 AS r, c0 AS c, CAST(r AS VARCHAR) || '/' || CAST(c AS VARCHAR) AS outlet FROM walk ANTI JOIN tree USING (r, c)")
+def d8_watershed(spark, sf_dir):
+    """Sinks filled, receivers found, and the cells that drain to each cell without a lower neighbour."""
+    tree, keep = _drained(spark, sf_dir)
     outlets = tree.filter("to_r is null").select("raster", "r", "c", F.concat_ws("/", "r", "c").alias("outlet"))
     return raster.watershed(tree, outlets, keep)
 
 
+@query(f"WITH RECURSIVE {_TREE} SELECT r, c, through FROM through")
+def flow_accumulation(spark, sf_dir):
+    """How many cells drain through each."""
+    return raster.accumulate(*_drained(spark, sf_dir)).drop("raster")
+
+
+@query(f"""WITH RECURSIVE {_TREE}, best AS (
+  SELECT p.r AS pr, p.c AS pc, t.r, t.c, through, row_number() OVER (PARTITION BY p.r, p.c ORDER BY through DESC, t.r, t.c) AS n
+  FROM cells p JOIN through t ON t.r BETWEEN p.r - 4 AND p.r + 4 AND t.c BETWEEN p.c - 4 AND p.c + 4 WHERE p.r % 11 = 5 AND p.c % 11 = 5),
+outlet AS (SELECT DISTINCT r, c, through FROM best WHERE n = 1),
+first_ AS (SELECT r0, c0, min(k) AS k FROM (SELECT r0, c0, r, c, through AS k FROM walk JOIN outlet USING (r, c)) GROUP BY r0, c0)
+SELECT o.r, o.c, o.through, count(*) AS own FROM outlet o JOIN walk w ON w.r = o.r AND w.c = o.c JOIN first_ f ON f.r0 = w.r0 AND f.c0 = w.c0 AND f.k = o.through GROUP BY o.r, o.c, o.through""")
+def snapped_basins(spark, sf_dir):
+    """Pour points moved to the strongest flow nearby, all that drains there and what does before it reaches another one."""
+    tree, keep = _drained(spark, sf_dir)
+    through = keep(raster.accumulate(tree, keep))
+    points = tree.filter("r % 11 = 5 and c % 11 = 5").select("raster", F.concat_ws("/", "r", "c").alias("point"), "r", "c")
+    outlets = raster.snap(through, points, 4).select("raster", "r", "c").distinct()
+    own = raster.watershed(tree, outlets.withColumn("outlet", F.concat_ws("/", "r", "c")), keep).groupBy("raster", "outlet").agg(F.count("*").alias("own"))
+    found = outlets.join(through, ["raster", "r", "c"]).withColumn("outlet", F.concat_ws("/", "r", "c"))
+    return found.join(own, ["raster", "outlet"]).select("r", "c", "through", "own")
+
+
 @query(f"""WITH {_CELLS}, b AS (SELECT r, c, z FROM cells WHERE r = 5), d AS (SELECT a.r, a.c, a.z - b.z AS above, row_number() OVER (PARTITION BY a.r, a.c ORDER BY (a.r - b.r) ** 2 + (a.c - b.c) ** 2, b.r, b.c) AS k FROM cells a JOIN b ON (a.r - b.r) ** 2 + (a.c - b.c) ** 2 <= 9)
 SELECT r, c, above FROM d WHERE k = 1 AND above <= 10""")
 def channel_height(spark, sf_dir):

@@ -4,6 +4,7 @@ import pytest
 from terrasift.functions import expressions as X
 from terrasift.functions import flow, mask
 from terrasift.functions import geometry as G
+from terrasift.operators import raster
 
 
 def slow_filled(z):
@@ -101,3 +102,33 @@ def test_outlines_that_touch_themselves():
     two = np.ones((4, 4), bool)
     two[1, 1] = two[2, 2] = False
     assert [len(p) for p in mask.polygons(two)] == [3]
+
+
+def test_squares_against_one_flood(spark):
+    """A basin that spills through many squares, and holes in the raster."""
+    r = np.random.default_rng(7)
+    z = np.round(50 - 0.4 * np.minimum.outer(np.arange(46), np.arange(38)) + r.normal(0, 4, (46, 38)), 1)
+    z[10:30, 8:30] -= 40
+    gone = r.random(z.shape) < 0.004
+    rows = [(name, int(a), int(b), float(z[a, b])) for name in ("x", "y") for a, b in np.argwhere(~gone if name == "y" else z < 1e9)]
+    df = spark.createDataFrame(rows, "raster string, r int, c int, z double")
+    keep = lambda d: spark.createDataFrame(d.collect(), d.schema)
+    filled = keep(raster.fill(df, keep, side=8))
+    got = {name: np.full(z.shape, np.nan) for name in "xy"}
+    for x in filled.collect():
+        got[x.raster][x.r, x.c] = x.z
+    assert (got["x"] == flow.filled(z)).all()
+    # Where cells are missing water leaves.
+    level = np.full(z.shape, np.inf)
+    p = np.pad(~gone, 1)
+    for dr, dc in flow.AROUND:
+        out = ~p[1 + dr : 47 + dr, 1 + dc : 39 + dc]
+        level[out] = z[out]
+    want = flow.raised(np.where(gone, np.inf, z), np.where(gone, np.inf, level))
+    assert (got["y"][~gone] == want[~gone]).all() and np.isnan(got["y"][gone]).all()
+    f = flow.Flow(z)
+    tree = keep(raster.receivers(filled.filter("raster = 'x'")))
+    through = raster.accumulate(tree, keep)
+    assert all(f.accumulation[x.r, x.c] == x.through for x in through.collect())
+    points = spark.createDataFrame([("x", "a", 20, 20), ("x", "b", 0, 0), ("x", "c", 45, 37)], "raster string, point string, r long, c long")
+    assert {x.point: (x.r, x.c) for x in raster.snap(through, points, 6).collect()} == {"a": f.snap(20, 20, 6), "b": f.snap(0, 0, 6), "c": f.snap(45, 37, 6)}

@@ -84,7 +84,7 @@ def test_scores_votes_and_state(spark):
 def test_rasters_and_fits(spark):
     cells = spark.createDataFrame([("d", r, c, float(abs(c - 2) + (4 - r) * 0.1 + (5 if (r, c) == (2, 2) else 0))) for r in range(5) for c in range(5)], "raster string, r bigint, c bigint, z double")
     keep = lambda d: spark.createDataFrame(d.collect(), d.schema)
-    tree = raster.receivers(raster.fill(cells))
+    tree = raster.receivers(raster.fill(cells, keep))
     out = raster.watershed(keep(tree), keep(tree.filter("to_r is null").select("raster", "r", "c", F.lit("o").alias("outlet"))), keep)
     assert out.count() == 25
     pts = [("f", float(u), float(v), 3 + 2.0 * u - v, 1 + 0.5 * u + v, False) for u, v in ((0, 0), (4, 0), (0, 4), (4, 4))] + [("f", 2.0, 2.0, 5.0, 4.0, True)]
