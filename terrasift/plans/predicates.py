@@ -13,14 +13,14 @@ CASES = {
     "where_ne": ("customer", "c_custkey", "c_mktsegment", {"ne": "BUILDING"}, "c_mktsegment IS DISTINCT FROM 'BUILDING'"),
     "where_in": ("part", "p_partkey", "p_size", {"in": [1, 7, 30]}, "CAST(p_size AS VARCHAR) IN ('1', '7', '30')"),
     "where_not_in": ("part", "p_partkey", "p_size", {"not_in": [1, 7, 30]}, "coalesce(CAST(p_size AS VARCHAR) NOT IN ('1', '7', '30'), true)"),
-    "where_contains": ("part", "p_partkey", "p_type", {"contains": "BRASS"}, "contains(p_type, 'BRASS')"),
-    "where_icontains": ("part", "p_partkey", "p_type", {"icontains": "Steel"}, "contains(lower(p_type), 'steel')"),
+    "where_contains": ("part", "p_partkey", "p_type", {"contains": "ON"}, "contains(p_type, 'ON')"),
+    "where_icontains": ("part", "p_partkey", "p_type", {"icontains": "Econ"}, "contains(lower(p_type), 'econ')"),
     "where_startswith": ("customer", "c_custkey", "c_name", {"startswith": "Customer#0000001"}, "starts_with(c_name, 'Customer#0000001')"),
-    "where_regex": ("part", "p_partkey", "p_name", {"regex": "[a-m]+ ?[0-9]*7$"}, "regexp_matches(p_name, '(?i)[a-m]+ ?[0-9]*7$')"),
+    "where_regex": ("part", "p_partkey", "p_name", {"regex": "^S[a-m]+ ?[a-z]*(t|ng)$"}, "regexp_matches(p_name, '(?i)^S[a-m]+ ?[a-z]*(t|ng)$')"),
     "where_isnull": ("documents", "doc_id", "lang", {"isnull": False}, "lang IS NOT NULL"),
     "where_lt": ("customer", "c_custkey", "c_acctbal", {"lt": 0}, "c_acctbal < 0"),
     "where_le": ("part", "p_partkey", "p_size", {"le": 3}, "p_size <= 3"),
-    "where_gt": ("part", "p_partkey", "p_retailprice", {"gt": 1500}, "p_retailprice > 1500"),
+    "where_gt": ("part", "p_partkey", "p_retailprice", {"gt": 910.5}, "p_retailprice > 910.5"),
     "where_ge": ("supplier", "s_suppkey", "s_acctbal", {"ge": 5000}, "s_acctbal >= 5000"),
 }
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terrasift.operators import metrics as M
 from terrasift.operators import scoring
 from terrasift.plans.registry import query, table
+from terrasift.sources import readers
 
 
 def _log(spark, sf_dir):
@@ -90,19 +91,21 @@ def mode_offset(spark, sf_dir):
 
 
 @query("""
-WITH l AS (SELECT source, doc_id, string_split(text, chr(10)) AS t FROM documents),
+WITH l AS (SELECT source, doc_id, string_split('Report ' || right('00000000' || CAST(doc_id AS VARCHAR), 8) || chr(10) || text || chr(10) || 'Set in ' || lang, chr(10)) AS t FROM documents),
 e AS (SELECT source, doc_id, unnest(list_concat(list_slice(t, 1, 3), list_slice(t, greatest(len(t) - 2, 1), len(t)))) AS line FROM l),
 n AS (SELECT source, count(*) AS pages FROM documents GROUP BY source), g AS (SELECT source, regexp_replace(line, '[0-9]', '#', 'g') AS line, count(DISTINCT doc_id) AS pages FROM e GROUP BY ALL)
 SELECT g.source, md5(line) AS line, g.pages FROM g JOIN n ON n.source = g.source WHERE g.pages >= greatest(3, floor(0.4 * n.pages))
 """)
 def boilerplate_lines(spark, sf_dir):
-    """First and last lines, digits masked, that many pages of a source share."""
-    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.split("text", "\n", -1).alias("t"))
+    """First and last lines, digits masked, that many pages of a source share; pages have a running head and a foot of their language."""
+    head = F.concat(F.lit("Report "), F.right(F.concat(F.lit("00000000"), F.col("doc_id").cast("string")), F.lit(8)))
+    text = F.concat(head, F.lit("\n"), "text", F.lit("\nSet in "), "lang")
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.split(text, "\n", -1).alias("t"))
     edge = F.concat(F.slice("t", 1, 3), F.slice("t", F.greatest(F.size("t") - 2, F.lit(1)), F.lit(3)))
     lines = docs.select("source", "doc_id", F.explode(edge).alias("line")).withColumn("line", F.regexp_replace("line", "[0-9]", "#"))
     pages = docs.groupBy("source").agg(F.count("*").alias("all"))
     shared = lines.distinct().groupBy("source", "line").agg(F.count("*").alias("pages"))
-    return shared.join(F.broadcast(pages), "source").filter(F.col("pages") >= F.greatest(F.lit(3), F.floor(0.4 * F.col("all")))).select("source", F.md5("line").alias("line"), "pages")
+    return shared.join(pages, "source").filter(F.col("pages") >= F.greatest(F.lit(3), F.floor(0.4 * F.col("all")))).select("source", F.md5("line").alias("line"), "pages")
 
 
 @query("""
@@ -151,10 +154,14 @@ def collection_progress(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.avg("l_discount").alias("progress"), F.bool_or(F.col("l_quantity") > 49).alias("any_big"), status.alias("status"))
 
 
-@query("SELECT md5(html) AS digest, count(DISTINCT page_id) AS pages FROM pages GROUP BY html HAVING count(DISTINCT page_id) >= 2")
+@query("""
+WITH i AS (SELECT source AS doc, doc_id AS page, md5(split_part(text, ' ', 1)) AS digest, n_chars AS width, n_chars // 2 AS height FROM documents)
+SELECT doc, page, digest, width, height FROM i ANTI JOIN (SELECT doc, digest FROM i GROUP BY ALL HAVING count(DISTINCT page) >= 3) o USING (doc, digest)
+""")
 def repeated_figures(spark, sf_dir):
-    """Contents that several pages have (logos)."""
-    return table(spark, sf_dir, "pages").groupBy(F.md5("html").alias("digest")).agg(F.countDistinct("page_id").alias("pages")).filter("pages >= 2")
+    """Pictures (the first word stands for one) but for logos, those on three pages of a document or more."""
+    images = table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), F.md5(F.split("text", " ")[0]).alias("digest"), F.col("n_chars").alias("width"), F.expr("n_chars div 2").alias("height"))
+    return readers.logo_filter(images).select("doc", "page", "digest", "width", "height")
 
 
 def _boxes(spark, sf_dir):
