@@ -32,3 +32,10 @@ def checkpointer(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_root(spark))
     return lambda df: df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as Parquet in the shared folder: cuts its lineage, survives lost executors, and its size is known to whoever joins it."""
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
