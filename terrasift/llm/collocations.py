@@ -7,24 +7,31 @@ in the same chunks by AND is the bitmaps of the phrases that are one word longer
 shard. Phrases are extended depth first, some hundred thousand chunks of first words at a time, and popcounts are summed
 over the shards.
 
-Two passes keep what is summed small: the first goes to pairs; the second extends only pairs that are frequent over all
-shards, by words that make a frequent pair with the last one (no phrase is more frequent than a pair in it).
+Two passes keep what is summed small: the first sums pairs, by their hashes; the second extends words through pairs that are
+frequent over all shards (no phrase is more frequent than a pair in it), and sums phrases by their words. A filter of fixed
+size tells the second which pairs these are; it may let others pass, which then turn out rare.
 """
 
 from __future__ import annotations
 
+import itertools
+import zlib
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrasift.llm.store import drop, keep, sized, small_batches
-from terrasift.llm.textops import CHUNK, LOWER, _pieces, texts_of
+from terrasift.llm.textops import BASE, CHUNK, CODES, LOWER, _pieces, mix, prefix, signed, stretch, texts_of
 
 #: Words of a shard, and chunks of bitmaps that are extended together.
-SHARD, BATCH = 1 << 20, 1 << 17
+SHARD, BATCH = 1 << 18, 1 << 15
+#: Bits of the filter of frequent pairs (32 MB), the only thing that goes to all tasks. The fuller it is, the less it prunes.
+FILTER = 1 << 28
 #: Parts that a language's ranking is made from.
 PARTS = 64
 
@@ -87,7 +94,9 @@ class _Stream:
             self.words, self.breaks, self.count = [words.slice(own)], [breaks[own:]], self.count - own
 
 
-_SHARD = "shard bigint, lang string, words bigint, own bigint, places binary, vocabulary array<string>"
+#: The gap where places take two bytes, and the largest vocabulary for these.
+_SHORT = 65535
+_SHARD = "lang string, words bigint, own bigint, places binary, vocabulary array<string>"
 
 
 def shards_of(documents: DataFrame, text: str, lang: str, longest: int) -> DataFrame:
@@ -96,14 +105,12 @@ def shards_of(documents: DataFrame, text: str, lang: str, longest: int) -> DataF
 
     def deal(batches):
         streams: dict[str, _Stream] = {}
-        number = TaskContext.get().partitionId() << 32
 
         def made(last=False):
-            nonlocal number
             for name, stream in streams.items():
                 for words, own, places, vocabulary in stream.shards(longest - 1, last):
-                    yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([name]), pa.array([words]), pa.array([own]), pa.array([places.tobytes()], pa.binary()), pa.array([vocabulary.cast(pa.string())], pa.list_(pa.string()))], names=[x.split()[0] for x in _SHARD.split(", ")])
-                    number += 1
+                    short = places if len(vocabulary) > _SHORT else np.where(places < 0, _SHORT, places).astype(np.uint16)
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([words]), pa.array([own]), pa.array([short.tobytes()], pa.binary()), pa.array([vocabulary.cast(pa.string())], pa.list_(pa.string()))], names=[x.split()[0] for x in _SHARD.split(", ")])
 
         for batch in batches:
             for name, body in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
@@ -151,8 +158,8 @@ class Bitmaps:
             yield own[:, None], node, chunk[a:b], mask[a:b]
             a = b
 
-    def extend(self, phrases: np.ndarray, node: np.ndarray, chunk: np.ndarray, mask: np.ndarray, allowed: np.ndarray | None = None):
-        """The same of all phrases that are one word longer; of those only whose last two words (first * size + second) are allowed."""
+    def extend(self, phrases: np.ndarray, node: np.ndarray, chunk: np.ndarray, mask: np.ndarray, passes: Callable[[np.ndarray], np.ndarray] | None = None):
+        """The same of all phrases that are one word longer, or of those that pass."""
         moved = mask.astype(np.uint16) << 1
         low, high = (moved & 255).astype(np.uint8), (moved >> 8).astype(np.uint8)
         stay, over = np.flatnonzero(low), np.flatnonzero(high)
@@ -163,19 +170,14 @@ class Bitmaps:
         both = self.mask[other] & mask[k]
         hit = np.flatnonzero(both)
         k, word, both = k[hit], self.word[other[hit]], both[hit]
-        if allowed is not None:
-            pair = phrases[node[k], -1] * self.size + word
-            ok = _contains(allowed, pair)
-            k, word, both = k[ok], word[ok], both[ok]
         longer, chunk, both = self._joined((node[k] * self.size + word) * self.chunks + chunk[k], both)
         own, node = np.unique(longer, return_inverse=True)
-        return np.concatenate((phrases[own // self.size], (own % self.size)[:, None]), 1), node, chunk, both
-
-
-def _contains(allowed: np.ndarray, values: np.ndarray) -> np.ndarray:
-    if not len(allowed):
-        return np.zeros(len(values), bool)
-    return allowed[np.minimum(np.searchsorted(allowed, values), len(allowed) - 1)] == values
+        phrases = np.concatenate((phrases[own // self.size], (own % self.size)[:, None]), 1)
+        if passes is not None:
+            ok = passes(phrases)
+            stay = ok[node]
+            phrases, node, chunk, both = phrases[ok], (np.cumsum(ok) - 1)[node[stay]], chunk[stay], both[stay]
+        return phrases, node, chunk, both
 
 
 def popcounts(nodes: int, node: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -183,12 +185,13 @@ def popcounts(nodes: int, node: np.ndarray, mask: np.ndarray) -> np.ndarray:
 
 
 def _opened(batch: pa.RecordBatch):
-    """(row, shard, language, vocabulary, bitmaps) of each row of a batch of shards, one at a time."""
-    at = {n: batch.schema.get_field_index(n) for n in ("shard", "lang", "own", "places", "vocabulary")}
+    """(language, vocabulary, bitmaps) of each row of a batch of shards, one at a time."""
     for i in range(batch.num_rows):
-        get = lambda n, i=i: batch.column(at[n])[i]
+        get = lambda n, i=i: batch.column(batch.schema.get_field_index(n))[i]
         vocabulary = get("vocabulary").values
-        yield i, get("shard").as_py(), get("lang").as_py(), vocabulary, Bitmaps(np.frombuffer(get("places").as_buffer(), np.int32), get("own").as_py(), len(vocabulary))
+        places = np.frombuffer(get("places").as_buffer(), np.uint16 if len(vocabulary) <= _SHORT else np.int32)
+        places = places if len(vocabulary) > _SHORT else np.where(places == _SHORT, -1, places.astype(np.int32))
+        yield get("lang").as_py(), vocabulary, Bitmaps(places, get("own").as_py(), len(vocabulary))
 
 
 def _said(vocabulary: pa.Array, phrases: np.ndarray) -> pa.Array:
@@ -196,75 +199,114 @@ def _said(vocabulary: pa.Array, phrases: np.ndarray) -> pa.Array:
     return pc.binary_join_element_wise(*words, " ") if len(words) > 1 else words[0]
 
 
-_COUNTS = "lang string, phrase string, size int, f bigint"
+def _hashes(words: pa.Array, lang: str) -> np.ndarray:
+    """Hashes of the words of a language."""
+    data = pa.chunked_array([words]).cast(pa.large_binary()).combine_chunks()
+    _, offsets, values = data.buffers()
+    ends = np.frombuffer(offsets, np.int64)[data.offset : data.offset + len(data) + 1]
+    text = np.frombuffer(values, np.uint8)[ends[0] : ends[-1]] if len(data) and ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    return mix(stretch(prefix(CODES[text]), ends[:-1] - ends[0], ends[1:] - ends[0]) ^ np.uint64(zlib.crc32(lang.encode())))
 
 
-def _count_rows(lang: str, vocabulary: pa.Array, phrases: np.ndarray, node: np.ndarray, mask: np.ndarray) -> pa.RecordBatch:
-    n = len(phrases)
-    return pa.RecordBatch.from_arrays([pa.repeat(lang, n), _said(vocabulary, phrases), pa.repeat(pa.scalar(phrases.shape[1], pa.int32()), n), pa.array(popcounts(n, node, mask))], names=[x.split()[0] for x in _COUNTS.split(", ")])
+def _pair_hashes(hashes: np.ndarray, phrases: np.ndarray) -> np.ndarray:
+    """Of the last two words of phrases."""
+    return mix(hashes[phrases[:, -2]] * np.uint64(BASE) + hashes[phrases[:, -1]])
 
 
-def _short(batches):
-    """Shards -> frequencies of their words and pairs."""
+def _pairs(batches):
+    """Shards -> hash and frequency of their pairs of words."""
     for batch in batches:
-        for _, _, lang, vocabulary, bitmaps in _opened(batch):
+        for lang, vocabulary, bitmaps in _opened(batch):
+            hashes = _hashes(vocabulary, lang)
             for level in bitmaps.batches():
-                yield _count_rows(lang, vocabulary, level[0], *level[1::2])
-                level = bitmaps.extend(*level)
-                yield _count_rows(lang, vocabulary, level[0], *level[1::2])
+                phrases, node, _, mask = bitmaps.extend(*level)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(_pair_hashes(hashes, phrases))), pa.array(popcounts(len(phrases), node, mask))], names=["h", "f"])
 
 
-def _pairs(batches):
-    """Shards -> their pairs of words, as they are said and as places in the vocabulary."""
+def _filter_of(hashes: DataFrame) -> np.ndarray:
+    """A filter of FILTER bits (bytes, each bit a hash): whatever the number of hashes, all of them pass."""
+    part = 1 << 19  # bits that are made together
+
+    def made(batches):
+        for _, group in itertools.groupby((x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)), lambda x: x[0]):
+            bits, at = np.zeros(part, np.uint8), -1
+            for at, own in group:
+                bits[own] = 1
+            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], names=["at", "bits"])
+
+    place = F.pmod(F.col("h"), F.lit(FILTER))
+    rows = hashes.select(F.floor(place / part).cast("long").alias("at"), F.pmod(place, F.lit(part)).cast("long").alias("own"))
+    rows = rows.repartition("at").sortWithinPartitions("at").mapInArrow(made, "at bigint, bits binary")
+    out = np.zeros(FILTER // 8, np.uint8)
+    for r in rows.toLocalIterator():
+        out[r.at * part // 8 : (r.at + 1) * part // 8] = np.frombuffer(zlib.decompress(r.bits), np.uint8)
+    return out
+
+
+def _passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = (signed(hashes) % FILTER).astype(np.int64)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+_COUNTS = "lang string, phrase string, size int, f bigint"
+
+
+def _count_rows(lang: str, vocabulary: pa.Array, phrases: np.ndarray, node: np.ndarray, mask: np.ndarray) -> pa.RecordBatch:
+    n = len(phrases)
+    size = pa.repeat(pa.scalar(phrases.shape[1], pa.int32()), n)
+    return pa.RecordBatch.from_arrays([pa.repeat(lang, n), _said(vocabulary, phrases), size, pa.array(popcounts(n, node, mask))], names=[x.split()[0] for x in _COUNTS.split(", ")])
+
+
+def _words(batches):
+    """Shards -> frequencies of their words."""
     for batch in batches:
-        for _, shard, lang, vocabulary, bitmaps in _opened(batch):
-            for level in bitmaps.batches():
-                phrases = bitmaps.extend(*level)[0]
-                n = len(phrases)
-                yield pa.RecordBatch.from_arrays([pa.repeat(shard, n), pa.array(phrases[:, 0] * bitmaps.size + phrases[:, 1]), pa.repeat(lang, n), _said(vocabulary, phrases)], names=["shard", "pair", "lang", "phrase"])
+        for lang, vocabulary, bitmaps in _opened(batch):
+            for phrases, node, _, mask in bitmaps.batches():
+                yield _count_rows(lang, vocabulary, phrases, node, mask)
 
 
-def _long(longest: int):
-    """Shards with their frequent pairs -> frequencies of longer phrases of which every pair is frequent."""
+def _phrases(longest: int, bits: Broadcast):
+    """Shards -> frequencies of pairs that pass the filter and of longer phrases of which every pair does."""
 
     def run(batches):
         for batch in batches:
-            pairs = batch.column(batch.schema.get_field_index("pairs"))
-            for i, _, lang, vocabulary, bitmaps in _opened(batch):
-                allowed = np.sort(pairs[i].values.to_numpy())
+            for lang, vocabulary, bitmaps in _opened(batch):
+                hashes = _hashes(vocabulary, lang)
+                passes = lambda phrases, hashes=hashes: _passes(bits.value, _pair_hashes(hashes, phrases))
                 for level in bitmaps.batches():
-                    for size in range(2, longest + 1):
-                        level = bitmaps.extend(*level, allowed)
+                    for _ in range(2, longest + 1):
+                        level = bitmaps.extend(*level, passes)
                         if not len(level[0]):
                             break
-                        if size > 2:
-                            yield _count_rows(lang, vocabulary, level[0], *level[1::2])
+                        yield _count_rows(lang, vocabulary, level[0], *level[1::2])
 
     return run
 
 
 def frequencies(documents: DataFrame, least: int = 30, longest: int = 4, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
-    """Kept tables: (lang, phrase, size, f) of all phrases of 1 to `longest` words that occur at least `least` times, and
-    (lang, n), the number of all words of each language.
+    """Kept tables: (lang, phrase, size, f) of all phrases of 2 to `longest` words that occur at least `least` times and of
+    the words in them, and (lang, n), the number of all words of each language.
 
-    Whole texts count, and every occurrence; phrases stay within pieces and texts. Words are told apart by themselves, not
-    by hashes.
+    Whole texts count, and every occurrence; phrases stay within pieces and texts. Hashes only tell which pairs to count:
+    what is counted is told apart by its words.
     """
     small_batches(documents)
+    spark = documents.sparkSession
     shards = shards_of(documents, text, lang, longest)
     words = keep(shards.groupBy("lang").agg(F.sum("words").alias("n")))
-
-    def frequent(counts: DataFrame) -> DataFrame:
-        return keep(counts.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).filter(F.col("f") >= least))
-
-    short = frequent(shards.mapInArrow(_short, _COUNTS))
-    pairs = keep(short.filter("size = 2").select("lang", "phrase"))
-    own = shards.mapInArrow(_pairs, "shard bigint, pair bigint, lang string, phrase string").join(sized(pairs), ["lang", "phrase"], "left_semi")
-    # A shard has no more pairs than words.
-    own = keep(own.groupBy("shard").agg(F.collect_list("pair").alias("pairs")))
-    long = frequent(shards.join(own, "shard").mapInArrow(_long(longest), _COUNTS))
-    every = keep(short.unionByName(long))
-    drop(shards, own, pairs, short, long)
+    opened = shards.drop("words")
+
+    def frequent(counts: DataFrame, *by: str) -> DataFrame:
+        return keep(counts.groupBy(*by).agg(F.sum("f").alias("f")).filter(F.col("f") >= least))
+
+    pairs = frequent(opened.mapInArrow(_pairs, "h bigint, f bigint"), "h")
+    bits = spark.sparkContext.broadcast(_filter_of(pairs.select("h")))
+    long = frequent(opened.mapInArrow(_phrases(longest, bits), _COUNTS), "lang", "phrase", "size")
+    bits.destroy()
+    inside = keep(long.select("lang", F.explode(F.split("phrase", " ")).alias("phrase")).distinct())
+    short = frequent(opened.mapInArrow(_words, _COUNTS).join(sized(inside), ["lang", "phrase"], "left_semi"), "lang", "phrase", "size")
+    every = keep(short.select(*long.columns).unionByName(long))
+    drop(shards, pairs, long, inside, short)
     return every, words
 
 

@@ -137,17 +137,20 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op11_phrase_collocations"] = r"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
-words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
-f AS (
-  SELECT lang, phrase, k, count(*) AS f
-  FROM (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM words, (VALUES (1), (2), (3), (4)) s(k))
-  GROUP BY lang, phrase, k HAVING count(*) >= 30),
+words AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, 1 AS k, unnest(w) AS phrase FROM words
+  UNION ALL SELECT lang, 2, unnest([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) FROM words
+  UNION ALL SELECT lang, 3, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) FROM words
+  UNION ALL SELECT lang, 4, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] for i in range(1, len(w) - 2)]) FROM words),
+f AS MATERIALIZED (SELECT lang, phrase, k, count(*) AS f FROM grams GROUP BY lang, phrase, k HAVING count(*) >= 30),
 total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
-c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+c AS MATERIALIZED (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+halves AS MATERIALIZED (SELECT lang, phrase, k, a, w, unnest(range(1, k)) AS cut FROM c),
+sides AS MATERIALIZED (SELECT lang, phrase, k, a, cut, array_to_string(w[1:cut], ' ') AS first, array_to_string(w[cut + 1:], ' ') AS rest FROM halves),
 cuts AS (
-  SELECT c.lang, c.phrase, c.k, a, x.f AS l, y.f AS r, (2000000 * CAST(a AS HUGEINT)) // (CAST(x.f AS HUGEINT) + y.f) AS score, cut
-  FROM c, (VALUES (1), (2), (3)) s(cut)
-  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:cut], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[cut + 1:], ' ') WHERE cut < c.k),
+  SELECT s.lang, s.phrase, s.k, a, x.f AS l, y.f AS r, (2000000 * CAST(a AS HUGEINT)) // (CAST(x.f AS HUGEINT) + y.f) AS score, cut
+  FROM sides s JOIN f x ON x.lang = s.lang AND x.phrase = first JOIN f y ON y.lang = s.lang AND y.phrase = rest),
 best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
 inner_ AS (
   SELECT c.lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS most FROM c, (VALUES (2), (3)) s(m), (VALUES (1), (2), (3)) t(i) WHERE m < c.k AND i + m - 1 <= c.k GROUP BY ALL)
