@@ -3,7 +3,7 @@
 Windows are `n` consecutive words of an item; an item of fewer words, but not none, is one window. The set goes to the
 tasks only while it is below ``MAX_WINDOWS`` windows and ``MAX_BYTES`` bytes of text; a larger benchmark is dealt into
 slices by item, each below the bound, and the texts are scanned once for each slice, one slice after the other: only one
-set is ever held, and of each scan only what texts with hits have is written. Every hash hit is verified on the words
+set is ever held (sorted arrays, made once and sent as they are), and of each scan only what texts with hits have is written. Every hash hit is verified on the words
 themselves.
 """
 
@@ -12,7 +12,6 @@ from __future__ import annotations
 import math
 import re
 import string
-import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -25,12 +24,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrasift.llm.store import keep, sized, small_batches
-from terrasift.llm.textops import ALNUM, LOWER, prefix, stretch, texts_of, window_hashes, word_hashes
+from terrasift.llm.textops import ALNUM, CODES, LOWER, prefix, stretch, texts_of, word_hashes
 
 MAX_WINDOWS, MAX_BYTES = 2_000_000, 64 << 20
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _FOLD = bytes(LOWER)
-_FILTER = 22
+#: Bits of the number of bytes of a filter of hashes.
+_FILTER = 19
 _UPPER = string.ascii_uppercase
 
 
@@ -38,24 +38,53 @@ def words_of(text: bytes) -> list[bytes]:
     return _WORD.findall(text.translate(_FOLD))
 
 
+#: Bytes of items' text that are cut into words together.
+_GROUP = 1 << 20
+
+
 class WindowSet:
-    """Windows of items (id, text), for look-up."""
+    """Windows of items (id, text), for look-up: sorted hashes and the place of each one's first word, 12 bytes a window, and the
+    items' text with the ends of its words, some 8 bytes a word more."""
 
     def __init__(self, items: list[tuple[str, bytes]], n: int):
-        self.items, self.n = [(str(k) if k is not None else "", words_of(t)) for k, t in items], n
-        self.at: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for i, (_, words) in enumerate(self.items):
-            if words:
-                hashes, _ = word_hashes([b" ".join(words)], ALNUM)
-                m = min(n, len(words))
-                for p, h in enumerate(window_hashes(hashes, m).tolist()):
-                    self.at[m][h].append((i, p))
-        self.at = {m: dict(x) for m, x in self.at.items()}
-        self.keys = {m: np.array(sorted(x), np.uint64) for m, x in self.at.items()}
-        self.bits = {}
-        for m, k in self.keys.items():
-            self.bits[m] = np.zeros(1 << _FILTER, bool)
-            self.bits[m][(k >> np.uint64(64 - _FILTER)).astype(np.int64)] = True
+        self.ids, self.n = [str(k) if k is not None else "" for k, _ in items], n
+        text, start, end, count = [], [], [], []
+        found: dict[int, list] = {}
+        at = words = 0
+        for own in _groups([t for _, t in items]):
+            body = b" ".join([*own, b""]).translate(_FOLD)
+            data = np.frombuffer(body, np.uint8)
+            edge = np.diff(np.concatenate(([False], ALNUM[data], [False])).astype(np.int8))
+            first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+            cuts = np.searchsorted(first, np.cumsum([0, *(len(t) + 1 for t in own)]))
+            sums = prefix(stretch(prefix(CODES[data]), first, last))
+            place, size = np.arange(len(first)), np.repeat(np.diff(cuts), np.diff(cuts))
+            into = place - np.repeat(cuts[:-1], np.diff(cuts))
+            for m in np.unique(np.minimum(size, n)).tolist():
+                begin = place[(into + n <= size) if m == n else (size == m) & (into == 0)]
+                found.setdefault(m, []).append((stretch(sums, begin, begin + m), (begin + words).astype(np.int32)))
+            text.append(body)
+            start.append((first + at).astype(np.int32))
+            end.append((last + at).astype(np.int32))
+            count.append(np.diff(cuts))
+            at, words = at + len(body), words + len(first)
+        self.text = b"".join(text)
+        self.start, self.end = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (start, end))
+        #: The first word of each item, and one past the last one's.
+        self.items = np.concatenate(([0], np.cumsum(np.concatenate(count)))) if count else np.zeros(1, np.int64)
+        self.keys, self.at, self.bits = {}, {}, {}
+        for m, parts in found.items():
+            h, w = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(h, kind="stable")
+            self.keys[m], self.at[m] = h[order], w[order]
+            self.bits[m] = np.zeros(1 << _FILTER, np.uint8)
+            np.bitwise_or.at(self.bits[m], (h >> np.uint64(64 - _FILTER - 3)).astype(np.int64) >> 3, np.uint8(1) << ((h >> np.uint64(64 - _FILTER - 3)) & np.uint64(7)).astype(np.uint8))
+
+    def nbytes(self) -> int:
+        return len(self.text) + sum(x.nbytes for x in (self.start, self.end, self.items, *self.keys.values(), *self.at.values(), *self.bits.values()))
+
+    def _words(self, at: int, m: int) -> list[bytes]:
+        return [self.text[a:b] for a, b in zip(self.start[at : at + m].tolist(), self.end[at : at + m].tolist(), strict=True)]
 
     def scan(self, texts: list[bytes]) -> list[tuple[int, np.ndarray, list[str]]]:
         """For each text: its number of words, whether each is hit (empty if none is), ids of items with hits."""
@@ -66,27 +95,39 @@ class WindowSet:
                 continue
             start = np.arange(len(hashes) - m + 1)
             h = stretch(sums, start, start + m)
-            maybe = np.flatnonzero(self.bits[m][(h >> np.uint64(64 - _FILTER)).astype(np.int64)])
-            k = np.minimum(np.searchsorted(keys, h[maybe]), len(keys) - 1)
-            maybe = maybe[keys[k] == h[maybe]]
+            top = h >> np.uint64(64 - _FILTER - 3)
+            maybe = np.flatnonzero(self.bits[m][(top >> np.uint64(3)).astype(np.int64)] >> (top & np.uint64(7)).astype(np.uint8) & 1)
+            low, high = np.searchsorted(keys, h[maybe], "left"), np.searchsorted(keys, h[maybe], "right")
             doc = np.searchsorted(at, maybe, "right") - 1
-            inside = maybe + m <= at[doc + 1]
-            for d, s in zip(doc[inside].tolist(), maybe[inside].tolist(), strict=True):
-                found[d].append((m, s - int(at[d]), int(h[s])))
+            ok = (low < high) & (maybe + m <= at[doc + 1])
+            for d, s, a, b in zip(doc[ok].tolist(), maybe[ok].tolist(), low[ok].tolist(), high[ok].tolist(), strict=True):
+                found[d].append((m, s - int(at[d]), a, b))
         out = []
         for d in range(len(texts)):
             n, ids, hit = int(at[d + 1] - at[d]), set(), np.zeros(0, bool)
             if d in found:
                 words, hit = words_of(texts[d]), np.zeros(n, bool)
-                for m, s, h in found[d]:
-                    for item, p in self.at[m][h]:
-                        if words[s : s + m] == self.items[item][1][p : p + m]:
+                for m, s, a, b in found[d]:
+                    for w in self.at[m][a:b].tolist():
+                        if words[s : s + m] == self._words(w, m):
                             hit[s : s + m] = True
-                            ids.add(self.items[item][0])
+                            ids.add(self.ids[int(np.searchsorted(self.items, w, "right")) - 1])
             out.append((n, hit, sorted(ids)))
         return out
 
 
+def _groups(texts: list[bytes]) -> Iterator[list[bytes]]:
+    own, size = [], 0
+    for t in texts:
+        if own and size + len(t) > _GROUP:
+            yield own
+            own, size = [], 0
+        own.append(t)
+        size += len(t)
+    if own:
+        yield own
+
+
 def _slices(benchmark: DataFrame, n: int, text: str, key: str) -> tuple[int, Iterator[list[tuple[str, bytes]]]]:
     """The number of slices that keeps each below the bounds, and the slices' items; one slice is held at a time."""
     items = benchmark.select(F.col(f"`{key}`").cast("string").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
@@ -100,20 +141,12 @@ def _slices(benchmark: DataFrame, n: int, text: str, key: str) -> tuple[int, Ite
 _HITS = "n_words bigint, hits binary, items array<string>"
 
 
-#: The window set that this worker made last, by the number of its slice.
-_made: dict[str, WindowSet] = {}
-
-
 def _scanned(docs: DataFrame, part: list[tuple[str, bytes]], n: int) -> tuple[DataFrame, Broadcast]:
     """doc columns with text -> also n_words, hits (a bit for each word; empty if none), items; and what was sent to the tasks."""
-    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, part, n))
+    shared = docs.sparkSession.sparkContext.broadcast(WindowSet(part, n))
 
     def scan(batches):
-        number, items, size = shared.value
-        if number not in _made:
-            _made.clear()
-            _made[number] = WindowSet(items, size)
-        windows = _made[number]
+        windows = shared.value
         for batch in batches:
             for x in range(0, batch.num_rows, 256):
                 b = batch.slice(x, 256)

@@ -61,3 +61,22 @@ def test_spans_documents_and_empty_tables(spark):
     assert decontaminate.remove(d, b.limit(0)).count() == 3
     assert decontaminate.remove(d.limit(0), b).count() == 0
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_the_set_is_small():
+    """What goes to the tasks is bounded by what is built: at most 2,000,000 windows are below 150 MB."""
+    r = random.Random(1)
+    items = [(k, " ".join(f"{r.randrange(10**6):x}" for _ in range(1000)).encode()) for k in range(100)]
+    made = decontaminate.WindowSet(items, 13)
+    windows = sum(map(len, made.keys.values()))
+    assert windows == 100 * 988
+    fixed = sum(x.nbytes for x in made.bits.values())
+    assert fixed + (made.nbytes() - fixed) / windows * decontaminate.MAX_WINDOWS < 150 << 20
+    assert made.scan([items[7][1].upper(), b"", items[3][1][:30]])[0][2] == ["7"]
+
+
+def test_clashing_names(spark):
+    b = spark.createDataFrame([("k", "a b c d e f g h i j k l m", "x")], "item_id string, text string, hits string")
+    d = spark.createDataFrame([(1, "a b c d e f g h i j k l m", "r", "h", 5)], "doc_id long, text string, row string, hits string, items int")
+    [r] = decontaminate.find_hits(d, b).collect()
+    assert (r.row, r.hits, r["items"], r.contamination.n_hit, r.contamination["items"]) == ("r", "h", 5, 13, ["k"])
