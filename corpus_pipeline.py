@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 from terrasift.llm import decontaminate, jaccard_join, language_id, line_dedup, packing
 from terrasift.llm.store import keep, sized
 
-#: Least share by which the second best language has to be larger; below it a text's language is not told apart. README has
-#: the scores of labelled texts and of texts in other languages that it was chosen by.
-MARGIN = 0.01
+#: Least share by which the second best language has to be larger; below it a text's language is not told apart. Least share
+#: by which the best one has to be smaller than the text without any; below it the text is in none of them. README has the
+#: figures of labelled texts and of texts in other languages that they were chosen by.
+MARGIN, GAIN = 0.01, 0.015
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a recognisable language; `lang` becomes the predicted one."""
-    found = language_id.identify(docs, language_id.fit(docs), MARGIN)
+    found = language_id.identify(docs, language_id.fit(docs), MARGIN, gain=GAIN)
     return found.filter(F.col("language.lang") != "und").withColumn("lang", F.col("language.lang")).drop("language")
 
 

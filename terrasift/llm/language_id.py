@@ -30,14 +30,24 @@ class Model:
     def __getstate__(self):
         return {"dictionaries": self.dictionaries, "_coders": []}
 
+    def _parts(self, text: str) -> list[bytes]:
+        body = " " + text.lower() + " "
+        return [body[a : a + PART].encode() for a in range(0, len(body), PART)]
+
+    def gain(self, text: str) -> float:
+        """The share by which the best dictionary makes a text smaller than it gets without one: about 0, or less, for a text in a
+        language that none of them is of."""
+        plain = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False, write_content_size=False)
+        alone = sum(len(plain.compress(p)) - 6 for p in self._parts(text))
+        return float(1 - self.sizes(text).min() / max(alone, 1))
+
     def sizes(self, text: str) -> np.ndarray:
         if not self._coders:
             for d in self.dictionaries.values():
                 made = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 made.precompute_compress(level=LEVEL)
                 self._coders.append(zstandard.ZstdCompressor(dict_data=made, write_checksum=False, write_content_size=False, write_dict_id=False))
-        body = " " + text.lower() + " "
-        parts = [body[a : a + PART].encode() for a in range(0, len(body), PART)]
+        parts = self._parts(text)
         return np.array([sum(len(c.compress(p)) - 6 for p in parts) for c in self._coders], np.float64)
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -88,10 +98,11 @@ def fit(documents: DataFrame, texts: int = 150, chars: int = 1500, text: str = "
     return Model({k: " ".join(t.lower() for t in v).encode() for k, v in chosen.items() if v})
 
 
-def identify(documents: DataFrame, model: Model, margin: float = 0.0, text: str = "text") -> DataFrame:
+def identify(documents: DataFrame, model: Model, margin: float = 0.0, text: str = "text", gain: float | None = None) -> DataFrame:
     """documents with a struct column `language`: lang (`und` if rejected), score.
 
-    Rejected: null texts, texts without letters, and texts whose score is below `margin`. Texts of any length are read whole,
+    Rejected: null texts, texts without letters, texts whose score is below `margin` and, with `gain`, those that the best
+    dictionary gains less for than that share over none (languages that weren't learned). Texts of any length are read whole,
     part by part; ties go to the more frequent language. No other column is read, none is changed whatever its name; repeated rows get equal results, an empty table an empty one.
     """
     small_batches(documents)
@@ -104,6 +115,8 @@ def identify(documents: DataFrame, model: Model, margin: float = 0.0, text: str
             for x in range(0, batch.num_rows, 1000):
                 b = batch.slice(x, 1000)
                 got = [shared.value.predict(t) for t in b.column(1).to_pylist()]
+                if gain is not None:
+                    got = [("und", s) if k != "und" and s >= margin and shared.value.gain(t) < gain else (k, s) for t, (k, s) in zip(b.column(1).to_pylist(), got, strict=True)]
                 got = [(k, s) if s >= margin else ("und", s) for k, s in got]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["row", "text", "lang", "score"])
 

@@ -1,8 +1,9 @@
+import random
 import zlib
 
 from pyspark.sql import functions as F
 
-from corpus_pipeline import MARGIN
+from corpus_pipeline import GAIN, MARGIN
 from terrasift.llm import language_id
 
 DE = "der und die das nicht mit schon einer über für wird auch haben keine straße groß"
@@ -65,6 +66,30 @@ def test_other_scripts_are_rejected_by_the_margin(spark):
     assert model.predict(" ".join(DE.split()[:12]))[1] >= MARGIN
 
 
+UNLEARNED = {
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. Każdy człowiek ma prawo do życia, wolności i bezpieczeństwa swojej osoby.",
+    "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. Jokaisella on oikeus elämään, vapauteen ja henkilökohtaiseen turvallisuuteen.",
+    "tr": "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler. Yaşamak, hürriyet ve kişi emniyeti her ferdin hakkıdır.",
+    "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства. Каждый человек имеет право на жизнь, на свободу и на личную неприкосновенность.",
+}
+
+
+def test_unlearned_languages_are_rejected(spark):
+    """Of texts in four other languages 95 % go, of rightly told ones of a hundred characters or more one in a hundred at most."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = language_id.fit(docs)
+    r = random.Random(5)
+    other = [" ".join(r.choices(text.split(), k=k)) for text in UNLEARNED.values() for k in (20, 40, 80, 160) for _ in range(20)]
+    df = spark.createDataFrame([(t,) for t in other], "text string")
+    told = [x.language.lang for x in language_id.identify(df, model, MARGIN, gain=GAIN).collect()]
+    assert told.count("und") >= 0.95 * len(told)
+    own = docs.filter(language_id.held_out() & (F.length("text") >= 100))
+    right = language_id.identify(own, model).filter("language.lang = lang")
+    kept = language_id.identify(own, model, MARGIN, gain=GAIN).filter("language.lang = lang")
+    n = right.count()
+    assert n > 1500 and kept.count() >= 0.99 * n
+
+
 def test_parts_of_whole_texts_are_learned(spark):
     """A text longer than a part counts to its end."""
     long_ = "x" * 30 + " " + " ".join(f"w{i:04}" for i in range(400))
