@@ -4,8 +4,8 @@ Each tree splits by random directions. Vectors within half a window of a split g
 as vectors at the threshold lie apart along a random direction, so near pairs seldom part; a pair is missed only if all
 trees part it. Within a leaf all pairs are compared by cosine in double precision, so no link below the threshold is made.
 
-Fitted on a bounded sample: at most ``SAMPLE`` vectors choose directions and split points; a node that the sample leaves
-with few points is split by its nearest ancestor's points, so trees may be as deep as the number of rows asks for. Every
+Fitted once, on a bounded sample: at most ``SAMPLE`` vectors choose directions and split points; a node that the sample
+leaves with few points splits all below it by these, so trees may be as deep as the number of rows asks for. Every
 row is indexed. Of a few directions and all split points in the middle, a node takes those that leave the least to
 compare, so splits run around dense groups. Where none leaves much less than the node itself, its points are mostly within
 the threshold of each other: it stays whole as one large leaf, which is compared in pairs of blocks.
@@ -37,63 +37,109 @@ _PATH = 56
 
 
 class Forest:
-    """Trees over unit vectors; leaves are numbered by tree and path, uniquely over trees."""
+    """Trees over unit vectors; leaves are numbered by tree and path, uniquely over trees.
+
+    All nodes of a tree that lie equally deep choose among the same TRIES random directions, so rows are routed by one matrix
+    product a tree and then level by level. Nodes are fitted once and kept as arrays: a direction's number, a split point and
+    two children. Below a node with few points of the sample all nodes of a level are alike: a chain has one entry a level.
+    """
 
     def __init__(self, sample: np.ndarray, rows: int, threshold: float, trees: int = TREES):
-        self.sample, self.rows, self.trees = sample, rows, trees
-        self.half = math.sqrt(max(0.0, 2 - 2 * threshold) / max(1, sample.shape[1])) / 2
-        self.made: dict = {}
-
-    def __getstate__(self):
-        return {**self.__dict__, "made": {}}
-
-    def _split(self, tree: int, path: int, points: np.ndarray, rows: float):
-        """(direction, split point, (points, rows) of both children), or None for a leaf of about that many rows."""
-        if rows <= LEAF or path >> (_PATH - 1) or not len(points):
-            return None
-        random, best = np.random.default_rng((tree, path & (2**32 - 1), path >> 32)), None
-        for _ in range(TRIES):
-            w = random.standard_normal(self.sample.shape[1])
-            w /= np.linalg.norm(w)
-            own = self.sample[points] @ w
-            order = np.sort(own)
+        self.dim, self.trees, self.leaf = sample.shape[1], trees, LEAF
+        self.half = math.sqrt(max(0.0, 2 - 2 * threshold) / max(1, self.dim)) / 2
+        self.fitted = [self._fit(sample, tree, float(rows)) for tree in range(trees)]
+
+    def directions(self, tree: int, level: int) -> np.ndarray:
+        w = np.random.default_rng((tree, level)).standard_normal((self.dim, TRIES))
+        return w / np.linalg.norm(w, axis=0)
+
+    def _split(self, along: np.ndarray):
+        """(direction, split point, share of either side) of points' places along the directions, or None if they stay together."""
+        best = None
+        for k in range(along.shape[1]):
+            order = np.sort(along[:, k])
             at = order[int(0.3 * len(order)) : int(0.7 * len(order)) + 1]
             left = np.searchsorted(order, at + self.half, "left") / len(order)
             right = 1 - np.searchsorted(order, at - self.half, "left") / len(order)
             cost = left**2 + right**2
-            k = int(np.argmin(cost))
-            if best is None or cost[k] < best[0]:
-                best = (cost[k], w, at[k], own, left[k], right[k])
-        cost, w, at, own, left, right = best
-        if cost > STOP:
-            return None
-        parts = (points[own < at + self.half], points[own >= at - self.half])
-        return w, at, [(p if len(p) >= FEW else points, rows * share) for p, share in zip(parts, (left, right), strict=True)]
-
-    def _node(self, tree: int, path: int, points: np.ndarray, rows: float):
-        if (tree, path) not in self.made:
-            if len(self.made) > 20_000:
-                self.made.clear()
-            self.made[tree, path] = self._split(tree, path, points, rows)
-        return self.made[tree, path]
+            i = int(np.argmin(cost))
+            if best is None or cost[i] < best[0]:
+                best = (cost[i], k, at[i], left[i], right[i])
+        return None if best[0] > STOP else best[1:]
+
+    def _fit(self, sample: np.ndarray, tree: int, rows: float) -> dict[str, np.ndarray]:
+        """Nodes (what, cut, left, right) and chains; a child is the number of a node, -1 for a leaf, or -2 - the number of a chain."""
+        along: list[np.ndarray] = []
+        what, cut, children, chains, links = [], [], [], [], []
+
+        def level_of(n: int) -> np.ndarray:
+            while len(along) <= n:
+                along.append(sample @ self.directions(tree, len(along)))
+            return along[n]
+
+        def chain(points: np.ndarray, rows: float, level: int) -> int:
+            chains.append((level, len(links), rows))
+            while rows > self.leaf and level < _PATH - 1 and (got := self._split(level_of(level)[points])):
+                links.append(got)
+                rows, level = rows * max(got[2:]), level + 1
+            return -1 - len(chains)
+
+        def node(points: np.ndarray, rows: float, level: int) -> int:
+            if rows <= self.leaf or level >= _PATH - 1:
+                return -1
+            if len(points) < 2 * FEW:
+                return chain(points, rows, level)
+            got = self._split(level_of(level)[points])
+            if got is None:
+                return -1
+            k, at, left, right = got
+            own = level_of(level)[points, k]
+            what.append(k)
+            cut.append(at)
+            children.append([0, 0])
+            todo.append((len(what) - 1, level + 1, (points[own < at + self.half], points[own >= at - self.half]), (rows * left, rows * right)))
+            return len(what) - 1
+
+        todo: list = []
+        root = node(np.arange(len(sample)), rows, 0)
+        while todo:
+            number, level, points, sizes = todo.pop()
+            for side in (0, 1):
+                children[number][side] = node(points[side], sizes[side], level)
+        columns = lambda x, n: np.array(x, float).reshape(-1, n)
+        return {"root": np.array([root]), "levels": np.array([len(along)]), "what": np.array(what, int), "cut": np.array(cut, float), "children": np.array(children, int).reshape(-1, 2), "chains": np.append(columns(chains, 3), [[0, len(links), 0]], 0), "links": columns(links, 4)}
 
     def leaves(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) of all leaves that the rows are in."""
-        rows, leaves = [], []
-        for tree in range(self.trees):
-            open_ = [(1, np.arange(len(unit)), np.arange(len(self.sample)), float(self.rows))]
-            while open_:
-                path, own, points, size = open_.pop()
-                node = self._node(tree, path, points, size)
-                if node is None:
-                    rows.append(own)
-                    leaves.append(np.full(len(own), tree << _PATH | path))
-                    continue
-                w, cut, children = node
-                at = unit[own] @ w
-                for bit, side in enumerate((at < cut + self.half, at >= cut - self.half)):
-                    if side.any():
-                        open_.append((path * 2 + bit, own[side], *children[bit]))
+        rows, leaves = [np.zeros(0, int)], [np.zeros(0, int)]
+        for tree, f in enumerate(self.fitted):
+            levels = int(f["levels"][0])
+            along = unit @ np.concatenate([self.directions(tree, n) for n in range(levels)] or [np.zeros((self.dim, 0))], 1)
+            row, path, at = np.arange(len(unit)), np.ones(len(unit), int), np.full(len(unit), f["root"][0])
+            size = np.zeros(len(unit))
+            chain, links = f["chains"], f["links"]
+            for level in range(levels + 1):
+                inside = at <= -2
+                own = -2 - at[inside]
+                fresh = chain[own, 0] == level
+                size[inside] = np.where(fresh, chain[own, 2], size[inside])
+                link = (chain[own, 1] + level - chain[own, 0]).astype(int)
+                ended = (size[inside] <= self.leaf) | (link >= chain[own + 1, 1])
+                done = at == -1
+                done[np.flatnonzero(inside)[ended]] = True
+                rows.append(row[done])
+                leaves.append(tree << _PATH | path[done])
+                go = ~done
+                if not go.any():
+                    break
+                row, path, at, size = row[go], path[go], at[go], size[go]
+                inside, link = at <= -2, link[~ended]
+                k, cut, child, shares = np.zeros(len(at), int), np.zeros(len(at)), np.zeros((len(at), 2), int), np.ones((len(at), 2))
+                k[~inside], cut[~inside], child[~inside] = f["what"][at[~inside]], f["cut"][at[~inside]], f["children"][at[~inside]]
+                k[inside], cut[inside], shares[inside], child[inside] = links[link, 0].astype(int), links[link, 1], links[link, 2:], at[inside][:, None]
+                place = along[row, level * TRIES + k]
+                sides = (place < cut + self.half, place >= cut - self.half)
+                row, path, at, size = (np.concatenate(x) for x in ([row[s] for s in sides], [path[s] * 2 + bit for bit, s in enumerate(sides)], [child[s, bit] for bit, s in enumerate(sides)], [(size * shares[:, bit])[s] for bit, s in enumerate(sides)]))
         return np.concatenate(rows), np.concatenate(leaves)
 
 

@@ -97,3 +97,35 @@ def test_leaf_links_by_tiles(monkeypatch):
 
 def test_empty_table(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def _unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("rows", [20_000, 1_000_000, 100_000_000])
+def test_recall_of_isolated_pairs_and_of_a_dense_group(rows):
+    """The query's trees, fitted on a sample of far fewer vectors than they are made for: pairs just above the threshold among
+    others, and a quarter of all vectors about one direction. Routing is level by level and takes a moment at any size."""
+    r = np.random.default_rng(rows)
+    x = _unit(r.standard_normal((20_000, 64)))
+
+    def near(base, cos):
+        z = r.standard_normal(base.shape)
+        z = _unit(z - (z * base).sum(1, keepdims=True) * base)
+        return cos * base + np.sqrt(1 - cos * cos) * z
+
+    x[300:600] = near(x[:300], 0.952)
+    x[1000:6000] = near(np.repeat(x[999:1000], 5000, 0), np.sqrt(0.97))
+    forest = embedding_dedup.Forest(x[r.choice(len(x), 8000, replace=False)], rows, 0.95)
+    row, leaf = forest.leaves(x[:2000])
+    leaves = [set() for _ in range(2000)]
+    for i, k in zip(row.tolist(), leaf.tolist(), strict=True):
+        leaves[i].add(k)
+    assert np.mean([bool(leaves[i] & leaves[300 + i]) for i in range(300)]) >= 0.99
+    i, j = r.integers(1000, 2000, (2, 5000))
+    ok = (x[i] * x[j]).sum(1) >= 0.95
+    assert ok.sum() > 2000 and np.mean([bool(leaves[a] & leaves[b]) for a, b in zip(i[ok], j[ok], strict=True)]) >= 0.99
+    assert sum(v.nbytes for f in forest.fitted for v in f.values()) < 4 << 20
+    # Each row has a path in each tree, and no leaf twice.
+    assert all(len({k >> 56 for k in own}) == embedding_dedup.TREES for own in leaves) and len(row) == sum(map(len, leaves))
