@@ -7,9 +7,9 @@ in the same chunks by AND is the bitmaps of the phrases that are one word longer
 shard. Phrases are extended depth first, some hundred thousand chunks of first words at a time, and popcounts are summed
 over the shards.
 
-Two passes keep what is summed small: the first sums pairs, by their hashes; the second extends words through pairs that are
-frequent over all shards (no phrase is more frequent than a pair in it), and sums phrases by their words. A filter of fixed
-size tells the second which pairs these are; it may let others pass, which then turn out rare.
+Three passes keep what is summed small: the first sums pairs, the second longer phrases of which every pair is frequent over
+all shards (no phrase is more frequent than a pair in it), both by hashes; the third sums the phrases that are left by their
+words. A filter of fixed size tells which these are; it may let others pass, which then turn out rare.
 """
 
 from __future__ import annotations
@@ -208,19 +208,32 @@ def _hashes(words: pa.Array, lang: str) -> np.ndarray:
     return mix(stretch(prefix(CODES[text]), ends[:-1] - ends[0], ends[1:] - ends[0]) ^ np.uint64(zlib.crc32(lang.encode())))
 
 
-def _pair_hashes(hashes: np.ndarray, phrases: np.ndarray) -> np.ndarray:
-    """Of the last two words of phrases."""
-    return mix(hashes[phrases[:, -2]] * np.uint64(BASE) + hashes[phrases[:, -1]])
+def _phrase_hashes(hashes: np.ndarray, phrases: np.ndarray) -> np.ndarray:
+    h = np.full(len(phrases), phrases.shape[1], np.uint64)
+    for k in range(phrases.shape[1]):
+        h = mix(h * np.uint64(BASE) + hashes[phrases[:, k]])
+    return h & np.uint64((1 << 32) - 1)
 
 
-def _pairs(batches):
-    """Shards -> hash and frequency of their pairs of words."""
-    for batch in batches:
-        for lang, vocabulary, bitmaps in _opened(batch):
-            hashes = _hashes(vocabulary, lang)
-            for level in bitmaps.batches():
-                phrases, node, _, mask = bitmaps.extend(*level)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(_pair_hashes(hashes, phrases))), pa.array(popcounts(len(phrases), node, mask))], names=["h", "f"])
+def _hashed(sizes: tuple[int, ...], bits: Broadcast | None = None):
+    """Shards -> hashes (32 bits) and frequencies of their phrases of the given sizes; with bits only of those of which every pair
+    passes the filter."""
+
+    def run(batches):
+        for batch in batches:
+            for lang, vocabulary, bitmaps in _opened(batch):
+                hashes = _hashes(vocabulary, lang)
+                passes = bits and (lambda phrases, hashes=hashes: _passes(bits.value, _phrase_hashes(hashes, phrases[:, -2:])))
+                for level in bitmaps.batches():
+                    for size in range(2, max(sizes) + 1):
+                        level = bitmaps.extend(*level, passes)
+                        if not len(level[0]):
+                            break
+                        if size in sizes:
+                            h = _phrase_hashes(hashes, level[0]).astype(np.uint32).view(np.int32)
+                            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(popcounts(len(h), *level[1::2]))], names=["h", "f"])
+
+    return run
 
 
 def _filter_of(hashes: DataFrame) -> np.ndarray:
@@ -234,7 +247,7 @@ def _filter_of(hashes: DataFrame) -> np.ndarray:
                 bits[own] = 1
             yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], names=["at", "bits"])
 
-    place = F.pmod(F.col("h"), F.lit(FILTER))
+    place = F.pmod(F.col("h").cast("long"), F.lit(FILTER))
     rows = hashes.select(F.floor(place / part).cast("long").alias("at"), F.pmod(place, F.lit(part)).cast("long").alias("own"))
     rows = rows.repartition("at").sortWithinPartitions("at").mapInArrow(made, "at bigint, bits binary")
     out = np.zeros(FILTER // 8, np.uint8)
@@ -244,7 +257,7 @@ def _filter_of(hashes: DataFrame) -> np.ndarray:
 
 
 def _passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = (signed(hashes) % FILTER).astype(np.int64)
+    at = (hashes % np.uint64(FILTER)).astype(np.int64)
     return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
 
@@ -258,21 +271,38 @@ def _count_rows(lang: str, vocabulary: pa.Array, phrases: np.ndarray, node: np.n
 
 
 def _words(batches):
-    """Shards -> frequencies of their words."""
+    """Shards -> frequencies of their words, those of some shards of a task together."""
+    pending: dict[str, list] = {}
+    size = 0
+
+    def made():
+        for lang, parts in pending.items():
+            words, counts = zip(*parts, strict=True)
+            t = pa.table({"phrase": pa.chunked_array(words), "f": pa.chunked_array(counts)}).group_by("phrase").aggregate([("f", "sum")]).combine_chunks()
+            for b in t.to_batches(max_chunksize=1 << 16):
+                n = b.num_rows
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang, n), b.column("phrase"), pa.repeat(pa.scalar(1, pa.int32()), n), b.column("f_sum")], names=[x.split()[0] for x in _COUNTS.split(", ")])
+        pending.clear()
+
     for batch in batches:
         for lang, vocabulary, bitmaps in _opened(batch):
             for phrases, node, _, mask in bitmaps.batches():
-                yield _count_rows(lang, vocabulary, phrases, node, mask)
+                pending.setdefault(lang, []).append((_said(vocabulary, phrases), pa.array(popcounts(len(phrases), node, mask))))
+                size += len(phrases)
+            if size > 2 * SHARD:
+                yield from made()
+                size = 0
+    yield from made()
 
 
 def _phrases(longest: int, bits: Broadcast):
-    """Shards -> frequencies of pairs that pass the filter and of longer phrases of which every pair does."""
+    """Shards -> frequencies of phrases of two words or more that pass the filter."""
 
     def run(batches):
         for batch in batches:
             for lang, vocabulary, bitmaps in _opened(batch):
                 hashes = _hashes(vocabulary, lang)
-                passes = lambda phrases, hashes=hashes: _passes(bits.value, _pair_hashes(hashes, phrases))
+                passes = lambda phrases, hashes=hashes: _passes(bits.value, _phrase_hashes(hashes, phrases))
                 for level in bitmaps.batches():
                     for _ in range(2, longest + 1):
                         level = bitmaps.extend(*level, passes)
@@ -299,12 +329,20 @@ def frequencies(documents: DataFrame, least: int = 30, longest: int = 4, text: s
     def frequent(counts: DataFrame, *by: str) -> DataFrame:
         return keep(counts.groupBy(*by).agg(F.sum("f").alias("f")).filter(F.col("f") >= least))
 
-    pairs = frequent(opened.mapInArrow(_pairs, "h bigint, f bigint"), "h")
-    bits = spark.sparkContext.broadcast(_filter_of(pairs.select("h")))
-    long = frequent(opened.mapInArrow(_phrases(longest, bits), _COUNTS), "lang", "phrase", "size")
-    bits.destroy()
+    pairs = frequent(opened.mapInArrow(_hashed((2,)), "h int, f bigint"), "h")
+    bits = _filter_of(pairs.select("h"))
+    if longest > 2:
+        sent = spark.sparkContext.broadcast(bits)
+        more = frequent(opened.mapInArrow(_hashed(tuple(range(3, longest + 1)), sent), "h int, f bigint"), "h")
+        sent.destroy()
+        bits = bits | _filter_of(more.select("h"))
+        drop(more)
+    sent = spark.sparkContext.broadcast(bits)
+    long = frequent(opened.mapInArrow(_phrases(longest, sent), _COUNTS), "lang", "phrase", "size")
+    sent.destroy()
     inside = keep(long.select("lang", F.explode(F.split("phrase", " ")).alias("phrase")).distinct())
-    short = frequent(opened.mapInArrow(_words, _COUNTS).join(sized(inside), ["lang", "phrase"], "left_semi"), "lang", "phrase", "size")
+    short = frequent(opened.mapInArrow(_words, _COUNTS), "lang", "phrase", "size")
+    short = keep(short.join(sized(inside), ["lang", "phrase"], "left_semi"))
     every = keep(short.select(*long.columns).unionByName(long))
     drop(shards, pairs, long, inside, short)
     return every, words
