@@ -1,15 +1,17 @@
-"""Readers and connectors over files made of the driver tables, in the shared folder, and over services that answer from a rule."""
+"""Readers and connectors over files made of the driver tables, in the shared folder, and over services that answer from one."""
 
 from __future__ import annotations
 
 import io
 import json
+import re
 import sqlite3
 import zipfile
 from xml.sax.saxutils import escape
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -184,24 +186,51 @@ def package_layers(spark, sf_dir):
     return out
 
 
-def _server(request: dict) -> dict:
-    """A feature service of 1,234 points and as many boxes."""
-    box = lambda i: [[i, 0], [i, 2], [i + 3, 2], [i + 3, 0], [i, 0]]
-    if "returnIdsOnly" in request:
-        return {"objectIds": [i for i in range(1234) if "geometry" not in request or i < request["geometry"][2]]}
-    if "objectIds" in request:
-        return {"features": [{"attributes": {"id": i, "name": f"n{i}"}, "geometry": {"rings": [box(i)]}} for i in request["objectIds"]]}
-    if request.get("resultType") == "hits":
-        return {"numberMatched": 1234}
-    ids = range(request["startIndex"], min(request["startIndex"] + request["count"], 1234))
-    return {"features": [{"properties": {"id": i, "name": f"w{i}"}, "geometry": {"type": "Point", "coordinates": [i, -i]}} for i in ids]}
+class _Server:
+    """A feature service over a table that was written to the shared folder: features as JSON lines, a file for each hundred ids."""
+
+    def __init__(self, folder: str, low: int, high: int, count: int):
+        self.folder, self.low, self.high, self.count = folder, low, high, count
+
+    def _lines(self, first: int, last: int) -> list[dict]:
+        """Features with ids from first up to, but without, last."""
+        store, root = fs.FileSystem.from_uri(self.folder)
+        found = []
+        for page in range(first // 100, (last - 1) // 100 + 1):
+            for info in store.get_file_info(fs.FileSelector(f"{root}/page={page}", allow_not_found=True)):
+                if info.base_name.startswith("part-"):
+                    with store.open_input_stream(info.path) as f:
+                        found += [json.loads(x) for x in f.read().decode().splitlines()]
+        return sorted((x for x in found if first <= x["id"] < last), key=lambda x: x["id"])
+
+    def __call__(self, request: dict) -> dict:
+        if "outStatistics" in request:
+            return {"features": [{"attributes": {"min": self.low, "max": self.high, "count": self.count}}]}
+        if request.get("resultType") == "hits":
+            return {"numberMatched": self.count}
+        if "where" in request:
+            first, last = map(int, re.findall("[<>]=? ([0-9]+)", request["where"]))
+            own = self._lines(first, last)[request["resultOffset"] :]
+            box = lambda i, w: [[i, 0], [i, 2], [i + w, 2], [i + w, 0], [i, 0]]
+            return {"features": [{"attributes": x, "geometry": {"rings": [box(x["id"], x["width"])]}} for x in own[:60]], "exceededTransferLimit": len(own) > 60}
+        # Keys run from 0 on, so that a place is an id.
+        own = self._lines(request["startIndex"], request["startIndex"] + request["count"])
+        return {"features": [{"properties": x, "geometry": {"type": "Point", "coordinates": [x["id"], -x["id"]]}} for x in own]}
 
 
-@query("SELECT 'n' || i AS name, CAST(i AS DOUBLE) AS x0, 0.0 AS y0, i + 3.0 AS x1, 2.0 AS y1 FROM range(0, 1000) t(i) UNION ALL SELECT 'w' || i, i, -i, i, -i FROM range(0, 1234) t(i)")
+@query("""
+SELECT c_name AS name, CAST(c_custkey AS DOUBLE) AS x0, 0.0 AS y0, c_custkey + c_nationkey + 1.0 AS x1, 2.0 AS y1 FROM customer
+UNION ALL SELECT c_name, c_custkey, -c_custkey, c_custkey, -c_custkey FROM customer
+""")
 def service_features(spark, sf_dir):
-    """Two services read by batches of ids and by pages."""
-    a = connectors.arcgis(spark, "https://host/layer", _server, bbox=(0, 0, 1000, 1))
-    b = connectors.wfs(spark, "https://host/wfs", "layer", _server, page=100)
+    """The customers behind two services, read by ranges of ids and by pages."""
+    rows = table(spark, sf_dir, "customer").select(F.to_json(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), (F.col("c_nationkey") + 1).alias("width"))).alias("value"), F.floor(F.col("c_custkey") / 100).alias("page"))
+    folder = shared_dir(spark)
+    rows.repartition("page").write.partitionBy("page").text(folder)
+    about = table(spark, sf_dir, "customer").agg(F.min("c_custkey"), F.max("c_custkey"), F.count("*")).first()
+    server = _Server(folder, *about)
+    a = connectors.arcgis(spark, "https://host/layer", server, batch=250, key="c_custkey")
+    b = connectors.wfs(spark, "https://host/wfs", "layer", server, page=100)
     return a.unionByName(b).select(F.col("attrs")["name"].alias("name"), "x0", "y0", "x1", "y1")
 
 

@@ -1,7 +1,7 @@
 """Layers and rasters from files and services.
 
-Services are reached through a `fetch` function (request dict -> parsed JSON) that the caller gives; each page or tile is a
-row that a task fetches, so pages load in parallel and a lost task fetches its own page again. Tests use a local function.
+Services are reached through a `fetch` function (request dict -> parsed JSON) that the caller gives; each range, page or tile
+is a task's, so they load in parallel and a lost task fetches its own again. Tests use a local function.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrasift.functions import geometry as G
+from terrasift.sources import services
 
 FEATURE = "attrs map<string,string>, geom binary, x0 double, y0 double, x1 double, y1 double"
 
@@ -121,18 +122,6 @@ def clip(features: DataFrame, x0: float, y0: float, x1: float, y1: float) -> Dat
 # Services ------------------------------------------------------------------------------------------------------------
 
 
-def _fetched(spark: SparkSession, requests: list[dict], fetch: Callable[[dict], dict], parse: Callable[[dict], list[tuple]]) -> DataFrame:
-    plan = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(requests)] or [(0, None)], "i int, request string").repartition(max(1, len(requests)), "i")
-
-    def run(frames):
-        for f in frames:
-            for r in f["request"]:
-                if r is not None:
-                    yield _frame(parse(fetch(json.loads(r))))
-
-    return plan.mapInPandas(run, FEATURE)
-
-
 def esri_polygon(rings: list) -> G.Geometry:
     """Rings that turn clockwise are outer ones; others are holes of the outer one that holds their first point."""
     rings = [np.asarray(r, float)[:, :2] for r in rings]
@@ -152,19 +141,15 @@ def _esri(answer: dict) -> list[tuple]:
     return out
 
 
-def arcgis(spark: SparkSession, url: str, fetch: Callable[[dict], dict], where: str = "1=1", bbox: tuple | None = None, batch: int = 500) -> DataFrame:
-    """A feature layer: ids first, with the conditions left to the server, then batches of ids, a task each."""
-    ask = {"url": f"{url}/query", "where": where, "returnIdsOnly": True, **({"geometry": list(bbox)} if bbox else {})}
-    ids = sorted(fetch(ask).get("objectIds") or [])
-    return _fetched(spark, [{"url": f"{url}/query", "objectIds": ids[k : k + batch], "outFields": "*"} for k in range(0, len(ids), batch)], fetch, _esri)
+def arcgis(spark: SparkSession, url: str, fetch: Callable[[dict], dict], where: str = "1=1", bbox: tuple | None = None, batch: int = 500, key: str = "OBJECTID") -> DataFrame:
+    """A feature layer by ranges of ids, a task each; the conditions are left to the server."""
+    return services.load(spark, FEATURE, *services.ranged(url, fetch, _esri, where, bbox, batch, key))
 
 
 def wfs(spark: SparkSession, url: str, layer: str, fetch: Callable[[dict], dict], bbox: tuple | None = None, page: int = 5000) -> DataFrame:
-    """A feature service by pages: the number of hits first, then a task a page."""
-    base = {"url": url, "request": "GetFeature", "typeNames": layer, **({"bbox": list(bbox)} if bbox else {})}
-    hits = int(fetch({**base, "resultType": "hits"})["numberMatched"])
+    """A feature service by pages, a task each."""
     parse = lambda a: [_feature(x.get("properties") or {}, from_geojson(x.get("geometry"))) for x in a.get("features", [])]
-    return _fetched(spark, [{**base, "startIndex": k, "count": page} for k in range(0, hits, page)], fetch, parse)
+    return services.load(spark, FEATURE, *services.paged(url, layer, fetch, parse, bbox, page))
 
 
 def coverage_tiles(x0: float, y0: float, x1: float, y1: float, size: float, most: int) -> list[tuple[float, float, float, float]]:

@@ -1,4 +1,5 @@
 import json
+import re
 import sqlite3
 
 import numpy as np
@@ -31,18 +32,23 @@ def test_geopackage_geojson_grid(spark, tmp_path):
 
 def test_services(spark):
     def fetch(r):
-        if r.get("returnIdsOnly"):
-            return {"objectIds": list(range(7, 0, -1))}
+        if r.get("outStatistics"):
+            assert r["where"] == "a = 1"
+            return {"features": [{"attributes": {"min": 1, "max": 20, "count": 7}}]}
         if r.get("resultType") == "hits":
             return {"numberMatched": 5}
         if "startIndex" in r:
             ids = range(r["startIndex"], min(5, r["startIndex"] + r["count"]))
             return {"features": [{"properties": {"id": i}, "geometry": {"type": "Point", "coordinates": [i, i]}} for i in ids]}
         square = lambda a, b: [[a, a], [a, b], [b, b], [b, a], [a, a]]
-        return {"features": [{"attributes": {"id": i}, "geometry": {"rings": [square(0, 10), square(2, 4)[::-1]]}} for i in r["objectIds"]]}
+        a, b = map(int, re.fullmatch(r"\(a = 1\) AND OBJECTID >= (\d+) AND OBJECTID < (\d+)", r["where"]).groups())
+        own = [i for i in (1, 2, 3, 4, 5, 6, 20) if a <= i < b]
+        return {"features": [{"attributes": {"id": i}, "geometry": {"rings": [square(0, 10), square(2, 4)[::-1]]}} for i in own[r["resultOffset"] :][:2]], "exceededTransferLimit": len(own) > r["resultOffset"] + 2}
 
-    a = C.arcgis(spark, "http://x", fetch, batch=3).collect()
-    assert sorted(r.attrs["id"] for r in a) == [str(i) for i in range(1, 8)] and {G.area(G.from_wkb(r.geom)) for r in a} == {96.0}
+    layer = C.arcgis(spark, "http://x", fetch, "a = 1", batch=3)
+    a = layer.collect()
+    # Seven ids from 1 to 20 in three ranges; answers of two features at most.
+    assert layer.rdd.getNumPartitions() == 3 and sorted(int(r.attrs["id"]) for r in a) == [1, 2, 3, 4, 5, 6, 20] and {G.area(G.from_wkb(r.geom)) for r in a} == {96.0}
     w = C.wfs(spark, "http://x", "l", fetch, page=2).collect()
     assert sorted(r.attrs["id"] for r in w) == ["0", "1", "2", "3", "4"]
     tiles = C.coverage_tiles(0, 0, 25, 10, 1, 10)
