@@ -89,8 +89,10 @@ def table_events(spark, sf_dir):
 @query("SELECT n_name AS English, upper(n_name) AS German FROM nation")
 def glossary_file(spark, sf_dir):
     """A glossary with a byte order mark, its header and number of rows checked."""
-    rows, folder = table(spark, sf_dir, "nation").select("n_name").collect(), shared_dir(spark)
-    sinks.write_text(spark, f"{folder}/g.csv", "\ufeffEnglish,German\n" + "".join(f'"{r.n_name}","{r.n_name.upper()}"\n' for r in rows))
+    folder = shared_dir(spark)
+    line = F.concat(F.lit('"'), "n_name", F.lit('","'), F.upper("n_name"), F.lit('"\n'))
+    body = table(spark, sf_dir, "nation").agg(F.array_join(F.array_sort(F.collect_list(line)), "").alias("lines"))
+    sinks.write_files(body.select(F.lit("g.csv").alias("name"), F.encode(F.concat(F.lit("\ufeffEnglish,German\n"), "lines"), "UTF-8").alias("content")), folder)
     return readers.read_glossary(spark, f"{folder}/g.csv", ("English", "German"), 25)
 
 
@@ -161,16 +163,17 @@ def geopackage_layer(spark, sf_dir):
     return connectors.read_geopackage(spark, folder, "boxes").select(F.col("attrs")["fid"].alias("fid"), "x0", "y0", "x1", "y1")
 
 
-@query(f"WITH {_CELLS} SELECT r, c, 1000 + (c + 0.5) * 10 AS x, 500 + (r + 0.5) * 10 AS y, z FROM cells WHERE c < 40 AND r < 20 AND z < 40")
+@query(f"WITH {_CELLS} SELECT r, c, 1000 + (c + 0.5) * 10 AS x, 500 + (r + 0.5) * 10 AS y, z FROM cells WHERE z < 40")
 def ascii_grid(spark, sf_dir):
-    """A raster written as an ASCII grid and read back; cells without a value are left out."""
-    folder = shared_dir(spark)
-    z = np.full((20, 40), -9999.0)
-    for r in _cells(spark, sf_dir).filter("c < 40 and r < 20").collect():
-        z[r.r, r.c] = r.z if r.z < 40 else -9999
-    head = "ncols 40\nnrows 20\nxllcorner 1000\nyllcorner 500\ncellsize 10\nNODATA_value -9999\n"
-    sinks.write_text(spark, f"{folder}/dem.asc", head + "\n".join(" ".join(map(str, row)) for row in z[::-1]))
-    return connectors.read_ascii_grid(spark, f"{folder}/dem.asc").drop("raster")
+    """A raster written as ASCII grids, one for each twenty rows, and read back; cells without a value are left out."""
+    folder, r, c = shared_dir(spark), F.col("r"), F.col("c")
+    value = F.when(F.col("z") < 40, F.col("z")).otherwise(-9999.0)
+    strips = _cells(spark, sf_dir).groupBy(F.floor(r / 20).alias("k")).agg(F.map_from_entries(F.collect_list(F.struct(((19 - r % 20) * 60 + c).cast("int"), value))).alias("m"))
+    body = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(1199)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(-9999.0)).cast("string")), " ")
+    head = F.concat(F.lit("ncols 60\nnrows 20\nxllcorner 1000\nyllcorner "), (500 + F.col("k") * 200).cast("string"), F.lit("\ncellsize 10\nNODATA_value -9999\n"))
+    sinks.write_files(strips.select(F.concat(F.col("k").cast("string"), F.lit(".asc")).alias("name"), F.encode(F.concat(head, body), "UTF-8").alias("content")), folder)
+    first = F.split_part("raster", F.lit("."), F.lit(1)).cast("long") * 20
+    return connectors.read_ascii_grid(spark, folder).select((first + r).alias("r"), "c", "x", "y", "z")
 
 
 @query("SELECT 'nation' AS layer, count(*) AS n FROM nation UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'part', count(*) FROM part")

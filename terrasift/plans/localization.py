@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from terrasift.functions import schemas
-from terrasift.operators import language_gate, localization, methods, separation, state, trials
+from terrasift.operators import language_gate, localization, methods, ordered, separation, state, trials
 from terrasift.plans.registry import query, table
 
 _FACTS = methods.Facts(
@@ -138,7 +138,7 @@ def unmapped_streams(spark, sf_dir):
     """Streams that quotations name (also as part of a longer word) and no part uses."""
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     streams = n.select(F.col("n_nationkey").alias("id"), F.array("n_name").alias("names")).union(r.select(F.col("r_regionkey") + 100, F.array("r_name"))).union(n.select(F.col("n_nationkey") + 200, F.array(F.concat(F.lit("to "), F.col("n_nationkey").cast("string"), F.lit(" b")))))
-    s = table(spark, sf_dir, "supplier").join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))
+    s = table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
     quote = F.concat(F.lit("the "), "n_name", F.lit("bach to "), F.col("s_suppkey").cast("string"), F.lit(" b in "), "r_name")
     used = F.when(F.col("s_suppkey") % 3 == 0, F.array("s_nationkey")).otherwise(F.array().cast("array<int>"))
     return localization.unmapped_streams(s.select((F.col("s_suppkey") % 40).alias("seg_id"), used.alias("used"), F.array(quote).alias("quotes")), streams)
@@ -188,10 +188,11 @@ SELECT source AS doc, doc_id AS event, unnest(list_filter([CASE WHEN there IS NU
 """)
 def boundary_issues(spark, sf_dir):
     """Proposed starts of events checked against the pages they name."""
-    from pyspark.sql import Window
-
     i, page = F.col("doc_id"), F.col("page")
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("doc"), "text").withColumn("page", F.row_number().over(Window.partitionBy("doc").orderBy("doc_id")))
+    docs = table(spark, sf_dir, "documents")
+    # Ids are numbered without their texts.
+    numbers = ordered.row_numbers(docs.select("doc_id", F.col("source").alias("doc")), ["doc"], "doc_id", "page").select("doc_id", F.col("page").cast("int").alias("page"))
+    d = docs.select("doc_id", F.col("source").alias("doc"), "text").join(numbers, "doc_id")
     w = F.split_part("text", F.lit(" "), F.lit(1))
     start = F.when(i % 13 == 0, page + 100000).when((i % 11 == 0) & (page > 1), page - 1).otherwise(page)
     events = d.select("doc", i.alias("event"), F.when(i % 7 == 0, "").otherwise(w).alias("title"), start.alias("start_page"), F.when(i % 5 == 0, "no such heading").otherwise(w).alias("heading_quote"), ((i % 17) / 10.0).alias("confidence"))
