@@ -256,3 +256,98 @@ def routed_tags(spark, sf_dir):
     k, m = F.col("o_orderkey") % 6, lambda *kv: F.create_map(*(F.lit(x) for x in kv))
     tags = F.when(k == 0, m("bridge", "yes", "highway", "track")).when(k == 1, m("waterway", "stream")).when(k == 2, m("highway", "path", "bridge", "no")).when(k == 3, m("highway", "path")).when(k == 4, m("building", "yes")).otherwise(m("natural", "tree"))
     return table(spark, sf_dir, "orders").select("o_orderkey", connectors.route_tags(tags).alias("layer"))
+
+
+@query("SELECT p_partkey, p_name, p_size, p_retailprice FROM part")
+def json_export(spark, sf_dir):
+    """Rows written as JSON lines and read back."""
+    rows, folder = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_retailprice"), shared_dir(spark)
+    sinks.write_json(rows, folder)
+    return spark.read.schema(rows.schema).json(folder)
+
+
+@query("SELECT s_name, CASE WHEN s_suppkey % 5 = 0 THEN 'a, \"quoted\" one' ELSE 'plain' END AS note, s_suppkey FROM supplier")
+def csv_export(spark, sf_dir):
+    """Chosen columns in their order as CSV with a header, values with commas and quotes among them."""
+    note = F.when(F.col("s_suppkey") % 5 == 0, 'a, "quoted" one').otherwise("plain")
+    rows, folder = table(spark, sf_dir, "supplier").withColumn("note", note), shared_dir(spark)
+    sinks.write_csv(rows, folder, ["s_name", "note", "s_suppkey"])
+    back = spark.read.option("header", True).option("escape", "\\").csv(folder)
+    return back.select("s_name", "note", F.col("s_suppkey").cast("long").alias("s_suppkey"))
+
+
+@query("""
+SELECT form, o_orderkey AS segment, o_orderstatus AS event, o_orderpriority AS process, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'c' || o_custkey % 4 END AS generalized_category
+FROM orders, (VALUES ('json'), ('csv')) t(form)
+""")
+def final_export(spark, sf_dir):
+    """Final rows in both forms, under the version that the newest evaluation allows."""
+    k, folder = F.col("o_orderkey"), shared_dir(spark)
+    category = F.when(k % 3 != 0, F.concat(F.lit("c"), (F.col("o_custkey") % 4).cast("string")))
+    rows = table(spark, sf_dir, "orders").select(k.alias("segment"), F.col("o_orderstatus").alias("event"), F.col("o_orderpriority").alias("process"), category.alias("generalized_category"), F.lit("x").alias("interaction_type"), F.lit("y").alias("sediment_transport_phase"))
+    passed = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("revision"), F.when(F.col("n_nationkey") == 7, "fail").otherwise("pass").alias("status"))
+    version = sinks.export_final(rows, passed, folder)
+    names = ["segment", "event", "process", "generalized_category"]
+    one = spark.read.schema("segment bigint, event string, process string, generalized_category string").json(f"{version}/final_rows.json").select(F.lit("json").alias("form"), *names)
+    two = spark.read.option("header", True).csv(f"{version}/final_rows.csv").select(F.lit("csv").alias("form"), F.col("segment").cast("long").alias("segment"), *names[1:])
+    return one.unionByName(two)
+
+
+@query(f"WITH {_PTS}, b AS (SELECT vec_id, x, y, w FROM p WHERE vec_id % 7 <> 0) SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS fid_, '[' || vec_id || ',' || label || ']' AS tags FROM b JOIN (SELECT vec_id, label FROM embeddings) USING (vec_id)")
+def numbered_layer(spark, sf_dir):
+    """Rows that have a geometry, numbered by their ids, lists as JSON."""
+    from terrasift.functions import geometry
+
+    labels = table(spark, sf_dir, "embeddings").select("vec_id", F.array("vec_id", F.col("label").cast("long")).alias("tags"))
+    shape = F.when(F.col("vec_id") % 7 != 0, geometry.st_box("x0", "y0", "x1", "y1"))
+    rows = _boxes(spark, sf_dir).select("vec_id", shape.alias("geom")).join(labels, "vec_id")
+    return sinks.layer(rows, order="vec_id").select("vec_id", F.col("fid_").cast("long").alias("fid_"), "tags")
+
+
+@F.pandas_udf(T.BinaryType())
+def _zipped(names: pd.Series, texts: pd.Series) -> pd.Series:
+    out = []
+    for own, bodies in zip(names, texts, strict=True):
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w") as z:
+            for name, body in zip(own, bodies, strict=True):
+                z.writestr(name, body)
+        out.append(data.getvalue())
+    return pd.Series(out)
+
+
+@query("SELECT 'n' || s_nationkey || '.zip' AS bundle, 'runs/' || s_suppkey || '.json' AS name, '{\"name\":\"' || s_name || '\"}' AS content FROM supplier")
+def bundle_entries(spark, sf_dir):
+    """Suppliers zipped by nation, and the entries of all bundles."""
+    folder = shared_dir(spark)
+    name = F.concat(F.lit("runs/"), F.col("s_suppkey").cast("string"), F.lit(".json"))
+    entry = F.struct(name.alias("name"), F.to_json(F.struct(F.col("s_name").alias("name"))).alias("text"))
+    own = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    files = own.select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string"), F.lit(".zip")).alias("name"), _zipped("e.name", "e.text").alias("content"))
+    sinks.write_files(files, folder)
+    return readers.read_bundle(spark, folder).select(F.substring_index("bundle", "/", -1).alias("bundle"), "name", F.decode("content", "UTF-8").alias("content"))
+
+
+@query("SELECT DISTINCT l_orderkey AS run, l_partkey % 3 AS part FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_custkey % 3 = l_partkey % 3)")
+def imported_runs(spark, sf_dir):
+    """Runs that are not there yet, each once, however often they come."""
+    there = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run"), (F.col("o_custkey") % 3).alias("part"))
+    coming = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run"), (F.col("l_partkey") % 3).alias("part"))
+    return readers.import_new(there, coming, ["run", "part"])
+
+
+@query("""
+SELECT doc, level, title, page, place FROM (
+  SELECT r_name AS doc, 1 AS level, r_name AS title, r_regionkey AS page, [r_regionkey] AS place FROM region
+  UNION ALL SELECT r_name, 2, n_name, n_nationkey, [r_regionkey, n_nationkey] FROM region JOIN nation ON n_regionkey = r_regionkey
+  UNION ALL SELECT r_name, 3, s_name, s_suppkey, [r_regionkey, n_nationkey, s_suppkey] FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey)
+""")
+def flat_outline(spark, sf_dir):
+    """Regions, their nations and these nations' suppliers as an outline of three levels."""
+    r, n, s = (table(spark, sf_dir, x) for x in ("region", "nation", "supplier"))
+    node = lambda c, k: F.concat(F.lit(c), F.col(k).cast("string"))
+    doc = n.join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    top = r.select(F.col("r_name").alias("doc"), node("r", "r_regionkey").alias("node"), F.lit(None).cast("string").alias("parent"), F.col("r_regionkey").alias("pos"), F.col("r_name").alias("title"), F.col("r_regionkey").alias("page"))
+    mid = doc.select(F.col("r_name"), node("n", "n_nationkey"), node("r", "n_regionkey"), F.col("n_nationkey"), F.col("n_name"), F.col("n_nationkey"))
+    low = s.join(doc, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("r_name"), node("s", "s_suppkey"), node("n", "n_nationkey"), F.col("s_suppkey"), F.col("s_name"), F.col("s_suppkey"))
+    return readers.flatten_outline(top.union(mid).union(low))
