@@ -32,27 +32,26 @@ class Parameter(NamedTuple):
 
 class Method(NamedTuple):
     placement: str
-    reason: str
     parameter: Parameter | None = None
 
 
 # The methods with their placement class, and for some the free parameter: its name, what is assumed without a
 # value, and the factors between which it is varied.
 MENU: dict[str, Method] = {
-    "report_outline": Method("documented", "an outline of the report, reviewed and independently aligned"),
-    "location_point": Method("approximate", "a known location, no area is inferred"),
-    "channel_reach": Method("approximate", "a known reach, no width is inferred"),
-    "feature_geometry": Method("approximate", "a known feature as it is mapped, the extent is not known"),
-    "catchment": Method("approximate", "a mapped catchment that the report names"),
-    "elevation_band": Method("modelled", "elevations between limits within a catchment"),
-    "reach_corridor": Method("modelled", "terrain along a reach up to a height above the channel", Parameter("height_above_channel_m", 3.0, 0.5, 1.5)),
-    "valley_floor": Method("modelled", "terrain along a river between two limits", Parameter("height_above_channel_m", 3.0, 0.5, 1.5)),
-    "feature": Method("approximate", "a mapped feature that the report names", Parameter("width_m", 6.0, 0.75, 1.25)),
-    "road_stretch": Method("modelled", "a stretch of a known road", Parameter("width_m", 6.0, 0.75, 1.25)),
-    "buildings_near": Method("approximate", "buildings chosen by their distance to a place"),
-    "named_area": Method("approximate", "the surroundings of a place that the report only names"),
-    "point_area": Method("hypothesis", "a circle about an inferred point", Parameter("radius_m", 30.0, 0.5, 2.0)),
-    "expression": Method("modelled", "an expression of its own"),
+    "report_outline": Method("documented"),
+    "location_point": Method("approximate"),
+    "channel_reach": Method("approximate"),
+    "feature_geometry": Method("approximate"),
+    "catchment": Method("approximate"),
+    "elevation_band": Method("modelled"),
+    "reach_corridor": Method("modelled", Parameter("height_above_channel_m", 3.0, 0.5, 1.5)),
+    "valley_floor": Method("modelled", Parameter("height_above_channel_m", 3.0, 0.5, 1.5)),
+    "feature": Method("approximate", Parameter("width_m", 6.0, 0.75, 1.25)),
+    "road_stretch": Method("modelled", Parameter("width_m", 6.0, 0.75, 1.25)),
+    "buildings_near": Method("approximate"),
+    "named_area": Method("approximate"),
+    "point_area": Method("hypothesis", Parameter("radius_m", 30.0, 0.5, 2.0)),
+    "expression": Method("modelled"),
 }
 #: Methods that give a place and no extent, and those whose feature may be uniquely named.
 PLACE_ONLY = ("location_point", "channel_reach", "feature_geometry")
