@@ -241,3 +241,15 @@ def geometry_expressions(spark, sf_dir):
     refs = json.loads('{"axis": {"line": [[0, 0], [60, 0], [60, 40]]}}')
     out = expressions.evaluate_parts(parts.union(small), refs=refs, key="p_partkey")
     return out.select("p_partkey", F.round("area", 6).alias("area"), F.when(F.col("area") == 0, F.round("length", 6)).alias("length"))
+
+
+@query(f"""WITH {_PTS}, b AS (SELECT label, x AS x0, y AS y0, x + w AS x1, y + w AS y1 FROM p),
+ex AS (SELECT label, v AS a, lead(v) OVER (PARTITION BY label ORDER BY v) AS z FROM (SELECT label, x0 AS v FROM b UNION SELECT label, x1 FROM b)),
+ey AS (SELECT label, v AS a, lead(v) OVER (PARTITION BY label ORDER BY v) AS z FROM (SELECT label, y0 AS v FROM b UNION SELECT label, y1 FROM b)),
+c AS (SELECT DISTINCT b.label, ex.a AS xa, ex.z AS xz, ey.a AS ya, ey.z AS yz FROM b JOIN ex ON ex.label = b.label AND ex.a >= x0 AND ex.z <= x1 JOIN ey ON ey.label = b.label AND ey.a >= y0 AND ey.z <= y1)
+SELECT label, round(sum((xz - xa) * (yz - ya)), 4) AS area FROM c GROUP BY label""")
+def dissolved_area(spark, sf_dir):
+    """The area that all boxes of a label cover together, united cell by cell."""
+    b = _boxes(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
+    shapes = b.select("label", geometry.st_box("x0", "y0", "x1", "y1").alias("geom"))
+    return spatial.dissolve(shapes, ["label"], 64.0).groupBy("label").agg(F.round(F.sum(geometry.st_area("geom")), 4).alias("area"))
