@@ -55,7 +55,8 @@ CASES: list[tuple[str, str]] = [
     ('{"area_m2":{"fill_holes":{"wkt":"POLYGON((X Y, R Y, R T, X T, X Y), (P Q, N Q, N M, P Q))"}}}', "[w * w]"),
     ('{"area_m2":{"dem_mask":{"dem":"slope","within":{"bbox":[0,0,100,100]},"min":3,"max":6}}}', "[4000.0]"),
     ('{"area_m2":{"terrain":{"dem":"flat","channels":[{"line":[[5,5],[95,5]]}],"max_dist_m":15,"height_m":1}}}', "[2000.0]"),
-    ('{"area_m2":{"watershed":{"dem":"bowl","pour_point":{"point":[15,5]},"snap_m":10}}}', "[200.0]"),
+    ('{"area_m2":{"watershed":{"dem":"bowl","pour_point":{"point":[15,5]},"snap_m":10}}}', "[900.0]"),
+    ('{"area_m2":{"watershed":{"dem":"bowl","pour_point":{"point":[15,15]},"snap_m":0}}}', "[400.0]"),
     ('{"area_m2":{"georef_pixels":{"transform":[X,2,0,Y,0,2],"pixels":[[0,0],[W,0],[W,W],[0,W]]}}}', "[4 * w * w]"),
     ('{"area_m2":{"georef_color":{"image":"map","rule":"R > 200 and B < 50","min_pixels":4,"transform":[X,2,0,Y,0,2]}}}', "[64.0]"),
     ('{"bounds":{"point_wgs84":[9,0]}}', "[500000.0, 0, 500000, 0]"),
