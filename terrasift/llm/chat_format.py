@@ -57,7 +57,8 @@ def format_chat(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     counts from the turn's begin and start from that of `formatted`, both from 0; an assistant's placeholders lie outside). attachments: array<struct<turn, part, kind, placeholder, ref,
     tokens>> in order. turn and part count from 0 in order of rows. Rows are ordered by turn (nulls first); ties by role, then
     parts; repeated rows are turns of their own. Null texts and roles are empty, a null list of parts has none, parts of
-    other kinds are left out. A null conv_id is a conversation of its own. An empty table gives an empty result.
+    other kinds are left out. A null conv_id is a conversation of its own. Texts of any
+    length are kept whole; only the named columns are read, whatever else there is. An empty table gives an empty result.
     """
     t = turns.select(F.col(f"`{conv}`").alias("conv_id"), F.col(f"`{turn}`").alias("turn"), F.coalesce(F.col(f"`{role}`"), F.lit("")).alias("role"), F.filter(F.coalesce(F.col(f"`{parts}`"), F.array().cast(f"array<{PART}>")), lambda p: p.kind.isin("text", "image", "audio", "document")).alias("parts"))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "parts")

@@ -38,7 +38,7 @@ def dedup(documents: DataFrame, lines: int = 3, text: str = "text", key: str = "
     """documents with later occurrences cut out of `text`, and a struct column `line_dedup`: n_lines, n_removed.
 
     Null texts have no lines and stay null; an empty text is one empty line; texts of fewer lines than a window are left
-    alone. Rows that are alike in key and text count as one, so neither loses lines to the other. Other columns stay as
+    alone, texts of any length are split whole. Rows that are alike in key and text count as one, so neither loses lines to the other. Other columns stay as
     they are, whatever their names; an empty table gives an empty result.
     """
     small_batches(documents)

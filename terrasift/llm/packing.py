@@ -72,7 +72,8 @@ def pack(documents: DataFrame, buckets: int = 8, budget: int = 8192, length: Col
 
     length: the column of token counts, words of `text` by default; null counts as 0. A batch has at most
     max(1, budget // bucket_length) documents, so only documents longer than the budget exceed it, alone. Ties are
-    ordered by a hash of key and text, and repeated rows are packed one by one. An empty table gives an empty result.
+    ordered by a hash of key and text, and repeated rows are packed one by one. Texts of any length are counted whole. Only the
+    key, the text and the lengths are read, whatever else there is and however it is named. An empty table gives an empty result.
     """
     n = F.greatest(F.coalesce(length if length is not None else count_words(F.col(f"`{text}`")), F.lit(0)), F.lit(0)).cast("long")
     docs = keep(documents.select(F.col(f"`{key}`").alias("doc_id"), n.alias("n_tokens"), F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("rk")))

@@ -170,7 +170,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, html: str = "htm
 
     Of pages with equal payloads of at least ``LEAST`` bytes the largest page_id is a response, all with smaller ones are
     revisits of it; so are none with a null page_id. Repeated rows are records of their own. A null html is an empty
-    payload, a null url is left out. folder: a URI that all executors share, by default one in spark.checkpoint.dir.
+    payload, a null url is left out; a page of any length is one record. Only the named columns are read, whatever else there
+    is. An empty table gives an empty manifest. folder: a URI that all executors share, by default one in spark.checkpoint.dir.
     """
     folder = folder or shared_dir(pages.sparkSession)
     rows = pages.select(F.col(f"`{key}`").cast("long").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("html"))
