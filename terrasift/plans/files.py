@@ -9,7 +9,6 @@ import sqlite3
 import zipfile
 from xml.sax.saxutils import escape
 
-import numpy as np
 import pandas as pd
 from pyarrow import fs
 from pyspark.sql import functions as F
