@@ -4,7 +4,7 @@ The texts of a language are dealt into shards of a bounded number of words. In a
 its positions: chunks of 8 positions, only those with a bit set; a position is left free where a piece ends, so that no
 phrase crosses it. A phrase's bitmap (of its last words' places) shifted by one and combined with the bitmaps of the words
 in the same chunks by AND is the bitmaps of the phrases that are one word longer; popcounts are their frequencies in the
-shard. Phrases are extended depth first, some hundred thousand chunks of first words at a time, and popcounts are summed
+shard. Phrases are extended depth first, some ten thousand chunks of first words at a time, and popcounts are summed
 over the shards.
 
 Three passes keep what is summed small: the first sums pairs, the second longer phrases of which every pair is frequent over
@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrasift.llm.store import drop, keep, sized, small_batches
-from terrasift.llm.textops import BASE, CHUNK, CODES, LOWER, _pieces, mix, prefix, signed, stretch, texts_of
+from terrasift.llm.textops import BASE, CHUNK, CODES, LOWER, _pieces, mix, prefix, stretch, texts_of
 
 #: Words of a shard, and chunks of bitmaps that are extended together.
-SHARD, BATCH = 1 << 18, 1 << 15
-#: Bits of the filter of frequent pairs (32 MB), the only thing that goes to all tasks. The fuller it is, the less it prunes.
+SHARD, BATCH = 1 << 18, 1 << 14
+#: Bits of the filter of frequent phrases (32 MB), the only thing that goes to all tasks. The fuller it is, the less it prunes.
 FILTER = 1 << 28
 #: Parts that a language's ranking is made from.
 PARTS = 64
@@ -192,6 +192,8 @@ def _opened(batch: pa.RecordBatch):
         places = np.frombuffer(get("places").as_buffer(), np.uint16 if len(vocabulary) <= _SHORT else np.int32)
         places = places if len(vocabulary) > _SHORT else np.where(places == _SHORT, -1, places.astype(np.int32))
         yield get("lang").as_py(), vocabulary, Bitmaps(places, get("own").as_py(), len(vocabulary))
+        # What a shard took goes back before the next one; the executor's memory is shared with its other workers.
+        pa.default_memory_pool().release_unused()
 
 
 def _said(vocabulary: pa.Array, phrases: np.ndarray) -> pa.Array:
