@@ -1,5 +1,7 @@
 """Queries against their SQL over small tables with the rows that larger ones turned out to have."""
 
+import duckdb
+
 from terrasift.plans import registry
 from tests.oracle import compare
 
@@ -18,3 +20,13 @@ def test_headings_with_numbers_or_leaders(spark, tmp_path):
     pages = [(n, f"https://h{n % 2}.org/p", f"<p><h1>{h}</h1><h1>second</h1>") for n, h in enumerate(heads + heads[:5], 1)]
     put(spark, tmp_path, "pages", [*pages, (90, None, "<h1>Slope</h1>"), (91, "https://h1.org/", None), (92, "https://h1.org/", "no heading")], "page_id long, url string, html string")
     assert same(spark, tmp_path, "toc_resolve") == ""
+
+
+def test_signed_zeros_of_places(spark, tmp_path):
+    put(spark, tmp_path, "embeddings", [(n, [-0.0002 if n < 16 else 0.031, 0.017 if n < 8 else -0.0001, 0.006 * (n - 9)], n) for n in range(24)], "vec_id long, embedding array<float>, label int")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    want = {r[:2]: str(r[2:]) for r in db.execute(f"SELECT vec_id, op, value, wrong FROM ({registry.oracle_sql()['geometry_operators']})").fetchall()}
+    got = {tuple(r)[:2]: str(tuple(r)[2:]) for r in registry.queries()["geometry_operators"](spark, str(tmp_path)).select("vec_id", "op", "value", "wrong").collect()}
+    assert sum("-0.0" in v for v in want.values()) >= 10
+    assert {k: (got.get(k), v) for k, v in want.items() if got.get(k) != v} == {} and got.keys() == want.keys()
