@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrasift.functions.text import text_key
-from terrasift.operators import spatial
+from terrasift.operators import links, spatial
 from terrasift.operators.raster import TILE
 
 
@@ -80,22 +80,21 @@ def covered_share(cells: DataFrame, zones: DataFrame, size: float) -> DataFrame:
 
 
 def sites(boxes: DataFrame, reach: float, models: int, keep) -> DataFrame:
-    """box, site of boxes that touch when grown by `reach`, in chains, if at least that many models have one there.
+    """box (an integer), site of boxes that touch when grown by `reach`, in chains, if at least that many models have one there.
 
-    Least ids spread along touching pairs and then jump to what those know, until nothing changes. keep(df) writes a round
-    and reads it back.
+    Equal boxes are one place from the start, so copies are not listed in pairs; places spread their least ids along the pairs
+    that touch. keep(df) writes a table and reads it back.
     """
-    b = boxes.select("box", "model", "x0", "y0", "x1", "y1")
-    pairs = spatial.within_distance(b, b.withColumnRenamed("box", "other"), "box", "other", 2 * reach).filter("box <> other").select("box", "other")
-    pairs, label = keep(pairs), keep(b.select("box", F.col("box").alias("site")))
-    while True:
-        near = pairs.join(label.withColumnRenamed("box", "other"), "other").groupBy("box").agg(F.min("site").alias("least"))
-        step = label.join(near, "box", "left").select("box", F.least("site", F.coalesce("least", "site")).alias("to"))
-        jump = keep(step.join(label.select(F.col("box").alias("to"), F.col("site").alias("far")), "to").join(label, "box").select("box", F.least("to", "far").alias("site"), (F.least("to", "far") != F.col("site")).alias("moved")))
-        label = jump.drop("moved")
-        if jump.filter("moved").isEmpty():
-            break
-    sited = label.join(b.select("box", "model"), "box")
+    shape = ["x0", "y0", "x1", "y1"]
+    b = boxes.select("box", "model", *shape)
+    known = F.lit(True)
+    for c in shape:
+        known = known & (F.abs(F.col(c)) < float("inf"))
+    places = keep(b.filter(known).groupBy(*shape).agg(F.min("box").alias("place")))
+    pairs = spatial.within_distance(places, places.withColumnRenamed("place", "other"), "place", "other", 2 * reach).filter("place < other")
+    least = links.least_reached(pairs.select(F.col("place").alias("u"), F.col("other").alias("v")), keep)
+    named = places.join(least, places["place"] == least["id"], "left").select(*shape, F.coalesce("least", "place").alias("site"))
+    sited = keep(b.join(named, shape, "left").select("box", "model", F.coalesce("site", "box").alias("site")))
     wide = sited.groupBy("site").agg(F.countDistinct("model").alias("n")).filter(F.col("n") >= models)
     return sited.join(wide.select("site"), "site", "left_semi").select("box", "site")
 

@@ -8,7 +8,7 @@ from terrasift.operators import extract
 from terrasift.operators import placements as P
 from terrasift.plans.registry import query, table
 from terrasift.plans.spatial import _PTS, _TWO, _points, _two
-from terrasift.shared import checkpointer
+from terrasift.shared import written
 
 
 @query("""
@@ -86,7 +86,7 @@ def ref_sites(spark, sf_dir):
     """Clusters of boxes that at least two models support."""
     p = _points(spark, sf_dir)
     boxes = p.select(F.col("vec_id").alias("box"), (F.col("vec_id") % 3).alias("model"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + 3).alias("x1"), (F.col("y") + 3).alias("y1"))
-    return P.sites(boxes, 1.0, 2, checkpointer(spark))
+    return P.sites(boxes, 1.0, 2, written)
 
 
 @query("""

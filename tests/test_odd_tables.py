@@ -1,8 +1,14 @@
 """Queries against their SQL over small tables with the rows that larger ones turned out to have."""
 
+import random
+
 import duckdb
+import pytest
 
+from terrasift.operators import links
+from terrasift.operators.placements import sites
 from terrasift.plans import registry
+from terrasift.shared import written
 from tests.oracle import compare
 
 
@@ -30,3 +36,39 @@ def test_signed_zeros_of_places(spark, tmp_path):
     got = {tuple(r)[:2]: str(tuple(r)[2:]) for r in registry.queries()["geometry_operators"](spark, str(tmp_path)).select("vec_id", "op", "value", "wrong").collect()}
     assert sum("-0.0" in v for v in want.values()) >= 10
     assert {k: (got.get(k), v) for k, v in want.items() if got.get(k) != v} == {} and got.keys() == want.keys()
+
+
+@pytest.mark.parametrize("small", [0, 1000])
+def test_sites_of_long_chains_and_copies(spark, monkeypatch, small):
+    if small:
+        monkeypatch.setattr(links, "SMALL", small)
+    r = random.Random(small)
+    # A snake of 300 boxes with its ids mixed up, each with a copy; two models on half of it, a gap after that; one box without a place.
+    ids = r.sample(range(10_000), 601)
+    at = [(4.5 * (n + (n >= 150)), 0.0) for n in range(300)] * 2
+    rows = [(i, n % 2 if n % 300 < 150 else 5, x, y, x + 3, y + 3) for n, (i, (x, y)) in enumerate(zip(ids[:600], at, strict=True))]
+    rounds = []
+
+    def keep(df):
+        rounds.append(1)
+        return written(df)
+
+    boxes = spark.createDataFrame([*rows, (ids[600], 1, None, None, None, None)], "box long, model long, x0 double, y0 double, x1 double, y1 double").repartition(5)
+    got = {tuple(x) for x in sites(boxes, 1.0, 2, keep).collect()}
+    left = [row[0] for n, row in enumerate(rows) if n % 300 < 150]
+    assert got == {(i, min(left)) for i in left}
+    assert len(rounds) <= 6
+
+
+def test_links_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(links, "SMALL", 0)
+    monkeypatch.setattr(links, "HELD", 3)
+    r = random.Random(7)
+    edges = [(r.randrange(120), r.randrange(120)) for _ in range(90)] + [(n, n + 1) for n in range(1000, 1080)]
+    root = {n: n for e in edges for n in e}
+    while any(root[u] != root[v] for u, v in edges):
+        for u, v in edges:
+            root[u] = root[v] = min(root[u], root[v])
+    r.shuffle(edges)
+    got = links.least_reached(spark.createDataFrame(edges, "u long, v long").repartition(6), written).collect()
+    assert {tuple(x) for x in got} == {(n, least) for n, least in root.items() if n != least} and len(got) == len({x[0] for x in got})
