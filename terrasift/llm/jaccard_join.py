@@ -4,8 +4,9 @@ Two sets of sizes m and n at similarity t share at least T = ceil(t / (1 + t) *
 most frequent shingles of a document must therefore meet (``prefix``): only these are posted.
 
 * Equal sets are one class from the start; copies are never compared or posted.
-* Shingles are ordered by a count sketch of fixed size over all documents, rare ones first, then by hash. The order only
-  decides what is posted, never the result; a shingle that a fixed share of all documents has stands out at any scale.
+* Shingles are ordered by a count sketch over all documents, rare ones first, then by hash. The order only decides what is
+  posted, never the result. Many rare shingles share a counter; counts are kept fine enough, and counters (within bounds)
+  numerous enough, that a shingle of some dozens of documents stands out from what falls on its counter by chance.
 * Lists of posted shingles give groups of documents that may be linked. Short lists give pairs that pass bounds on size,
   place in the prefix and parity; a long list is chained instead, first inside each task, so no list is gathered anywhere
   and no pairs are listed within a large group. What chains hold together is parted again by sizes and parity.
@@ -35,9 +36,11 @@ from terrasift.llm.components import components
 from terrasift.llm.store import drop, join_roots, keep, sized, small_batches, tables_by_key
 from terrasift.llm.textops import SPACED, mix, signed, texts_of, window_hashes, word_hashes
 
-#: Counters of the sketch (bytes when shared with the tasks), documents in a block of sets, length from which a list is
-#: chained, documents in a block of parity bits, bytes of parity that are used there.
+#: Least counters of the sketch, documents in a block of sets, length from which a list is chained, documents in a block of
+#: parity bits, bytes of parity that are used there.
 SKETCH, BLOCK, LONG, WIDE, FOLD = 1 << 21, 64, 64, 512, 512
+#: Bytes of text for which the sketch has one counter (some 250 shingles), and most counters (2 bytes each in the tasks).
+PER_COUNTER, MOST = 1500, 1 << 24
 #: How soon a list counts as short (the longer the longest list, the more do), and so few candidates that none is merged.
 SHORTER, FEW = 0.0085, 8
 
@@ -59,8 +62,8 @@ def _sliced(batches, column: int, rows: int = 512):
             yield b, texts_of(b.column(column))
 
 
-def _counter(shingles: np.ndarray) -> np.ndarray:
-    return ((shingles >> np.uint64(11)) & np.uint64(SKETCH - 1)).astype(np.int64)
+def _counter(shingles: np.ndarray, counters: int) -> np.ndarray:
+    return ((shingles >> np.uint64(11)) & np.uint64(counters - 1)).astype(np.int64)
 
 
 def _parity(shingles: np.ndarray) -> bytes:
@@ -177,19 +180,16 @@ def block_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent:
 
 
 def _sketch(docs: DataFrame, words: int) -> np.ndarray:
-    """For each counter, the logarithm of how many documents' shingles fall on it: SKETCH bytes, whatever the input."""
-    part = SKETCH // 16
+    """For each counter, the logarithm of how many documents' shingles fall on it, in steps of 1 / 2000."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    counters = min(max(SKETCH, 1 << (size // PER_COUNTER).bit_length()), MOST)
+    part = counters // 16
 
     def count(batches):
-        total, waiting = np.zeros(SKETCH, np.uint32), []
+        total = np.zeros(counters, np.uint32)
         for _, texts in _sliced(batches, 1):
-            waiting += [_counter(s) for s in shingle_sets(texts, words)]
-            size = sum(map(len, waiting))
-            if size > SKETCH:
-                total += np.bincount(np.concatenate(waiting), minlength=SKETCH).astype(np.uint32)
-                waiting = []
-        if waiting:
-            total += np.bincount(np.concatenate(waiting), minlength=SKETCH).astype(np.uint32)
+            for s in shingle_sets(texts, words):
+                np.add.at(total, _counter(s, counters), np.uint32(1))
         if total.any():
             lane = TaskContext.get().partitionId() % 64
             for k in range(16):
@@ -203,13 +203,18 @@ def _sketch(docs: DataFrame, words: int) -> np.ndarray:
         total = np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([0]), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["k", "lane", "c"])
 
+    def level(batches):
+        for b in batches:
+            fine = [np.round(np.log2(np.maximum(np.frombuffer(zlib.decompress(x.as_py()), np.uint32), 1)) * 2000).astype(np.uint16) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([zlib.compress(x.tobytes(), 1) for x in fine], pa.binary())], names=["k", "c"])
+
     # Counters of one part of the sketch are added up in lanes first, then over the lanes; tasks stream them.
     schema = "k bigint, lane bigint, c binary"
     lanes = docs.select("doc_id", "text").mapInArrow(count, schema).groupBy("k", "lane").applyInArrow(add, schema)
-    rows = lanes.groupBy("k").applyInArrow(add, schema).select("k", "c").collect()
-    out = np.zeros(SKETCH, np.uint8)
+    rows = lanes.groupBy("k").applyInArrow(add, schema).select("k", "c").mapInArrow(level, "k bigint, c binary").collect()
+    out = np.zeros(counters, np.uint16)
     for r in rows:
-        out[r.k * part : (r.k + 1) * part] = np.log2(np.maximum(np.frombuffer(zlib.decompress(r.c), np.uint32), 1)).astype(np.uint8)
+        out[r.k * part : (r.k + 1) * part] = np.frombuffer(zlib.decompress(r.c), np.uint16)
     return out
 
 
@@ -235,7 +240,7 @@ def link_components(documents: DataFrame, words: int = 5, percent: int = 80, tex
                 n.append(len(s))
                 f.append(int(np.bitwise_xor.reduce(m)) if len(s) else 0)
                 g.append(int(np.add.reduce(mix(m))) if len(s) else 0)
-                k = kind[_counter(s)]
+                k = kind[_counter(s, len(kind))]
                 p = prefix_size(len(s), t)
                 # Sets come sorted, so a stable sort by kind orders by (kind, hash).
                 posted.append(signed(s[np.argsort(k, kind="stable")[:p]].astype(np.uint64)))

@@ -105,6 +105,30 @@ def test_a_group_in_which_nothing_links(spark, monkeypatch):
     assert got == want and len({c for _, c in want.values()}) > 80
 
 
+def test_a_full_sketch_tells_what_many_share(spark, monkeypatch):
+    """Some 350 shingles fall on a counter by chance; a passage of 100 documents is still not what is posted."""
+    monkeypatch.setattr(jaccard_join, "SKETCH", 1 << 10)
+    seen, refine = [], jaccard_join._refine
+    monkeypatch.setattr(jaccard_join, "_refine", lambda chained, *a: (seen.append(chained.count()), refine(chained, *a))[1])
+    r = random.Random(9)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join([f"x{r.random()}" for _ in range(900)] + passage * (i % 4 == 0))) for i in range(400)]
+    rows += [(1000, rows[0][1] + " end")]
+    monkeypatch.setattr(jaccard_join, "PER_COUNTER", 1 << 30, raising=False)
+    got = {r.doc_id: r.component_id for r in jaccard_join.link_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {i: 0 if i == 1000 else i for i, _ in rows}
+    assert seen == [0]
+
+
+@pytest.mark.parametrize(("per", "counters"), [(1500, 1 << 10), (1, 1 << 12), (10, 1 << 11)])
+def test_the_sketch_grows_with_the_texts_within_bounds(spark, monkeypatch, per, counters):
+    for name, n in (("SKETCH", 1 << 10), ("PER_COUNTER", per), ("MOST", 1 << 12)):
+        monkeypatch.setattr(jaccard_join, name, n)
+    docs = spark.createDataFrame([(i, "a b c d e " + "x" * 1990) for i in range(8)] + [(9, None)], "doc_id long, text string")
+    found = jaccard_join._sketch(docs, 5)
+    assert len(found) == counters and sorted(set(found.tolist())) == [0, 6000]
+
+
 def test_empty_and_repeated(spark):
     assert jaccard_join.link_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     df = spark.createDataFrame([(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (7, "a B c d e  f")], "doc_id long, text string")
