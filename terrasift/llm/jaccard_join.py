@@ -119,13 +119,29 @@ def merge_lists(owners: list[int], spans: list[tuple[int, int]], least: int) ->
     return out
 
 
+def _possible(docs: list[np.ndarray], sizes: np.ndarray, n_left: int, first: int, t: float) -> np.ndarray:
+    """For each of the first n_left documents and each from `first` on, whether sizes and parity bits allow a link."""
+    bits = min(max(512, 1 << (max(int(sizes.max()), 1) - 1).bit_length()), 16_384)
+    signs = np.empty((len(docs), bits), np.float32)
+    for i, s in enumerate(docs):
+        signs[i] = 1 - 2 * (np.bincount(((s >> np.uint64(40)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1)
+    a, b = sizes[:n_left, None], sizes[None, first:]
+    ok = (b >= t * a - 1e-9) & (t * b <= a + 1e-9) & (a > 0)
+    ok &= (bits - signs[:n_left] @ signs[first:].T) / 2 <= a + b - 2 * np.ceil(t / (1 + t) * (a + b) - 1e-9)
+    if not first:
+        # Within one list each pair counts once.
+        ok &= np.arange(n_left)[:, None] < np.arange(len(docs))[None, :]
+    return ok
+
+
 def block_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
     """Spanning forest of the links between left and right (or within left), as places; right ones count from len(left).
 
     DivideSkip over the inverted lists of the second side: for each document of the first, T from the least size that can
     link; some T / (1 + log M) of its longest lists (M: the longest of them) are set aside, the rest merged with a heap for
     what is in as many of them as T still needs, and the long ones probed by binary search for those candidates. What is
-    in one component already is not looked at again; where few others are left, all lists are long ones.
+    in one component already is not looked at again, nor what sizes and parity bits rule out; where few others are left, all
+    lists are long ones.
     """
     docs = left if right is None else left + right
     first = 0 if right is None else len(left)
@@ -133,6 +149,9 @@ def block_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent:
     if not members:
         return []
     sizes = np.array([len(x) for x in docs])
+    may = _possible(docs, sizes, len(left), first, percent / 100)
+    if not may.any():
+        return []
     flat = np.concatenate(members)
     owner = np.repeat(np.arange(first, len(docs)), sizes[first:])
     order = np.argsort(flat, kind="stable")
@@ -147,8 +166,8 @@ def block_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent:
         own = docs[i]
         if not len(own):
             continue
-        other = np.arange(first if right is not None else i + 1, len(docs))
-        other = other[(root[other] != root[i]) & (sizes[other] >= t * len(own) - 1e-9) & (t * sizes[other] <= len(own) + 1e-9)]
+        other = first + np.flatnonzero(may[i])
+        other = other[root[other] != root[i]]
         if not len(other):
             continue
         k = np.searchsorted(tokens, own)

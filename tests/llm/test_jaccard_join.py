@@ -92,6 +92,17 @@ def test_block_links_span_the_same_components(monkeypatch, few):
             assert [join_roots(np.arange(len(docs)), *e).tolist() for e in ends][0] == join_roots(np.arange(len(docs)), *ends[1]).tolist()
 
 
+def test_blocks_in_which_parity_rules_all_out_build_no_lists(monkeypatch):
+    """Unlike documents with one long passage: few shingles short of a link, and none is merged or probed."""
+    r = np.random.default_rng(6)
+    draw = lambda n: r.integers(0, 2**64, n, dtype=np.uint64)
+    passage = draw(300)
+    docs = [np.unique(np.concatenate((passage, draw(300)))) for _ in range(40)]
+    monkeypatch.setattr(jaccard_join, "merge_lists", None)
+    monkeypatch.setattr(jaccard_join, "_links", None)
+    assert jaccard_join.block_links(docs, None, 80) == jaccard_join.block_links(docs[:20], docs[20:], 80) == []
+
+
 def test_a_group_in_which_nothing_links(spark, monkeypatch):
     """A passage that makes up most of many unlike texts chains them; neither sizes nor parity part all of them."""
     for name, n in (("BLOCK", 6), ("LONG", 4), ("WIDE", 8)):
