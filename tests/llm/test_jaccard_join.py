@@ -152,3 +152,18 @@ def test_components_of_a_chain_and_a_star(spark, monkeypatch, small):
     edges = [(i, i + 1) for i in range(100, 140)] + [(500, k) for k in range(501, 560)] + [(3, 3)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "u long, v long").repartition(7)).collect()}
     assert got == {i: 100 for i in range(100, 141)} | {i: 500 for i in range(500, 560)}
+
+
+def test_no_stage_of_the_sketch_has_two_python_nodes(spark, monkeypatch):
+    # Each more node in a stage is one more worker a core, and workers stay in an executor's memory.
+    df, plans = spark.createDataFrame(corpus(5, 20), "doc_id long, text string"), []
+    collect = type(df).collect
+
+    def seen(self):
+        plans.append(re.findall(r"Exchange|\w+InArrow|\w+InPandas", self._jdf.queryExecution().executedPlan().toString()))
+        return collect(self)
+
+    monkeypatch.setattr(type(df), "collect", seen)
+    levels = jaccard_join._sketch(df, 5)
+    assert levels.any() and any("MapInArrow" in p for p in plans)
+    assert all("Exchange" in pair for p in plans for pair in zip(p, p[1:], strict=False))
